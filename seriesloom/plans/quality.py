@@ -72,7 +72,7 @@ def _decompose_sql(mul: bool) -> str:
     detr = "y / nullif(trend, 0)" if mul else "y - trend"
     seas = "s / avg(s) OVER (PARTITION BY series)" if mul else "s - avg(s) OVER (PARTITION BY series)"
     resid = "y / (trend * seasonal)" if mul else "y - trend - seasonal"
-    digits = 8 if mul else 3
+    digits = 8 if mul else 6
     return sql(
         W, WD,
         """dt AS (SELECT *, (sum(y) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(y, 6) OVER w + lead(y, 6) OVER w) * 0.5) / 12 AS trend,
@@ -86,7 +86,7 @@ def _decompose_sql(mul: bool) -> str:
 @query("decompose_additive", _decompose_sql(False))
 def decompose_additive(spark, sf_dir):
     d = profile.decompose(fx.wide_dense(spark, sf_dir))
-    return d.withColumns({c: F.round(c, 3) for c in ("seasonal", "resid")})
+    return d.withColumns({c: F.round(c, 6) for c in ("seasonal", "resid")})
 
 
 @query("decompose_multiplicative", _decompose_sql(True))

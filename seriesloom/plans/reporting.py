@@ -50,11 +50,11 @@ def trailing_year(spark, sf_dir):
 
 @query(
     "multi_measure",
-    sql(P, NAIVE, "SELECT ds, sum(y) AS y, sum(y * (1 - 0.05::DOUBLE)) AS lo, sum(y * (1 + 0.05::DOUBLE)) AS hi FROM fc GROUP BY ds"),
+    sql(P, NAIVE, "SELECT ds, sum(y) AS y, round(sum(y * (1 - 0.05::DOUBLE)), 4) AS lo, round(sum(y * (1 + 0.05::DOUBLE)), 4) AS hi FROM fc GROUP BY ds"),
 )
 def multi_measure(spark, sf_dir):
     fc = report.with_bounds(naive_forecast(fx.panel(spark, sf_dir)))
-    return fc.groupBy("ds").agg(*[F.sum(c).alias(c) for c in ("y", "lo", "hi")])
+    return fc.groupBy("ds").agg(F.sum("y").alias("y"), *[F.round(F.sum(c), 4).alias(c) for c in ("lo", "hi")])
 
 
 @query(
