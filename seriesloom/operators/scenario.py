@@ -189,7 +189,7 @@ def _fanned(forecast, betas, levels, vol, sims, horizon, scale, seed, spec):
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("sim", "m"))), lambda r: r["m"]).alias("sims"))
     )
     coef = betas.groupBy(*spec.keys).agg(F.map_from_entries(F.collect_list(F.struct("indicator", "beta"))).alias("_b"))
-    rows = forecast.join(coef, list(spec.keys)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    rows = forecast.join(coef, list(spec.keys)).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     rows = rows.join(F.broadcast(packed) if blocks == 1 else packed, ["step", "_block"])
     beta = lambda k: F.coalesce(F.try_element_at(F.col("_b"), k), F.lit(0.0))
     return rows.withColumn(

@@ -73,26 +73,47 @@ def inverse_error_weighted(preds: DataFrame, board: DataFrame, spec: PanelSpec =
     return rated.groupBy(*spec.keys, spec.ds).agg(F.try_divide(F.sum(w * F.col("yhat")), F.sum(w)).alias("yhat"))
 
 
-def ensemble_error(preds: DataFrame, board: DataFrame, k: int = 3, metric: str = "joint", spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Error of the top-k ensemble per series; series with fewer than k models have none.
+def evaluate(holdout: DataFrame, k: int = 3, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """One row per series: best model, top-k members, and both errors of their ensemble.
 
-    "joint" scores the mean of the members' hold-out predictions, "mean" averages their errors.
+    The hold-out rows are hashed by series once; the per-model errors, the ranks and the member
+    mean per date are windows inside that partitioning.
     """
-    top = board.filter(F.col("rank") <= k)
-    enough = top.groupBy(*spec.keys).agg(
-        F.count("*").alias("_k"), F.avg("rmse").alias("rmse_mean"), F.avg("mape").alias("mape_mean"),
-        F.array_join(F.sort_array(F.collect_list("model")), ", ").alias("members"),
-    ).filter(F.col("_k") == k)
-    if metric == "mean":
-        return enough.select(*spec.keys, "members", F.col("rmse_mean").alias("rmse"), F.col("mape_mean").alias("mape"))
-    joint = top_members(preds, board, k, spec).groupBy(*spec.keys, spec.ds).agg(F.avg("yhat").alias("yhat"), F.first(spec.y).alias(spec.y))
-    scored = errors(joint.withColumn("model", F.lit("Ensemble")), spec)
-    return enough.select(*spec.keys, "members").join(scored.select(*spec.keys, "rmse", "mape"), list(spec.keys))
+    keys = list(spec.keys)
+    per_model = Window.partitionBy(*keys, "model")
+    floor = F.lit(2.220446049250313e-16)
+    miss = spec.value - F.col("yhat")
+    ape = F.abs(miss) / F.greatest(F.abs(spec.value), floor)
+    rows = holdout.repartition(*keys).withColumns(
+        {"_rmse": F.sqrt(F.avg(miss * miss).over(per_model)), "_mape": F.avg(ape).over(per_model)}
+    )
+    rows = rows.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_rmse", "model")))
+    top, first = F.col("_rank") <= k, F.col("_rank") == 1
+    rows = rows.withColumn("_joint", F.avg(F.when(top, F.col("yhat"))).over(Window.partitionBy(*keys, spec.ds)))
+    joint_miss = spec.value - F.col("_joint")
+    each = F.sort_array(F.collect_set(F.when(top, F.struct("model", "_rmse", "_mape"))))
+    out = rows.groupBy(*keys).agg(
+        F.max(F.when(first, F.col("model"))).alias("best"),
+        F.max(F.when(first, F.col("_rmse"))).alias("best_rmse"),
+        F.sqrt(F.avg(F.when(first, joint_miss * joint_miss))).alias("rmse_joint"),
+        F.avg(F.when(first, F.abs(joint_miss) / F.greatest(F.abs(spec.value), floor))).alias("mape_joint"),
+        each.alias("_top"),
+    )
+    mean = lambda c: F.aggregate("_top", F.lit(0.0), lambda s, r: s + r[c]) / F.size("_top")
+    return out.select(
+        *keys, "best", "best_rmse", "rmse_joint", "mape_joint", F.transform("_top", lambda r: r["model"]).alias("members"),
+        mean("_rmse").alias("rmse_mean"), mean("_mape").alias("mape_mean"), (F.size("_top") == k).alias("has_ensemble"),
+    )
+
 
+def ensemble_error(holdout: DataFrame, k: int = 3, metric: str = "joint", spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Error of the top-k ensemble per series; series with fewer than k models have none.
 
-def _single(preds: DataFrame, board: DataFrame, spec: PanelSpec) -> DataFrame:
-    best = board.filter(F.col("rank") == 1).select(*spec.keys, "model")
-    return preds.join(best, [*spec.keys, "model"]).select(*spec.keys, spec.ds, "yhat", "model")
+    "joint" scores the mean of the members' hold-out predictions, "mean" averages their errors.
+    """
+    return evaluate(holdout, k, spec).filter("has_ensemble").select(
+        *spec.keys, F.array_join("members", ", ").alias("members"), F.col(f"rmse_{metric}").alias("rmse"), F.col(f"mape_{metric}").alias("mape")
+    )
 
 
 def with_interval(forecast: DataFrame, pct: float = 0.05) -> DataFrame:
@@ -102,45 +123,55 @@ def with_interval(forecast: DataFrame, pct: float = 0.05) -> DataFrame:
     return forecast.withColumns({"lo": lo, "hi": hi})
 
 
-def with_error_interval(forecast: DataFrame, board: DataFrame, z: float = 1.96, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Bounds of +-z hold-out errors instead of a flat share."""
-    rated = forecast.join(board.select(*spec.keys, "model", "rmse"), [*spec.keys, "model"], "left")
+def with_error_interval(preds: DataFrame, board: DataFrame, z: float = 1.96, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Predictions of the models on the board with bounds of +-z hold-out errors instead of a flat share."""
+    rated = preds.join(board.select(*spec.keys, "model", "rmse"), [*spec.keys, "model"])
     return rated.withColumns({"lo": F.col("yhat") - z * F.col("rmse"), "hi": F.col("yhat") + z * F.col("rmse")}).drop("rmse")
 
 
 def forecast_by_strategy(
-    preds: DataFrame, board: DataFrame, strategy: str = "auto", holdout: DataFrame | None = None, manual: str | None = None,
-    members: Sequence[str] = (), weights: Mapping[str, float] | None = None, metric: str = "joint", spec: PanelSpec = DEFAULT,
+    preds: DataFrame, holdout: DataFrame, strategy: str = "auto", manual: str | None = None, members: Sequence[str] = (),
+    weights: Mapping[str, float] | None = None, metric: str = "joint", alpha: float = 0.95, spec: PanelSpec = DEFAULT,
 ) -> DataFrame:
     """The forecast frame (keys, ds, yhat, lo, hi, model) under one selection strategy.
 
-    best      the model with the lowest RMSE
+    best      the model with the lowest hold-out RMSE
     ensemble  mean of the top three, the best single where there are fewer
     auto      the ensemble where its error is lower than the best single's
     manual    one named model, the best single tagged "(Fallback)" where it is missing
     custom    mean of the named members, the best single where none exists
     weights   weighted mean of named models
+
+    Predictions are read once: they meet one verdict row per series, and one aggregation by
+    (series, ds) yields the single, the group mean and the group percentiles together.
     """
-    keys = list(spec.keys)
     if weights:
         return with_interval(weighted(preds, weights, spec))
-    single = _single(preds, board, spec)
-    if strategy == "best":
-        return with_interval(single)
+    name = F.col("model")
+    in_group = {
+        "best": lambda: F.lit(False),
+        "ensemble": lambda: F.col("has_ensemble") & F.array_contains("members", name),
+        "auto": lambda: F.col("has_ensemble") & (F.col(f"rmse_{metric}") < F.col("best_rmse")) & F.array_contains("members", name),
+        "manual": lambda: name == F.lit(manual),
+        "custom": lambda: name.isin(list(members)),
+    }[strategy]()
+    rows = preds.join(evaluate(holdout, spec=spec), list(spec.keys))
+    grouped = F.when(in_group, F.col("yhat"))
+    g = rows.groupBy(*spec.keys, spec.ds).agg(
+        F.max(F.when(name == F.col("best"), F.col("yhat"))).alias("_one"),
+        F.first("best").alias("_best"),
+        F.avg(grouped).alias("_mean"),
+        F.percentile(grouped, [(1 - alpha) / 2, alpha + (1 - alpha) / 2]).alias("_p"),
+        F.sort_array(F.collect_set(F.when(in_group, name))).alias("_names"),
+    )
+    found = F.col("_mean").isNotNull()
+    out = g.withColumn("yhat", F.coalesce("_mean", "_one")).filter(F.col("yhat").isNotNull())
     if strategy == "manual":
-        named = preds.filter(F.col("model") == manual).select(*keys, spec.ds, "yhat", "model")
-        rest = single.join(named.select(*keys).distinct(), keys, "left_anti").withColumn("model", F.concat("model", F.lit(" (Fallback)")))
-        return with_interval(named.unionByName(rest))
-    if strategy == "custom":
-        joint = ensemble(preds.filter(F.col("model").isin(list(members))), spec=spec)
+        out = out.withColumn("model", F.when(found, F.lit(manual)).otherwise(F.concat("_best", F.lit(" (Fallback)"))))
     else:
-        err = ensemble_error(holdout if holdout is not None else preds, board, 3, metric if strategy == "auto" else "mean", spec)
-        if strategy == "auto":
-            best = board.filter(F.col("rank") == 1).select(*keys, F.col("rmse").alias("_best"))
-            err = err.join(best, keys).filter(F.col("rmse") < F.col("_best"))
-        joint = ensemble(top_members(preds, board, 3, spec).join(err.select(*keys), keys, "left_semi"), spec=spec)
-    rest = single.join(joint.select(*keys).distinct(), keys, "left_anti")
-    return with_interval(joint.unionByName(rest, allowMissingColumns=True))
+        joined = F.concat(F.lit("Ensemble ("), F.array_join("_names", ", "), F.lit(")"))
+        out = out.withColumns({"model": F.when(found, joined).otherwise(F.col("_best")), "lo": F.col("_p")[0], "hi": F.col("_p")[1]})
+    return with_interval(out.drop("_one", "_best", "_mean", "_p", "_names"))
 
 
 def compare_strategies(a: DataFrame, b: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:

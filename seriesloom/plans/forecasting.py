@@ -286,14 +286,14 @@ ee AS (SELECT f.series, f.members, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, a
 @query("ensemble_error", sql(*WD, HOLD, ENS_ERR, "SELECT series, members, round(rmse, 1) AS rmse, round(mape, 6) AS mape FROM ee"))
 def ensemble_error(spark, sf_dir):
     hp = holdout_predictions(spark, sf_dir)
-    e = selection.ensemble_error(hp, selection.leaderboard(hp))
+    e = selection.ensemble_error(hp)
     return e.withColumns({"rmse": F.round("rmse", 1), "mape": F.round("mape", 6)})
 
 
 @query("ensemble_error_mean", sql(*WD, HOLD, ENS_ERR, "SELECT series, members, round(rm, 1) AS rmse, round(mm, 6) AS mape FROM full3"))
 def ensemble_error_mean(spark, sf_dir):
     hp = holdout_predictions(spark, sf_dir)
-    e = selection.ensemble_error(hp, selection.leaderboard(hp), metric="mean")
+    e = selection.ensemble_error(hp, metric="mean")
     return e.withColumns({"rmse": F.round("rmse", 1), "mape": F.round("mape", 6)})
 
 
@@ -327,8 +327,8 @@ _FLAT = "round(yhat, 1) AS yhat, round(yhat * 0.95, 1) AS lo, round(yhat * 1.05,
 
 @query("forecast_best", sql(*WD, HOLD, FUT, _SINGLE, f"SELECT series, ds, {_FLAT}, model FROM sg"))
 def forecast_best(spark, sf_dir):
-    board = selection.leaderboard(holdout_predictions(spark, sf_dir))
-    return rounded(selection.forecast_by_strategy(future_predictions(spark, sf_dir), board, "best"), 1, "yhat", "lo", "hi")
+    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "best")
+    return rounded(out, 1, "yhat", "lo", "hi")
 
 
 @query(
@@ -338,8 +338,7 @@ def forecast_best(spark, sf_dir):
         f"SELECT {_R1} FROM en UNION ALL SELECT series, ds, {_FLAT}, model FROM sg WHERE series NOT IN (SELECT series FROM win)"),
 )
 def forecast_auto(spark, sf_dir):
-    hp = holdout_predictions(spark, sf_dir)
-    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), selection.leaderboard(hp), "auto", holdout=hp)
+    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "auto")
     return rounded(out, 1, "yhat", "lo", "hi")
 
 
@@ -350,8 +349,7 @@ u AS (SELECT series, ds, yhat, model FROM nm UNION ALL SELECT series, ds, yhat,
         f"SELECT series, ds, {_FLAT}, model FROM u"),
 )
 def forecast_manual(spark, sf_dir):
-    board = selection.leaderboard(holdout_predictions(spark, sf_dir))
-    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), board, "manual", manual=NAMES[0])
+    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "manual", manual=NAMES[0])
     return rounded(out, 1, "yhat", "lo", "hi")
 
 
@@ -360,8 +358,7 @@ def forecast_manual(spark, sf_dir):
     sql(*WD, HOLD, FUT, f"en AS ({_ENS.format(src=f'''(SELECT * FROM pf WHERE model IN ('{NAMES[1]}', '{NAMES[2]}'))''')})", f"SELECT {_R1} FROM en"),
 )
 def forecast_custom(spark, sf_dir):
-    board = selection.leaderboard(holdout_predictions(spark, sf_dir))
-    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), board, "custom", members=NAMES[1:])
+    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "custom", members=NAMES[1:])
     return rounded(out, 1, "yhat", "lo", "hi")
 
 
@@ -383,9 +380,8 @@ def strategy_compare(spark, sf_dir):
     sql(*WD, HOLD, FUT, _SINGLE, "SELECT sg.series, sg.ds, round(yhat, 1) AS yhat, round(yhat - 1.96::DOUBLE * rmse, 1) AS lo, round(yhat + 1.96::DOUBLE * rmse, 1) AS hi, sg.model FROM sg JOIN lb ON lb.series = sg.series AND lb.model = sg.model"),
 )
 def error_interval(spark, sf_dir):
-    board = selection.leaderboard(holdout_predictions(spark, sf_dir))
-    single = selection.forecast_by_strategy(future_predictions(spark, sf_dir), board, "best").drop("lo", "hi")
-    return rounded(selection.with_error_interval(single, board), 1, "yhat", "lo", "hi")
+    board = selection.leaderboard(holdout_predictions(spark, sf_dir)).filter("rank = 1")
+    return rounded(selection.with_error_interval(future_predictions(spark, sf_dir), board), 1, "yhat", "lo", "hi")
 
 
 @query("model_table", sql(*WD, HOLD, """SELECT series, string_agg(model, ', ' ORDER BY rank) AS ranking, 'Ensemble (' || string_agg(model, ', ' ORDER BY model) || ')' AS ensemble_name,
