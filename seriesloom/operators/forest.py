@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .quantiles import exact_quantiles
 
 SAMPLE = 256
@@ -115,6 +116,8 @@ def anomaly_forest(df: DataFrame, features: Sequence[str], key: str, contaminati
     if nodes is None:
         return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("is_forest"))
     n = df.count()
-    scored = score(df, nodes, features, key, min(SAMPLE, n))
+    # the cut needs more than one pass over the scores: keep them instead of scoring again
+    ensure_checkpoint_dir(df.sparkSession)
+    scored = score(df, nodes, features, key, min(SAMPLE, n)).checkpoint()
     cut = exact_quantiles(scored, [], "score", {"cut": 1 - contamination}).scalar()
     return scored.withColumn("is_forest", F.col("score") > cut)

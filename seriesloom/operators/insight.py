@@ -27,7 +27,7 @@ PER_SOURCE = 3
 MAX_ITEMS = 140
 
 
-def round_robin(items: DataFrame, order: Sequence[Column | str], source: str = "source", per_source: int = PER_SOURCE, limit: int = MAX_ITEMS) -> DataFrame:
+def round_robin(items: DataFrame, order: Sequence[Column | str], source: str = "source", per_source: int = PER_SOURCE, limit: int | None = MAX_ITEMS) -> DataFrame:
     """First items of every source, taken in turns, with an overall limit.
 
     The rank filter is pushed below the shuffle by Spark (a window group limit), so a source with a
@@ -35,7 +35,8 @@ def round_robin(items: DataFrame, order: Sequence[Column | str], source: str = "
     """
     w = Window.partitionBy(source).orderBy(*order)
     ranked = items.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= per_source)
-    return ranked.orderBy("rank", source).limit(limit)
+    turns = ranked.orderBy("rank", source)
+    return turns if limit is None else turns.limit(limit)
 
 
 def by_category(items: DataFrame, category: str, name: str, default: str, first: int = 30) -> DataFrame:
