@@ -9,18 +9,18 @@ from ..functions.calendar import month_ends_after
 from ..spec import DEFAULT, PanelSpec
 
 
-def history_arrays(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """(keys, ys, last, n): values in date order. A series has one row per month, so the array is
-    bounded by the calendar, not by the data volume."""
-    return (
-        df.groupBy(*spec.keys)
-        .agg(F.sort_array(F.collect_list(F.struct(spec.ds, spec.y))).alias("_h"))
-        .select(
-            *spec.keys,
-            F.transform("_h", lambda r: r[spec.y]).alias("ys"),
-            F.element_at("_h", -1)[spec.ds].alias("last"),
-            F.size("_h").alias("n"),
-        )
+def history_arrays(df: DataFrame, spec: PanelSpec = DEFAULT, dates: bool = False) -> DataFrame:
+    """(keys, ys, last, n): values in date order, with `dates` also the (ds, y) pairs as `hist`.
+
+    A series has one row per month, so the array is bounded by the calendar, not by the data volume.
+    """
+    hist = df.groupBy(*spec.keys).agg(F.sort_array(F.collect_list(F.struct(spec.ds, spec.y))).alias("hist"))
+    return hist.select(
+        *spec.keys,
+        F.transform("hist", lambda r: r[spec.y]).alias("ys"),
+        F.element_at("hist", -1)[spec.ds].alias("last"),
+        F.size("hist").alias("n"),
+        *(["hist"] if dates else []),
     )
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.features import ml_features
 from ..spec import DEFAULT, PanelSpec
 from . import factor, linear, smoothing
 
@@ -74,12 +75,12 @@ class LinearAR(_Configured):
         return list(self.params.get("features", ("lag_1", "rolling_mean_3")))
 
     def fit(self, df: DataFrame) -> DataFrame:
-        from ..operators.features import ml_features
-
-        return linear.fit_linear(ml_features(df, spec=self.spec), self.features, self.spec.y, self.spec.keys, self.params.get("alpha", 0.0))
+        lags = max([3, *[int(f[4:]) for f in self.features if f.startswith("lag_")]])
+        rows = ml_features(df, lags, spec=self.spec)
+        return linear.fit_for_recursion(rows, self.features, self.params.get("alpha", 0.0), self.spec)
 
     def forecast(self, df: DataFrame, horizon: int) -> DataFrame:
-        return linear.recursive_linear(df, self.fit(df), self.features, horizon, spec=self.spec)
+        return linear.recursive_linear(self.fit(df), self.features, horizon, spec=self.spec)
 
 
 def save_model(table: DataFrame, path: str) -> None:

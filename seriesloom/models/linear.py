@@ -30,28 +30,32 @@ def _solve(cov: pd.Series, cxy: pd.Series, n: pd.Series, alpha: pd.Series) -> pd
     return pd.Series(list(w / safe))
 
 
-def fit_linear(df: DataFrame, xs: Sequence[str], y: str = "y", keys: Sequence[str] = ("series",), alpha: float = 0.0) -> DataFrame:
+def fit_linear(
+    df: DataFrame, xs: Sequence[str], y: str = "y", keys: Sequence[str] = ("series",), alpha: float = 0.0, carry: dict[str, Column] | None = None
+) -> DataFrame:
     """(keys, n, intercept, coef, means): least squares (alpha = 0) or ridge per key.
 
     Covariances are mergeable aggregates, so rows combine inside the map tasks and a group of any
-    size arrives as p*p numbers.
+    size arrives as p*p numbers. `carry` adds further aggregates of the same rows.
     """
     ok = F.lit(True)
     for c in (*xs, y):
         ok = ok & F.col(c).isNotNull()
     pairs = {(i, j): f"_c{i}_{j}" for i in range(len(xs)) for j in range(i, len(xs))}
     x = [F.col(c).cast("double") for c in xs]
+    extra = carry or {}
     g = df.filter(ok).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg(y).alias("_my"),
         F.array(*[F.avg(c) for c in x]).alias("means"),
         F.array(*[F.covar_pop(c, F.col(y)) for c in x]).alias("_cxy"),
         *[F.covar_pop(x[i], x[j]).alias(name) for (i, j), name in pairs.items()],
+        *[c.alias(name) for name, c in extra.items()],
     )
     flat = F.array(*[F.col(pairs[min(i, j), max(i, j)]) for i in range(len(xs)) for j in range(len(xs))])
     solved = g.withColumn("coef", _solve(flat, F.col("_cxy"), F.col("n").cast("double"), F.lit(float(alpha))))
     shift = F.aggregate(F.zip_with("coef", "means", lambda c, m: c * m), F.lit(0.0), lambda a, v: a + v)
-    return solved.select(*keys, "n", (F.col("_my") - shift).alias("intercept"), "coef", "means")
+    return solved.select(*keys, "n", (F.col("_my") - shift).alias("intercept"), "coef", "means", *extra)
 
 
 def linear_value(xs: Sequence[Column], intercept: str = "intercept", coef: str = "coef") -> Column:
@@ -67,27 +71,29 @@ def predict_linear(rows: DataFrame, model: DataFrame, xs: Sequence[str], keys: S
     ).drop("intercept", "coef")
 
 
+def fit_for_recursion(feature_rows: DataFrame, features: Sequence[str], alpha: float = 0.0, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Linear model of a feature frame together with the last values and date of every series.
+
+    The last feature row holds the last value and its lags, so one aggregation gives the model and
+    the state from which `recursive_linear` starts.
+    """
+    deepest = max([3, *[int(f[4:]) for f in features if f.startswith("lag_")]])
+    lags = [f"lag_{i}" for i in range(deepest - 1, 0, -1)]
+    end = F.max_by(F.array(*[F.col(c) for c in (*lags, spec.y)]), F.col(spec.ds))
+    return fit_linear(feature_rows, features, spec.y, spec.keys, alpha, {"tail": end, "last": F.max(spec.ds)})
+
+
 def recursive_linear(
-    history: DataFrame, model: DataFrame, features: Sequence[str], horizon: int, exog: DataFrame | None = None, spec: PanelSpec = DEFAULT
+    model: DataFrame, features: Sequence[str], horizon: int, exog: DataFrame | None = None, spec: PanelSpec = DEFAULT
 ) -> DataFrame:
     """Multi-step forecast: each prediction becomes the next row's lags and rolling mean.
 
-    One fold over the future months per series. `exog` holds one row per (step) with further
-    columns, the same for all series; features found nowhere count as 0.
+    `model` has (keys, intercept, coef, tail, last). One fold over the future months per series.
+    `exog` holds one row per step with further columns, the same for all series; features found
+    nowhere count as 0.
     """
     deepest = max([3, *[int(f[4:]) for f in features if f.startswith("lag_")]])
-    tail = (
-        history.groupBy(*spec.keys)
-        .agg(F.sort_array(F.collect_list(F.struct(spec.ds, spec.y))).alias("_h"))
-        .select(
-            *spec.keys,
-            F.transform(F.slice("_h", -deepest, deepest), lambda r: r[spec.y]).alias("tail"),
-            F.element_at("_h", -1)[spec.ds].alias("last"),
-            F.size("_h").alias("_n"),
-        )
-        .filter(F.col("_n") >= deepest)
-    )
-    rows = tail.join(model.select(*spec.keys, "intercept", "coef"), list(spec.keys))
+    rows = model.filter(F.size("tail") >= deepest)
     exog_cols = [f for f in features if exog is not None and f in exog.columns]
     if exog_cols:
         packed = exog.agg(F.sort_array(F.collect_list(F.struct("step", *exog_cols))).alias("e")).scalar()

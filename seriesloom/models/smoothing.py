@@ -46,38 +46,50 @@ def _extrapolate(state: Column, horizon: int, m: int) -> Column:
     )
 
 
+def _sets(params: Sequence[tuple[float, float, float]]) -> Column:
+    return F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(g)).alias("g")) for a, b, g in params])
+
+
+def _best(arrays: DataFrame, params: Sequence[tuple[float, float, float]], carry: Sequence[str], spec: PanelSpec) -> DataFrame:
+    """Fitted state `st` and weights `p` of the parameter set with the least squared error.
+
+    Every (series, parameter set) is an own row, so the search runs in parallel over both.
+    """
+    m = spec.season
+    tries = arrays.filter(F.size("ys") >= 2 * m).withColumn("p", F.explode(_sets(params)))
+    tries = tries.withColumn("st", _fold(F.col("ys"), F.col("p.a"), F.col("p.b"), F.col("p.g"), m)).drop("ys")
+    if len(params) == 1:
+        return tries
+    rank = F.struct(F.col("st.sse"), F.col("p"))
+    return tries.groupBy(*spec.keys).agg(F.min_by("st", rank).alias("st"), F.min_by("p", rank).alias("p"), *[F.first(c).alias(c) for c in carry])
+
+
 def holt_winters(
     df: DataFrame, horizon: int, params: Sequence[tuple[float, float, float]] = GRID, spec: PanelSpec = DEFAULT
 ) -> DataFrame:
     """Additive trend and season; with several parameter sets the one with the least squared error wins.
 
-    Series shorter than two seasons are left out. Every (series, parameter set) is an own row, so
-    the search runs in parallel over both.
+    Series shorter than two seasons are left out.
     """
-    m = spec.season
-    sets = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(g)).alias("g")) for a, b, g in params])
-    tries = (
-        history_arrays(df, spec)
-        .filter(F.col("n") >= 2 * m)
-        .withColumn("p", F.explode(sets))
-        .withColumn("st", _fold(F.col("ys"), F.col("p.a"), F.col("p.b"), F.col("p.g"), m))
-    )
-    if len(params) > 1:
-        rank = F.struct(F.col("st.sse"), F.col("p"))
-        tries = tries.groupBy(*spec.keys).agg(
-            F.min_by("st", rank).alias("st"), F.min_by("p", rank).alias("p"), F.first("last").alias("last")
-        )
-    return explode_forecast(tries.withColumn("_f", _extrapolate(F.col("st"), horizon, m)), F.col("_f"), horizon, spec)
+    best = _best(history_arrays(df, spec), params, ["last"], spec)
+    return explode_forecast(best.withColumn("_f", _extrapolate(F.col("st"), horizon, spec.season)), F.col("_f"), horizon, spec)
+
+
+def holt_winters_backtest(
+    df: DataFrame, periods: int = 12, params: Sequence[tuple[float, float, float]] = GRID, spec: PanelSpec = DEFAULT
+) -> DataFrame:
+    """(keys, ds, y, yhat) of the last `periods` rows of every series, fitted on the rows before; one pass."""
+    full = history_arrays(df, spec, dates=True).filter(F.col("n") > periods)
+    cut = full.withColumn("test", F.slice("hist", -periods, periods)).withColumn("ys", F.slice("ys", F.lit(1), F.col("n") - periods)).drop("hist")
+    best = _best(cut, params, ["test"], spec).withColumn("_f", _extrapolate(F.col("st"), periods, spec.season))
+    pairs = F.zip_with("test", "_f", lambda t, f: F.struct(t[spec.ds].alias(spec.ds), t[spec.y].alias(spec.y), f.alias("yhat")))
+    return best.select(*spec.keys, F.explode(pairs).alias("r")).select(*spec.keys, f"r.{spec.ds}", f"r.{spec.y}", "r.yhat")
 
 
 def holt_winters_fit(df: DataFrame, params: Sequence[tuple[float, float, float]] = GRID, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Chosen weights and squared error per series."""
-    m = spec.season
-    sets = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(g)).alias("g")) for a, b, g in params])
-    tries = history_arrays(df, spec).filter(F.col("n") >= 2 * m).withColumn("p", F.explode(sets))
-    scored = tries.select(*spec.keys, "p", _fold(F.col("ys"), F.col("p.a"), F.col("p.b"), F.col("p.g"), m)["sse"].alias("sse"))
-    best = scored.groupBy(*spec.keys).agg(F.min_by("p", F.struct("sse", "p")).alias("p"), F.min("sse").alias("sse"))
-    return best.select(*spec.keys, F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"), F.col("p.g").alias("gamma"), "sse")
+    best = _best(history_arrays(df, spec), params, [], spec)
+    return best.select(*spec.keys, F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"), F.col("p.g").alias("gamma"), F.col("st.sse").alias("sse"))
 
 
 def theta(df: DataFrame, horizon: int, alphas: Sequence[float] = (0.1, 0.2, 0.3, 0.5, 0.7, 0.9), spec: PanelSpec = DEFAULT) -> DataFrame:

@@ -33,16 +33,25 @@ def fill_both(df: DataFrame, cols: Iterable[str], spec: PanelSpec = DEFAULT) ->
 def densify(df: DataFrame, fill: str = "null", spec: PanelSpec = DEFAULT) -> DataFrame:
     """Give every series one row for each month between its own first and last month.
 
-    `fill` says what a gap month gets: null, 0 ("zero") or the value before it ("ffill").
+    `fill` says what a gap month gets: null, 0 ("zero") or the value before it ("ffill"). Each row
+    looks at the next date of its series and expands over the months up to it: one window, no
+    join, and the rows stay partitioned by series for what follows.
     """
-    span = df.groupBy(*spec.keys).agg(F.min(spec.ds).alias("_lo"), F.max(spec.ds).alias("_hi"))
-    calendar = span.select(*spec.keys, F.explode(month_ends_between(F.col("_lo"), F.col("_hi"))).alias(spec.ds))
-    out = calendar.join(df, [*spec.keys, spec.ds], "left")
-    if fill == "zero":
-        return out.fillna(0.0, subset=[spec.y])
+    w = spec.ordered()
+    nxt = F.lead(spec.ds).over(w)
+    months = F.when(nxt.isNull(), F.array(spec.ds)).otherwise(month_ends_between(F.col(spec.ds), F.add_months(nxt, -1)))
+    rest = [c for c in df.columns if c not in (*spec.keys, spec.ds, spec.y)]
+    cols = {"_months": months}
     if fill == "ffill":
-        return forward_fill(out, [spec.y], spec)
-    return out
+        cols["_y"] = F.last(spec.y, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = df.withColumns(cols).select(*spec.keys, spec.y, *rest, *list(cols)[1:], F.posexplode("_months").alias("_i", "_d"))
+    own = F.col("_i") == 0
+    y = {
+        "null": F.when(own, F.col(spec.y)),
+        "zero": F.when(own, F.coalesce(F.col(spec.y), F.lit(0.0))).otherwise(F.lit(0.0)),
+        "ffill": F.col("_y") if fill == "ffill" else None,
+    }[fill]
+    return out.select(*spec.keys, F.col("_d").alias(spec.ds), y.alias(spec.y), *[F.when(own, F.col(c)).alias(c) for c in rest])
 
 
 def repair_outliers(df: DataFrame, threshold: float = 2.5, spec: PanelSpec = DEFAULT) -> DataFrame:

@@ -8,39 +8,36 @@ from pyspark.sql import functions as F
 from .quantiles import bucket_of
 
 
-def ks_statistic(long: DataFrame, buckets: int = 64) -> DataFrame:
+def ks_statistic(long: DataFrame, k: int = 8) -> DataFrame:
     """Largest gap of the two empirical distributions per feature.
 
-    `long` is (feature, sample, value) with sample 0 or 1. Equal values collapse first (partial
-    aggregation before the shuffle). The running sums are then built per (feature, value bucket)
-    and start from the totals of the buckets before, so a feature of any size is spread over
-    `buckets` tasks and the result stays exact.
+    `long` is (feature, sample, value) with sample 0 or 1. A first pass takes k*k quantile bounds
+    and the sample sizes per feature (mergeable, one small row per feature). The second pass
+    collapses equal values inside the map tasks and runs the cumulative difference of the two
+    distributions inside each (feature, bucket) on its own. A bucket hands on only its total, its
+    highest and its lowest point, from which the exact maximum over all values follows.
     """
     v = F.col("value")
-    counts = (
-        long.filter(v.isNotNull())
-        .groupBy("feature", "value")
-        .agg(F.count_if(F.col("sample") == 0).alias("c0"), F.count_if(F.col("sample") == 1).alias("c1"))
-    )
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy("feature").agg(
-        F.percentile_approx("value", probs, 2000).alias("edges"), F.sum("c0").alias("n0"), F.sum("c1").alias("n1")
-    )
-    placed = counts.join(F.broadcast(edges), "feature").withColumn("b", bucket_of(v, F.col("edges")))
-    tot = placed.groupBy("feature", "b").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
-    before = Window.partitionBy("feature").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    start = tot.select(
-        "feature", "b",
-        F.coalesce(F.sum("t0").over(before), F.lit(0)).alias("s0"),
-        F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("s1"),
+    rows = long.filter(v.isNotNull())
+    probs = [i / (k * k) for i in range(1, k * k)]
+    edges = rows.groupBy("feature").agg(
+        F.percentile_approx("value", probs, 2000).alias("edges"),
+        F.count_if(F.col("sample") == 0).alias("n0"), F.count_if(F.col("sample") == 1).alias("n1"),
     )
+    # one row per feature, i.e. per column of a table
+    placed = rows.join(F.broadcast(edges), "feature").withColumn("b", bucket_of(v, F.col("edges"), k))
+    step = (F.count_if(F.col("sample") == 0) / F.col("n0")) - (F.count_if(F.col("sample") == 1) / F.col("n1"))
+    steps = placed.groupBy("feature", "b", "value", "n0", "n1").agg(step.alias("d"))
     run = Window.partitionBy("feature", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    f0 = (F.col("s0") + F.sum("c0").over(run)) / F.col("n0")
-    f1 = (F.col("s1") + F.sum("c1").over(run)) / F.col("n1")
-    gaps = placed.join(F.broadcast(start), ["feature", "b"]).withColumn("gap", F.abs(f0 - f1))
-    return gaps.groupBy("feature").agg(
-        F.max("gap").alias("stat"), F.first("n0").alias("n0"), F.first("n1").alias("n1")
+    buckets = (
+        steps.withColumn("_run", F.sum("d").over(run))
+        .groupBy("feature", "b", "n0", "n1")
+        .agg(F.sum("d").alias("total"), F.max("_run").alias("top"), F.min("_run").alias("low"))
     )
+    before = Window.partitionBy("feature").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("total").over(before), F.lit(0.0))
+    gap = F.greatest(F.abs(start + F.col("top")), F.abs(start + F.col("low")))
+    return buckets.withColumn("_gap", gap).groupBy("feature", "n0", "n1").agg(F.max("_gap").alias("stat"))
 
 
 def ks_p_value(stat: Column, n0: Column, n1: Column, terms: int = 100) -> Column:
@@ -55,9 +52,9 @@ def ks_p_value(stat: Column, n0: Column, n1: Column, terms: int = 100) -> Column
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
-def drift_report(long: DataFrame, threshold: float = 0.05, buckets: int = 64) -> DataFrame:
+def drift_report(long: DataFrame, threshold: float = 0.05, k: int = 8) -> DataFrame:
     """Statistic, p-value, per-feature flag and the any-feature flag."""
-    ks = ks_statistic(long, buckets).withColumn("p_value", ks_p_value(F.col("stat"), F.col("n0"), F.col("n1")))
+    ks = ks_statistic(long, k).withColumn("p_value", ks_p_value(F.col("stat"), F.col("n0"), F.col("n1")))
     flagged = ks.withColumn("drift", F.col("p_value") < threshold)
     return flagged.withColumn("any_drift", F.max("drift").over(Window.partitionBy()))
 

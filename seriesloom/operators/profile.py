@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import trend_band, volatility_band
@@ -108,12 +108,11 @@ def decompose(df: DataFrame, model: str = "additive", spec: PanelSpec = DEFAULT)
         .drop("_n")
         .withColumn("_d", F.try_divide(y, F.col("trend")) if mul else y - F.col("trend"))
     )
-    by_phase = base.groupBy(*spec.keys, "phase").agg(F.avg("_d").alias("_s"))
-    centre = F.avg("_s").over(spec.whole())
-    factors = by_phase.select(
-        *spec.keys, "phase", (F.try_divide(F.col("_s"), centre) if mul else F.col("_s") - centre).alias("seasonal")
-    )
-    out = base.join(factors, [*spec.keys, "phase"])
+    phase = Window.partitionBy(*spec.keys, "phase")
+    out = base.withColumns({"_s": F.avg("_d").over(phase), "_k": F.count("*").over(phase)})
+    # every phase counts once in the centre, however many rows it has
+    centre = F.sum(F.col("_s") / F.col("_k")).over(spec.whole()) / spec.season
+    out = out.withColumn("seasonal", F.try_divide(F.col("_s"), centre) if mul else F.col("_s") - centre)
     if mul:
         resid = F.try_divide(y, F.col("trend") * F.col("seasonal"))
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,11 @@ def exact_quantiles(
     return long.groupBy(*keys).agg(*wide) if keys else long.agg(*wide)
 
 
-def bucket_of(value: Column, edges: Column) -> Column:
-    """Number of edges below the value; `edges` is a short sorted array."""
-    return F.size(F.filter(edges, lambda e: e < value))
+def bucket_of(value: Column, edges: Column, k: int) -> Column:
+    """Which of k*k buckets a value falls into; `edges` holds the k*k - 1 sorted bounds.
+
+    Two levels of k - 1 comparisons each, small enough to stay inside generated code.
+    """
+    above = lambda i: F.when(value > F.get(edges, i), 1).otherwise(0)
+    coarse = reduce(lambda a, b: a + b, [above(F.lit(k * i - 1)) for i in range(1, k)])
+    return coarse * k + reduce(lambda a, b: a + b, [above(coarse * k + j) for j in range(k - 1)])

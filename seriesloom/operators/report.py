@@ -139,23 +139,19 @@ def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def boxplot(df: DataFrame, spec: PanelSpec = DEFAULT, k: float = 1.5) -> DataFrame:
     """Quartiles, eighths, whiskers (extremes inside the fences) and outlier count per series."""
-    probs = [0.125, 0.25, 0.5, 0.75, 0.875]
-    keys = list(spec.keys)
-    q = df.groupBy(*keys).agg(F.percentile(spec.y, probs).alias("_q"))
-    fences = q.select(
-        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(("e1", "q1", "median", "q3", "e7"))]
-    ).withColumns(
-        {"_lo": F.col("q1") - k * (F.col("q3") - F.col("q1")), "_hi": F.col("q3") + k * (F.col("q3") - F.col("q1"))}
-    )
-    inside = F.col(spec.y).between(F.col("_lo"), F.col("_hi"))
+    names = ("e1", "q1", "median", "q3", "e7")
+    rows = df.withColumn("_q", F.percentile(spec.y, [0.125, 0.25, 0.5, 0.75, 0.875]).over(spec.whole()))
+    q1, q3 = F.col("_q")[1], F.col("_q")[3]
+    inside = F.col(spec.y).between(q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return (
-        df.join(fences, keys)
-        .groupBy(*keys, "e1", "q1", "median", "q3", "e7")
+        rows.groupBy(*spec.keys)
         .agg(
+            F.first("_q").alias("_q"),
             F.min(F.when(inside, F.col(spec.y))).alias("whisker_lo"),
             F.max(F.when(inside, F.col(spec.y))).alias("whisker_hi"),
             F.count_if(~inside).cast("bigint").alias("n_out"),
         )
+        .select(*spec.keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "whisker_lo", "whisker_hi", "n_out")
     )
 
 

@@ -217,20 +217,17 @@ NAMES = ("Holt-Winters", "Linear-AR", "Trend-Factor")
 
 def holdout_predictions(spark, sf_dir):
     """(series, model, ds, y, yhat) on the last 12 months, fitted on what is before them."""
-    split = features.holdout_split(fx.wide_dense(spark, sf_dir))
-    train = split.filter("part = 'train'").drop("part")
-    test = split.filter("part = 'test'").select("series", "ds", "y")
-    ml = features.holdout_split(features.ml_features(fx.wide_dense(spark, sf_dir)))
+    panel = fx.wide_dense(spark, sf_dir)
+    ml = features.holdout_split(features.ml_features(panel))
     lin = linear.fit_linear(ml.filter("part = 'train'"), AR_FEATURES)
-    one_step = linear.predict_linear(ml.filter("part = 'test'"), lin, AR_FEATURES).select("series", "ds", "yhat")
-    preds = selection.stack(
+    one_step = linear.predict_linear(ml.filter("part = 'test'"), lin, AR_FEATURES).select("series", "ds", "y", "yhat")
+    return selection.stack(
         {
-            NAMES[0]: smoothing.holt_winters(train, H, FIXED).drop("step"),
+            NAMES[0]: smoothing.holt_winters_backtest(panel, H, FIXED),
             NAMES[1]: one_step,
-            NAMES[2]: factor.trend_factor(train, H).drop("step"),
+            NAMES[2]: factor.backtest(features.holdout_split(panel)),
         }
     )
-    return test.join(preds, ["series", "ds"])
 
 
 def future_predictions(spark, sf_dir):

@@ -310,17 +310,17 @@ _KSP = (
 )
 
 
-@query("drift_ks", sql(*_KS, "SELECT * FROM ks"))
+@query("drift_ks", sql(*_KS, "SELECT feature, round(stat, 12) AS stat, n0, n1 FROM ks"))
 def drift_ks(spark, sf_dir):
-    return drift.ks_statistic(_drift_long(spark, sf_dir))
+    return drift.ks_statistic(_drift_long(spark, sf_dir)).withColumn("stat", F.round("stat", 12))
 
 
-@query("drift_flags", sql(*_KS, *_KSP, "SELECT feature, stat, n0, n1, round(p_value, 9) AS p_value, p_value < 0.05 AS drift, max(p_value < 0.05) OVER () AS any_drift FROM pv"))
+@query("drift_flags", sql(*_KS, *_KSP, "SELECT feature, round(stat, 12) AS stat, n0, n1, round(p_value, 9) AS p_value, p_value < 0.05 AS drift, max(p_value < 0.05) OVER () AS any_drift FROM pv"))
 def drift_flags(spark, sf_dir):
-    return drift.drift_report(_drift_long(spark, sf_dir)).withColumn("p_value", F.round("p_value", 9))
+    return drift.drift_report(_drift_long(spark, sf_dir)).withColumns({"p_value": F.round("p_value", 9), "stat": F.round("stat", 12)})
 
 
-@query("drift_top", sql(*_KS, *_KSP, "SELECT feature, stat, round(p_value, 9) AS p_value FROM pv ORDER BY pv.p_value, stat DESC, feature LIMIT 4"))
+@query("drift_top", sql(*_KS, *_KSP, "SELECT feature, round(stat, 12) AS stat, round(p_value, 9) AS p_value FROM pv ORDER BY pv.p_value, pv.stat DESC, feature LIMIT 4"))
 def drift_top(spark, sf_dir):
     top = drift.top_drifted(drift.drift_report(_drift_long(spark, sf_dir)))
-    return top.select("feature", "stat", F.round("p_value", 9).alias("p_value"))
+    return top.select("feature", F.round("stat", 12).alias("stat"), F.round("p_value", 9).alias("p_value"))
