@@ -31,13 +31,15 @@ def exact_quantiles(
         F.count("*").alias("_n"), F.percentile_approx("_x", cuts, accuracy * 2).alias("_c"),
         F.min("_x").alias("_min"), F.max("_x").alias("_max"),
     )
+    # in a small group a bracket may be narrower than one rank: take the whole range there
+    small = F.col("_n") <= 2 * accuracy
     probes = F.array(
         *[
             F.struct(
                 F.lit(name).alias("q"),
                 (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-                (F.col("_min") if cuts[2 * i] == 0.0 else F.col("_c")[2 * i]).alias("lo"),
-                (F.col("_max") if cuts[2 * i + 1] == 1.0 else F.col("_c")[2 * i + 1]).alias("hi"),
+                (F.col("_min") if cuts[2 * i] == 0.0 else F.when(small, F.col("_min")).otherwise(F.col("_c")[2 * i])).alias("lo"),
+                (F.col("_max") if cuts[2 * i + 1] == 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_c")[2 * i + 1])).alias("hi"),
             )
             for i, (name, p) in enumerate(probs.items())
         ]
