@@ -1,6 +1,7 @@
 """Keyed time-series analytics and forecasting as composable Spark DataFrame operators."""
 
+from .engine import PanelEngine
 from .session import build_session
 from .spec import PanelSpec
 
-__all__ = ["PanelSpec", "build_session"]
+__all__ = ["PanelEngine", "PanelSpec", "build_session"]

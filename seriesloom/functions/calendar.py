@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import datetime
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,3 +62,20 @@ def step_by_year(ds: Column, steps: dict[int, float], default: float) -> Column:
     for year, value in sorted(steps.items(), reverse=True):
         out = F.when(F.year(ds) == year, float(value)).otherwise(out)
     return out
+
+
+@F.udtf(returnType="step int, ds date")
+class MonthEnds:
+    """SQL table function: the `n` month ends after a date."""
+
+    def eval(self, start: datetime.date, n: int):
+        if start is None:
+            return
+        first = start.year * 12 + start.month
+        for step in range(1, n + 1):
+            y, m = divmod(first + step, 12)
+            yield step, datetime.date(y, m + 1, 1) - datetime.timedelta(days=1)
+
+
+def register_month_ends(spark: SparkSession) -> None:
+    spark.udtf.register("month_ends", MonthEnds)

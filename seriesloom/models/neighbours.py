@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import DEFAULT, PanelSpec
@@ -39,3 +39,21 @@ def knn(
     num = F.aggregate("_n", F.lit(0.0), lambda s, r: s + w(r) * r["y"])
     den = F.aggregate("_n", F.lit(0.0), lambda s, r: s + w(r))
     return joined.withColumn("yhat", num / den).drop("_q", "_t", "_n")
+
+
+def knn_search(
+    df: DataFrame, features: Sequence[str], ks: Sequence[int] = (3, 5, 10, 20), ps: Sequence[int] = (1, 2),
+    weights: Sequence[str] = ("uniform", "distance"), spec: PanelSpec = DEFAULT,
+) -> DataFrame:
+    """Hold-out RMSE per series and setting of a bounded grid, with its rank inside the series."""
+    out = None
+    for p in ps:
+        for w in weights:
+            for k in ks:
+                one = knn(df, features, k, p, w, spec=spec).select(
+                    *spec.keys, F.lit(k).alias("k"), F.lit(p).alias("p"), F.lit(w).alias("weights"), F.pow(spec.value - F.col("yhat"), 2).alias("_e")
+                )
+                out = one if out is None else out.unionByName(one)
+    scored = out.groupBy(*spec.keys, "k", "p", "weights").agg(F.sqrt(F.avg("_e")).alias("rmse"))
+    rank = F.row_number().over(Window.partitionBy(*spec.keys).orderBy("rmse", "k", "p", "weights"))
+    return scored.withColumn("rank", rank.cast("bigint"))

@@ -136,3 +136,11 @@ def importance(model: PipelineModel, features: Sequence[str] = ENGINE_FEATURES):
     """[(feature, importance)] of a fitted tree model, largest first."""
     vec = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, (float(v) for v in vec)), key=lambda t: (-t[1], t[0]))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

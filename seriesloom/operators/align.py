@@ -31,12 +31,19 @@ def annual_to_monthly(months: DataFrame, annual: DataFrame, default: float, name
 
     `annual` is one row per year of one indicator: (year, value).
     """
-    last = annual.filter(F.col("value").isNotNull()).agg(F.max_by("value", "year").alias("v")).scalar()
+    # years of a calendar: a map of them is small and read once
+    known = annual.filter(F.col("value").isNotNull())
+    table = known.agg(
+        F.struct(
+            F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("bigint"), "value"))).alias("by_year"),
+            F.max_by("value", "year").alias("last"),
+        ).alias("t")
+    ).scalar()
+    own = F.try_element_at(F.col("_t.by_year"), F.year(ds).cast("bigint"))
     return (
-        months.withColumn("year", F.year(ds).cast("bigint"))
-        .join(F.broadcast(annual.select("year", "value")), "year", "left")
-        .withColumn(name, F.coalesce("value", last, F.lit(float(default))))
-        .drop("year", "value")
+        months.withColumn("_t", table)
+        .withColumn(name, F.coalesce(own, F.col("_t.last"), F.lit(float(default))))
+        .drop("_t")
     )
 
 
@@ -55,12 +62,8 @@ def asof_backward(
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_m", F.trunc(on, "month"))
     order = [F.col(on), F.col("_side")]
     within = Window.partitionBy(*keys, "_m").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    closing = (
-        right.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.trunc(on, "month").alias("_m"))
-        .agg(F.max_by(F.col(value).cast("double"), F.col(on)).alias("_close"))
-    )
-    months = both.select(*keys, "_m").distinct().join(closing, [*keys, "_m"], "left")
+    known = F.when(F.col("_v").isNotNull(), F.col(on))
+    months = both.groupBy(*keys, "_m").agg(F.max_by("_v", known).alias("_close"))
     before = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     carry = months.select(*keys, "_m", F.last("_close", ignorenulls=True).over(before).alias("_carry"))
     filled = both.withColumn("_in", F.last("_v", ignorenulls=True).over(within)).filter("_side = 1")

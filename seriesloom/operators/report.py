@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import growth_band
 from ..functions.numeric import pct_change
+from ..session import ensure_checkpoint_dir
 from ..spec import DEFAULT, PanelSpec
+from .quantiles import exact_quantiles
 
 
 def totals(df: DataFrame, by: Sequence[str], col: str = "y", name: str = "total") -> DataFrame:
@@ -64,10 +66,9 @@ def headline_kpis(history: DataFrame, forecast: DataFrame, spec: PanelSpec = DEF
 
 def composition(df: DataFrame, by: str = "series", col: str = "y") -> DataFrame:
     """Total and share per key plus the grand-total row, from one rollup."""
-    rolled = df.rollup(by).agg(F.sum(col).alias("total"), F.grouping(by).alias("_g"))
-    # the rollup has one row per key plus one; the grand total is picked by the grouping flag
-    grand = df.agg(F.sum(col)).scalar()
-    return rolled.select(
+    per_key = df.groupBy(by).agg(F.sum(col).alias("t"))
+    grand = per_key.agg(F.sum("t")).scalar()
+    return per_key.rollup(by).agg(F.sum("t").alias("total"), F.grouping(by).alias("_g")).select(
         F.when(F.col("_g") == 1, F.lit("Total")).otherwise(F.col(by)).alias(by),
         "total",
         F.try_divide(F.col("total"), grand).alias("share"),
@@ -76,8 +77,8 @@ def composition(df: DataFrame, by: str = "series", col: str = "y") -> DataFrame:
 
 def total_or_series(df: DataFrame, by: str = "series", col: str = "y") -> DataFrame:
     """Per-key totals and the all-keys total under the label 'Total Aggregated'."""
-    sets = df.groupingSets([[by], []], by)
-    return sets.agg(F.sum(col).alias("total"), F.grouping(by).alias("_g")).select(
+    per_key = df.groupBy(by).agg(F.sum(col).alias("t"))
+    return per_key.groupingSets([[by], []], by).agg(F.sum("t").alias("total"), F.grouping(by).alias("_g")).select(
         F.when(F.col("_g") == 1, F.lit("Total Aggregated")).otherwise(F.col(by)).alias("selection"), "total"
     )
 
@@ -194,13 +195,18 @@ def portfolio(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 
 def quadrants(metrics: DataFrame, x: str = "avg_growth", y: str = "total") -> DataFrame:
-    """Label each series by its side of the two medians."""
-    m = metrics.agg(F.struct(F.median(x).alias("mx"), F.median(y).alias("my")).alias("m")).scalar()
-    fast, big = F.col(x) >= F.col("_m.mx"), F.col(y) >= F.col("_m.my")
-    label = (
-        F.when(fast & big, "star").when(big, "cash cow").when(fast, "question mark").otherwise("laggard")
-    )
-    return metrics.withColumn("_m", m).withColumn("quadrant", label).drop("_m")
+    """Label each series by its side of the two medians.
+
+    The metrics are one row per series and are read three times, so they are kept; the medians come
+    from the sketch-and-refine quantiles because there may be very many series.
+    """
+    ensure_checkpoint_dir(metrics.sparkSession)
+    kept = metrics.checkpoint()
+    mx, my = (exact_quantiles(kept, [], c, {"m": 0.5}).scalar() for c in (x, y))
+    out = kept.withColumns({"_mx": mx, "_my": my})
+    fast, big = F.col(x) >= F.col("_mx"), F.col(y) >= F.col("_my")
+    label = F.when(fast & big, "star").when(big, "cash cow").when(fast, "question mark").otherwise("laggard")
+    return out.withColumn("quadrant", label).drop("_mx", "_my")
 
 
 def buoyancy(totals_by_period: DataFrame, indicator_growth: float = 5.0, col: str = "total") -> DataFrame:

@@ -440,3 +440,11 @@ def period_labels(spark, sf_dir):
 @query("rounded_indicators", sql(fx.IND, "SELECT ds, round(avg_discount, 2) AS avg_discount, round(avg_tax, 2) AS avg_tax, round(avg_qty, 2) AS avg_qty, round(avg_price, 2) AS avg_price FROM ind"))
 def rounded_indicators(spark, sf_dir):
     return num.round_numeric(fx.indicators(spark, sf_dir), 2)
+
+
+@query("calendar_udtf", sql(fx.PANEL, _STEPS.replace("s.step, CAST", "CAST(s.step AS INTEGER) AS step, CAST")))
+def calendar_udtf(spark, sf_dir):
+    """The same calendar through the SQL table function."""
+    cal.register_month_ends(spark)
+    last = fx.panel(spark, sf_dir).groupBy("series").agg(F.max("ds").alias("last"))
+    return spark.sql("SELECT p.series, m.step, m.ds FROM {last} p, LATERAL month_ends(p.last, 12) m", last=last)

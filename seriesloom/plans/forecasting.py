@@ -155,6 +155,13 @@ def fc_knn(spark, sf_dir):
     return out.select("series", "ds", "y", F.round("yhat", 4).alias("yhat"))
 
 
+@query("tune_knn")
+def tune_knn(spark, sf_dir):
+    lags = ["lag_1", "lag_2", "lag_3"]
+    z = features.standardize(_split_features(spark, sf_dir), lags)
+    return neighbours.knn_search(z, [f"{c}_z" for c in lags], ks=(3, 5, 10))
+
+
 def _pooled(kind):
     def run(spark, sf_dir):
         return pooled.holdout(_split_features(spark, sf_dir), kind)

@@ -19,9 +19,10 @@ def export_csv(df: DataFrame, root: str, stamp: str, name: str = "forecast") ->
 def export_parts(root: str, forecast: DataFrame, parts: Mapping[str, DataFrame], key: str = "series") -> list[str]:
     """The forecast partitioned by series and each further table as its own folder.
 
-    Rows of one series are brought together first, so a series is one file and not one per task.
+    Rows of one series are brought together first, so a series is not one file per task; the
+    rebalance hint lets Spark split a series that is much larger than the others.
     """
-    forecast.repartition(key).write.mode("overwrite").partitionBy(key).parquet(f"{root}/forecast")
+    forecast.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(f"{root}/forecast")
     for name, df in parts.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
     return [f"{root}/forecast", *[f"{root}/{name}" for name in parts]]

@@ -34,14 +34,17 @@ def refresh(source: DataFrame, rules: Sequence[Rule], out: str, checkpoint: str)
     """
 
     def one_batch(df: DataFrame, batch_id: int) -> None:
-        flagged = flag_rows(df, rules)
+        flagged = flag_rows(df, rules).persist()
         sink = f"batch_id={batch_id}"
-        flagged.filter("not is_bad").drop("is_bad").write.mode("overwrite").parquet(f"{out}/accepted/{sink}")
-        flagged.filter("is_bad").drop("is_bad").write.mode("overwrite").parquet(f"{out}/rejected/{sink}")
-        share = F.coalesce(F.try_divide(F.count_if("is_bad") * 100.0, F.count("*")), F.lit(0.0))
-        flagged.agg(
-            F.count("*").alias("rows"), F.count_if("is_bad").alias("bad"), F.round(F.greatest(F.lit(0.0), 100.0 - share * 5), 1).alias("score")
-        ).write.mode("overwrite").parquet(f"{out}/scores/{sink}")
+        try:
+            flagged.filter("not is_bad").drop("is_bad").write.mode("overwrite").parquet(f"{out}/accepted/{sink}")
+            flagged.filter("is_bad").drop("is_bad").write.mode("overwrite").parquet(f"{out}/rejected/{sink}")
+            share = F.coalesce(F.try_divide(F.count_if("is_bad") * 100.0, F.count("*")), F.lit(0.0))
+            flagged.agg(
+                F.count("*").alias("rows"), F.count_if("is_bad").alias("bad"), F.round(F.greatest(F.lit(0.0), 100.0 - share * 5), 1).alias("score")
+            ).write.mode("overwrite").parquet(f"{out}/scores/{sink}")
+        finally:
+            flagged.unpersist()
 
     query = source.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
