@@ -133,7 +133,17 @@ def indicator_score(spark, sf_dir):
     return quality.indicator_report(fx.indicators(spark, sf_dir), as_of(), rules).drop("issues")
 
 
-@query("indicator_issues")
+_ISSUES = " UNION ALL ".join(
+    f"SELECT '{i}: ' || count(*) || ' values {kind} {lim}' AS issue FROM ind WHERE {i} {op} {lim} HAVING count(*) > 0"
+    for i, lo, hi, _ in fx.RULES for kind, op, lim in (("below", "<", lo), ("above", ">", hi))
+)
+
+
+@query(
+    "indicator_issues",
+    sql(fx.IND, "age AS (SELECT date_diff('day', max(ds), DATE '2001-12-15') AS d FROM ind)",
+        _ISSUES + """ UNION ALL SELECT CASE WHEN d > 90 THEN 'stale' ELSE 'slightly old' END || ': last period ' || d || ' days ago' FROM age WHERE d > 35"""),
+)
 def indicator_issues(spark, sf_dir):
     rules = [quality.Rule(*r) for r in fx.RULES]
     return quality.indicator_report(fx.indicators(spark, sf_dir), as_of(), rules).select(F.explode("issues").alias("issue"))
