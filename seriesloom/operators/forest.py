@@ -44,17 +44,13 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def fit(df: DataFrame, features: Sequence[str], key: str, trees: int = 100, seed: int = 42) -> DataFrame | None:
-    """Node table (tree, node, feature, cut, left, right, depth); None for fewer than 10 rows.
+def fit(df: DataFrame, features: Sequence[str], key: str, n: int, trees: int = 100, seed: int = 42) -> DataFrame:
+    """Node table (tree, node, feature, cut, left, right, depth) of a table of `n` rows.
 
     Rows join the sample by a hash of their key, so the draw is repeatable. Only about
     trees x SAMPLE rows (a fixed number) leave the scan; each tree is one small group.
     """
     cols = list(features)[:MAX_FEATURES]
-    n = df.count()
-    if n < 10:
-        return None
-    # a hash threshold first, so that the ordering below sees a bounded number of rows
     wanted = trees * SAMPLE
     rows = df.select(F.col(key), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     if n > wanted:
@@ -87,35 +83,42 @@ def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str, sa
     """
     cols = list(features)[:MAX_FEATURES]
     table = nodes.toPandas().sort_values(["tree", "node"])
-    forest = [g.set_index("node")[["feature", "cut", "left", "right", "depth"]].to_numpy(float) for _, g in table.groupby("tree")]
+    # all trees end to end; a leaf points to itself, so every row can take the same number of steps
+    start = table.groupby("tree")["node"].transform("size").groupby(table["tree"]).first().cumsum().shift(fill_value=0)
+    base = table["tree"].map(start).to_numpy()
+    leaf = table["feature"].to_numpy() < 0
+    here = np.arange(len(table))
+    feature = np.where(leaf, 0, table["feature"]).astype(np.intp)
+    cut = table["cut"].to_numpy()
+    child = np.stack([np.where(leaf, here, table[c] + base) for c in ("right", "left")], axis=1).astype(np.intp).ravel()
+    depth = table["depth"].to_numpy()
+    roots = start.to_numpy(dtype=np.intp)
+    steps = int(np.ceil(np.log2(max(sample, 2))))
     norm = float(_average_depth(sample))
     kind = dict(df.dtypes)[key]
 
     def run(batches):
         for pdf in batches:
             x = pdf[cols].fillna(0.0).to_numpy(float)
+            flat, offset = x.ravel(), np.arange(len(x)) * len(cols)
             total = np.zeros(len(x))
-            for t in forest:
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    f = t[at, 0].astype(int)
-                    live = f >= 0
-                    if not live.any():
-                        break
-                    go_left = x[np.arange(len(x)), np.maximum(f, 0)] <= t[at, 1]
-                    at = np.where(live, np.where(go_left, t[at, 2], t[at, 3]).astype(int), at)
-                total += t[at, 4]
-            yield pd.DataFrame({key: pdf[key], "score": np.power(2.0, -total / (len(forest) * norm))})
+            for root in roots:
+                at = np.full(len(x), root)
+                for _ in range(steps):
+                    goes_left = flat.take(offset + feature.take(at)) <= cut.take(at)
+                    at = child.take(2 * at + goes_left)
+                total += depth.take(at)
+            yield pd.DataFrame({key: pdf[key], "score": np.power(2.0, -total / (len(roots) * norm))})
 
     return df.select(key, *cols).mapInPandas(run, f"{key} {kind}, score double")
 
 
 def anomaly_forest(df: DataFrame, features: Sequence[str], key: str, contamination: float = 0.1, trees: int = 100, seed: int = 42) -> DataFrame:
-    """(key, score, is_forest): the `contamination` share of rows with the highest scores is flagged."""
-    nodes = fit(df, features, key, trees, seed)
-    if nodes is None:
-        return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("is_forest"))
+    """(key, score, is_forest): the `contamination` share of rows with the highest scores is flagged; none below 10 rows."""
     n = df.count()
+    if n < 10:
+        return df.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("is_forest"))
+    nodes = fit(df, features, key, n, trees, seed)
     # the cut needs more than one pass over the scores: keep them instead of scoring again
     ensure_checkpoint_dir(df.sparkSession)
     scored = score(df, nodes, features, key, min(SAMPLE, n)).checkpoint()
