@@ -21,7 +21,7 @@ def ks_statistic(long: DataFrame, k: int = 8) -> DataFrame:
     rows = long.filter(v.isNotNull())
     probs = [i / (k * k) for i in range(1, k * k)]
     edges = rows.groupBy("feature").agg(
-        F.percentile_approx("value", probs, 2000).alias("edges"),
+        F.percentile_approx("value", probs, 500).alias("edges"),
         F.count_if(F.col("sample") == 0).alias("n0"), F.count_if(F.col("sample") == 1).alias("n1"),
     )
     # one row per feature, i.e. per column of a table

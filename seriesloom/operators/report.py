@@ -108,34 +108,21 @@ def season_pivot(df: DataFrame, years: Sequence[int], spec: PanelSpec = DEFAULT,
 
 
 def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise correlation of columns as rows (a, b, corr), all pairs in one aggregation pass.
+    """Pairwise correlation of columns as rows (a, b, corr).
 
-    For more than a few hundred columns use `pyspark.ml.stat.Correlation` on a vector column.
+    `wide` has one row per period, so pairing its columns inside each row stays small; equal pairs
+    combine in the map tasks. For more than a few hundred columns use `pyspark.ml.stat.Correlation`.
     """
     names = list(cols)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    packed = wide.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("a"), F.lit(b).alias("b"),
-                    F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias("corr"),
-                )
-                for a, b in pairs
-            ]
-        ).alias("m")
+    pairs = F.array(
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+            for i, a in enumerate(names) for b in names[i:]
+        ]
     )
-    half = packed.select(F.explode("m").alias("e"))
-    sides = F.when(
-        F.col("e.a") == F.col("e.b"), F.array(F.struct(F.col("e.a").alias("a"), F.col("e.b").alias("b")))
-    ).otherwise(
-        F.array(
-            F.struct(F.col("e.a").alias("a"), F.col("e.b").alias("b")),
-            F.struct(F.col("e.b").alias("a"), F.col("e.a").alias("b")),
-        )
-    )
-    return half.select(F.explode(sides).alias("s"), F.col("e.corr").alias("corr")).select("s.a", "s.b", "corr")
+    half = wide.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.corr("p.x", "p.y").alias("corr"))
+    mirrored = half.filter(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
+    return half.unionByName(mirrored)
 
 
 def boxplot(df: DataFrame, spec: PanelSpec = DEFAULT, k: float = 1.5) -> DataFrame:
