@@ -1,5 +1,3 @@
-import datetime as dt
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -22,7 +20,7 @@ def series_of(df, key="a"):
 
 def test_holt_winters_recovers_exact_trend_and_season(make_panel):
     y = linear_season(72)
-    # with the drift inside the first season the season terms start tilted; weights of 1 adapt at once
+    # the first season's terms start tilted by the drift, which the recursion levels out
     out = series_of(smoothing.holt_winters(make_panel({"a": y, "short": [1] * 20}), 12))
     assert len(out) == 12
     assert np.abs(np.array(out) - np.array(linear_season(84)[72:])).max() < 25
@@ -81,7 +79,6 @@ def test_backtests_agree_with_forecasts_of_the_training_part(make_panel):
 def test_trend_factor_is_exact_on_its_own_model(make_panel):
     y = [float(np.exp(4 + 0.01 * i + 0.05 * SEASON[i % 12])) for i in range(60)]
     want = [float(np.exp(4 + 0.01 * i + 0.05 * SEASON[i % 12])) for i in range(60, 72)]
-    # season and slope are not orthogonal over whole years only up to the centring of SEASON
     assert series_of(factor.trend_factor(make_panel({"a": y}), 12)) == pytest.approx(want, rel=0.02)
     out = factor.trend_factor(make_panel({"a": y, "neg": [-1] * 12}), 3)
     assert {r["series"] for r in out.collect()} == {"a"}
@@ -190,8 +187,9 @@ def test_pooled_recursion_and_search(make_panel):
     model = pooled.fit(rows, "forest", numTrees=5)
     out = pooled.recursive(pooled.last_rows(p), model, 4).orderBy("step").collect()
     assert [r["ds"] for r in out] == [month_end(40 + i) for i in range(4)]
-    first = {**{c: v for c, v in zip(("lag_1", "lag_2", "lag_3"), linear_season(40)[:-4:-1])}}
-    assert out[0]["yhat"] > 0 and len(first) == 3
+    # a forest averages training labels, so every step stays inside their range
+    y = linear_season(40)
+    assert all(min(y) <= r["yhat"] <= max(y) for r in out)
     grid = pooled.grid_search(features.holdout_split(features.ml_features(p)), "forest", {"numTrees": [2, 4]}).collect()
     assert len(grid) == 2 and grid[0]["rmse"] <= grid[1]["rmse"]
 
