@@ -118,8 +118,6 @@ def series_pivot_mean(spark, sf_dir):
     return report.pivot_series(fx.panel(spark, sf_dir), fx.SEGMENTS, agg="avg").withColumnsRenamed(_LOWER)
 
 
-_PV = f"pv AS (SELECT ds, {_S.format(agg='sum')} FROM panel GROUP BY ds)"
-_LONG = "lg AS (SELECT ds, series AS name, y AS v FROM panel UNION ALL SELECT ds, indicator, value FROM indl)"
 _CORR = "SELECT x.name AS a, z.name AS b, round(corr(x.v, z.v), 6) AS corr FROM {0} x JOIN {0} z ON x.ds = z.ds GROUP BY 1, 2"
 
 
