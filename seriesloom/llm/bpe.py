@@ -208,7 +208,7 @@ class WordBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """Token count, checksum of the ids and of the decoded text of every document; `keep_ids` adds `ids` and `decoded`.
+    """Token count, checksum of the ids and of the decoded text of every document; `keep_ids` adds `ids`.
 
     `path` names the vocabulary on the driver; its content is broadcast (one vocabulary, whatever the table's size). Null
     texts count as empty and have no tokens; equal rows give equal rows; an empty table gives no rows. A text of one
@@ -228,8 +228,8 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
                     part.column("doc_id"), [len(ids) // 4 for ids, _ in coded], [hashlib.sha256(ids).hexdigest() for ids, _ in coded],
                     [hashlib.sha256(text.encode()).hexdigest() for text in decoded],
                 ]
-                yield columns + ([[np.frombuffer(ids, "<u4").astype(np.int64) for ids, _ in coded], decoded] if keep_ids else [])
+                yield columns + ([[np.frombuffer(ids, "<i4") for ids, _ in coded]] if keep_ids else [])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep_ids
-    return in_arrow(rows, run, schema, [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int64()), pa.string()] * keep_ids)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return in_arrow(rows, run, schema, [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * keep_ids)
