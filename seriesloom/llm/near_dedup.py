@@ -6,10 +6,10 @@ at the bound itself, falling fast above it), so in any order of the pairs they s
 COORDINATES - AGREE + 1 of each: with the rarest pairs first, a class posts only that prefix, pairs nobody shares are skipped, and most
 classes post nothing. Links are confirmed on the full shingle sets in two steps:
 
-1. every member of a posting list against the list's head, the member whose pairs are shared most. This joins groups of
-   near copies with a number of checks that grows with their size, not its square;
-2. in lists that still hold several components, all pairs of members from different components, in blocks of bounded
-   size, where only links that join two components of the block are handed on.
+1. every class against the most agreeing heads of its posting lists; a list's head is the member whose pairs are shared most.
+   This joins groups of near copies with a number of checks that grows with their size, not its square;
+2. in lists that still hold several components, the members from different components whose signatures agree, in blocks of
+   bounded size, where only links that join two components of the block are handed on.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ from .shingles import shingle_set
 
 COORDINATES = 64
 AGREE = 36
+#: Heads that a class is checked against in the first step.
+HEADS = 2
+#: Most bits (as a power of two) of the filter that finds the texts whose sets are made again.
+FILTER_BITS = 30
 #: Bytes of full sets in a block of one posting list.
 BLOCK_BYTES = 4 << 20
 _RANDOM = np.random.default_rng(64)
@@ -86,34 +90,59 @@ def postings(classes: DataFrame) -> DataFrame:
     return able.select("uid", weight.alias("weight"), F.explode(F.slice("held", 1, places)).alias("x")).select("uid", "weight", F.col("x.token").alias("token"))
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids with two bits each, at most `FILTER_BITS` bits: what reaches the driver is bounded by its size."""
+    bits = 1 << min(FILTER_BITS, max(16, int(ids.count()).bit_length() + 4))
+    spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("_id", F.lit(k)), F.lit(bits)) for k in (1, 2)])).alias("spot"))
+    words = spots.groupBy(F.shiftright("spot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits"))
+    out = np.zeros(bits >> 5, np.uint32)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("word").to_numpy(zero_copy_only=False)] = batch.column("bits").to_numpy(zero_copy_only=False).astype(np.uint32)
+    return out
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(uid, n, sig, hashes): the shingle sets of the classes in `needed`, made again from the texts of their first rows."""
+    """(uid, sig, hashes): the shingle sets of the classes in `needed`, made again from the texts of their first rows.
+
+    A filter of the rows' ids lets all other texts pass unread, so that no text is shuffled; what it lets through in error
+    goes in the join on the set's own key.
+    """
     wanted = classes.join(needed, "uid", "left_semi")
-    none = F.lit(-(1 << 63))
-    ids = wanted.select(F.coalesce("doc_id", none).alias("_id")).distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(id_of.alias("_id")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        bits = kept.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            spots = [batch.column(k).to_numpy(zero_copy_only=False) % (len(bits) << 5) for k in (0, 1)]
+            hit = np.logical_and.reduce([(bits[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1 for s in spots])
+            for part in slices(batch.filter(pa.array(hit)), "text"):
                 sets = [shingle_set(t.lower(), width) for t in texts_of(part, "text")]
                 yield [[set_key(s) for s in sets], [s.tobytes() for s in sets]]
 
-    made = in_arrow(rows.join(ids, "_id", "left_semi").select("text"), run, "set_key binary, hashes binary", [pa.binary(), pa.binary()])
+    spots = [F.pmod(F.xxhash64(id_of, F.lit(k)), F.lit(1 << FILTER_BITS)).alias(f"spot{k}") for k in (1, 2)]
+    rows = docs.where("text IS NOT NULL").select(*spots, F.col("text").cast("string").cast("binary").alias("text"))
+    made = in_arrow(rows, run, "set_key binary, hashes binary", [pa.binary(), pa.binary()])
     return made.join(wanted.select("set_key", "uid", "sig"), "set_key").dropDuplicates(["uid"]).select("uid", "sig", "hashes")
 
 
+def best_heads(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """For every class the `HEADS` heads whose signatures agree most with its own, often enough to be linked."""
+    left, right = (classes.select(F.col("uid").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= AGREE)
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))  # one row for each prefix pair at most
+    return scored.withColumn("rank", rank).where(F.col("rank") <= HEADS).select("a", "b")
+
+
 def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree often enough and whose full sets are linked."""
-    left = sets.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a"), F.col("hashes").alias("set_a"))
-    right = sets.select(F.col("uid").alias("b"), F.col("sig").alias("sig_b"), F.col("hashes").alias("set_b"))
+    """The pairs (a, b) whose full sets are linked."""
+    left, right = (sets.select(F.col("uid").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             a, b = [], []
-            for x, y, s, t, set_x, set_y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if np.count_nonzero(np.array(s) == np.array(t)) < AGREE:
-                    continue
+            for x, y, set_x, set_y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x_set, y_set = np.frombuffer(set_x, np.uint64), np.frombuffer(set_y, np.uint64)
                 if linked(len(np.intersect1d(x_set, y_set, assume_unique=True)), len(x_set), len(y_set), percent):
                     a.append(x)
@@ -121,7 +150,7 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield [a, b]
 
     near = (F.octet_length("set_a") * 100 >= F.octet_length("set_b") * percent) & (F.octet_length("set_b") * 100 >= F.octet_length("set_a") * percent)
-    both = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
+    both = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "set_a", "set_b")
     return in_arrow(both, run, "a long, b long", [pa.int64(), pa.int64()])
 
 
@@ -142,74 +171,93 @@ class _Roots:
         return np.array([self.find(i) for i in range(len(self.up))])
 
 
-def links_in_block(block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links that join different components among the members of one block, or of two blocks (`side`) of one list.
-
-    A pair that shares several prefix pairs is looked at only in the list of the lowest shared coordinate.
-    """
-    block = block.sort_values("n_shingles", kind="stable").reset_index(drop=True)
-    sig, prefix = np.stack(block["sig"].to_numpy()), np.stack(block["prefix"].to_numpy())
-    n, side, uid = block["n_shingles"].to_numpy(), block["side"].to_numpy(), block["uid"].to_numpy()
-    at = int(block["token"].iloc[0] >> 32)
-    roots, out = _Roots(block["root"].to_numpy()), []
-    two = side.min() != side.max()
-    sets: dict[int, np.ndarray] = {}
-
-    def hashes(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = np.frombuffer(block["hashes"].iat[i], np.uint64)
-        return sets[i]
-
-    now = roots.all()
-    for i in range(len(block) - 1):
-        j = np.arange(i + 1, int(np.searchsorted(n * percent, 100 * n[i], side="right")))
-        j = j[(now[j] != now[i]) & ((side[j] != side[i]) if two else True)]
-        if not len(j):
-            continue
-        same = sig[j] == sig[i]
-        first = (same & prefix[j] & prefix[i]).argmax(1)
-        j = j[(same.sum(1) >= AGREE) & (first == at)]
-        if not len(j):
-            continue
-        lengths = n[j]
-        joined = np.concatenate([hashes(k) for k in j])
-        own = hashes(i)
-        spot = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-        common = np.add.reduceat((own[spot] == joined).astype(np.int64), np.r_[0, np.cumsum(lengths)[:-1]])
-        for k in j[linked(common, n[i], lengths, percent)]:
-            a, b = roots.find(i), roots.find(int(k))
-            if a != b:
-                roots.up[max(a, b)] = min(a, b)
-                out.append((int(uid[i]), int(uid[k])))
+class Block:
+    """Members of one posting list's block, or of two blocks (`side`), in the order of their set sizes."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.rows = rows = rows.sort_values(["n_shingles", "uid"]).reset_index(drop=True)
+        self.sig = np.stack(rows["sig"].to_numpy())
+        self.prefix = np.zeros((len(rows), COORDINATES), bool)
+        for i, ats in enumerate(rows["ats"]):
+            self.prefix[i, np.asarray(ats, int)] = True
+        self.n, self.side, self.uid = (rows[c].to_numpy() for c in ("n_shingles", "side", "uid"))
+        self.two = len(rows) > 0 and self.side.min() != self.side.max()
+        self.at = int(rows["token"].iloc[0] >> 32)
+
+    def partners(self, i: int, now: np.ndarray, percent: int) -> np.ndarray:
+        """Later members that may be linked with member i and belong to another component.
+
+        A pair that shares several prefix pairs is looked at only in the list of the lowest shared coordinate.
+        """
+        j = np.arange(i + 1, int(np.searchsorted(self.n * percent, 100 * self.n[i], side="right")))
+        j = j[(now[j] != now[i]) & ((self.side[j] != self.side[i]) if self.two else True)]
+        same = self.sig[j] == self.sig[i]
+        first = (same & self.prefix[j] & self.prefix[i]).argmax(1) if len(j) else j
+        return j[(same.sum(1) >= AGREE) & (first == self.at)]
+
+    def able(self, percent: int) -> np.ndarray:
+        """Which members have a partner."""
+        roots, out = self.rows["root"].to_numpy(), np.zeros(len(self.uid), bool)
+        for i in range(len(self.uid) - 1):
+            j = self.partners(i, roots, percent)
+            out[j] = True
+            out[i] |= len(j) > 0
+        return out
+
+    def links(self, percent: int) -> list[tuple[int, int]]:
+        """Links that join different components, confirmed on the full sets."""
+        roots, out = _Roots(self.rows["root"].to_numpy()), []
+        sets = [np.frombuffer(h, np.uint64) for h in self.rows["hashes"]]
         now = roots.all()
-    return out
+        for i in range(len(sets) - 1):
+            j = self.partners(i, now, percent)
+            if not len(j):
+                continue
+            own, lengths = sets[i], self.n[j]
+            joined = np.concatenate([sets[k] for k in j])
+            spot = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+            common = np.add.reduceat((own[spot] == joined).astype(np.int64), np.r_[0, np.cumsum(lengths)[:-1]])
+            for k in j[linked(common, self.n[i], lengths, percent)]:
+                a, b = roots.find(i), roots.find(int(k))
+                if a != b:
+                    roots.up[max(a, b)] = min(a, b)
+                    out.append((int(self.uid[i]), int(self.uid[k])))
+            now = roots.all()
+        return out
 
 
 def residual_links(posts: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components that still meet in a posting list."""
+    """Links between the components that still meet in a posting list.
+
+    A first pass over signatures alone finds the members with a possible partner; only their sets travel to the second.
+    """
     labelled = posts.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     spans = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    sizes = sets.select("uid", "sig", (F.octet_length("hashes") / 8).cast("long").alias("n_shingles"))
     prefix = posts.select("uid", F.shiftright("token", 32).cast("int").alias("at")).groupBy("uid").agg(F.collect_list("at").alias("ats"))
-    open_lists = labelled.join(spans, "token").join(sets.join(prefix, "uid").withColumn("n_shingles", (F.octet_length("hashes") / 8).cast("long")), "uid")
+    members = labelled.join(spans, "token").select("token", "uid", "root").join(sizes.select("uid", "n_shingles"), "uid")
     # blocks of bounded size along the order of set sizes; sizes too far apart cannot be linked, so far blocks never meet
-    size = F.sum(F.octet_length("hashes") + 512).over(Window.partitionBy("token").orderBy("n_shingles", "uid"))
-    blocks = open_lists.withColumn("block", F.floor(size / BLOCK_BYTES).cast("int"))
+    size = F.sum(F.col("n_shingles") * 8 + 512).over(Window.partitionBy("token").orderBy("n_shingles", "uid"))
+    blocks = members.withColumn("block", F.floor(size / BLOCK_BYTES).cast("int"))
     spread = blocks.groupBy("token", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     first = spread.select("token", F.col("block").alias("one"), F.col("most").alias("reach"))
     meet = first.join(spread, "token").where((F.col("block") >= F.col("one")) & (F.col("least") * percent <= F.col("reach") * 100))
-    meet = meet.select("token", "one", F.col("block").alias("two"))
-    pairs = meet.select("token", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
-    placed = pairs.join(blocks, ["token", "block"]).withColumn("side", F.col("block"))
+    pairs = meet.select("token", "one", F.col("block").alias("two"), F.explode(F.array_distinct(F.array("one", "block"))).alias("side"))
+    placed = pairs.join(blocks.withColumnRenamed("block", "side"), ["token", "side"])
+    placed = placed.select("token", "one", "two", "side", "uid", "root", "n_shingles")
+    known = sizes.select("uid", "sig").join(prefix, "uid")
+    place = "token long, one int, two int, side int, uid long, root long, n_shingles long"
+
+    def able(rows: pd.DataFrame) -> pd.DataFrame:
+        block = Block(rows)
+        return block.rows.loc[block.able(percent), [c.split()[0] for c in place.split(", ")]]
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        named = np.zeros((len(block), COORDINATES), bool)
-        for i, ats in enumerate(block["ats"]):
-            named[i, np.asarray(ats, int)] = True
-        block = block.assign(prefix=list(named))
-        return pd.DataFrame(links_in_block(block, percent), columns=["a", "b"], dtype="int64")
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(Block(rows).links(percent), columns=["a", "b"], dtype="int64")
 
-    columns = ["token", "one", "two", "side", "uid", "root", "n_shingles", "sig", "ats", "hashes"]
-    return placed.select(*columns).groupBy("token", "one", "two").applyInPandas(run, "a long, b long")
+    open_ = stored(placed.join(known, "uid").groupBy("token", "one", "two").applyInPandas(able, place), "open")
+    full = open_.join(known.join(sets.select("uid", "hashes"), "uid"), "uid")
+    return full.groupBy("token", "one", "two").applyInPandas(links, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -230,7 +278,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     pairs = posts.select("token", F.col("uid").alias("a")).join(heads.withColumnRenamed("uid", "b"), "token").where("a <> b").select("a", "b").distinct()
     listed = posts.join(heads, "token", "left_semi").select("uid").distinct()
     sets = stored(full_sets(docs, classes, listed, width), "sets")
-    first = stored(confirm_pairs(pairs, sets, percent), "links")
+    first = stored(confirm_pairs(best_heads(pairs, classes), sets, percent), "links")
     roots = stored(components(first).select(F.col("node").alias("uid"), "root"), "roots")
     listed_posts = posts.join(heads, "token", "left_semi")
     more = stored(residual_links(listed_posts, roots, sets, percent), "links")
