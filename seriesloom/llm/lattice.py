@@ -195,7 +195,7 @@ class Words:
 class WordScores:
     """Log probabilities of words under fixed piece probabilities; the first words seen are kept between batches."""
 
-    MOST = 400_000
+    MOST = 300_000
 
     def __init__(self, pieces: list[str], logs: np.ndarray) -> None:
         self.lattice, self.logs, self.kept = Lattice(pieces), logs, {}
@@ -210,7 +210,7 @@ class WordScores:
         if new:
             out[new] = self.lattice.forward([words.word(i).decode("utf-8", "replace").lower() for i in new], self.logs)
             for i in new[: max(0, self.MOST - len(self.kept))]:
-                self.kept[keys[i]] = tuple(out[i])
+                self.kept[keys[i]] = tuple(out[i].tolist())
         return out
 
 

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, slices, stored
 from .lattice import Lattice, Words, WordScores, load_pieces, texts_of
+from .shingles import word_hashes
 
 #: Most words whose counts are broadcast; the counts of all others are joined.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 ROUNDS = 2
 SMOOTHING = 0.1
 
@@ -29,7 +30,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text"):
                 words = Words([t.lower() for t in texts_of(part, "text")])
                 yield [[words.word(i) for i in range(len(words.hashes))], words.counts]
 
@@ -76,11 +77,16 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
         lowest = row["level"]
     if lowest is None:
         return np.zeros(0, np.uint64), np.zeros(0)
-    frame = counts.where(level >= lowest).toPandas()  # `most` rows at most
-    hashes = Words([b" ".join(map(bytes, frame["word"]))])
-    # one joined text: the distinct words come back in the order of their hashes
-    at = {bytes(w): n for w, n in zip(frame["word"], frame["n"], strict=True)}
-    return hashes.hashes, np.array([at[hashes.word(i)] for i in range(len(hashes.hashes))], float)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            yield [[int(word_hashes(w)[0].view(np.int64)[0]) for w in words], batch.column("n")]
+
+    frequent = in_arrow(counts.where(level >= lowest).select("word", "n"), hashed, "hash long, n long", [pa.int64(), pa.int64()]).toArrow()  # `most` rows at most
+    hashes = frequent.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], frequent.column("n").to_numpy()[order].astype(float)
 
 
 def score_documents(docs: DataFrame, path: str, held_out_of: int = 7, held_out: int = 2, rounds: int = ROUNDS) -> DataFrame:
