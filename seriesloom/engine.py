@@ -1,4 +1,4 @@
-"""The whole chain in one object: load, clean, fit, rank, predict, simulate, check drift, save."""
+"""The whole chain in one object: load, clean, fit, rank, predict, replay, check drift, save."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .models import base, factor, linear, smoothing
-from .operators import align, clean, drift, features, profile, report, scenario, selection
+from .operators import align, clean, drift, features, report, scenario, selection
 from .session import ensure_checkpoint_dir
 from .spec import DEFAULT, PanelSpec
 
@@ -26,7 +26,9 @@ class PanelEngine:
     def __init__(self, panel: DataFrame, indicators: DataFrame | None = None, spec: PanelSpec = DEFAULT):
         self.spec, self.indicators = spec, indicators
         ensure_checkpoint_dir(panel.sparkSession)
-        self.panel = clean.densify(panel.select(*spec.keys, spec.ds, spec.y), "ffill", spec).checkpoint()
+        # one row per series and date: amounts of the same date add up, nulls stay null
+        grain = panel.groupBy(*spec.keys, spec.ds).agg(F.sum(spec.y).alias(spec.y))
+        self.panel = clean.densify(grain, "ffill", spec).checkpoint()
         self.cols = [c for c in indicators.columns if c != spec.ds] if indicators is not None else []
 
     def repair(self, threshold: float = 2.5) -> int:
@@ -62,7 +64,7 @@ class PanelEngine:
 
     def predict(self, horizon: int = 12, levels: DataFrame | None = None, strategy: str = "auto", manual: str | None = None,
                 members: Sequence[str] = (), weights: Mapping[str, float] | None = None) -> DataFrame:
-        """Forecast frame (series, ds, yhat, lo, hi, model).
+        """Forecast frame (series, ds, yhat, lo, hi, model, reason).
 
         With `levels` (scenario, indicator, op, arg) the forecast is moved by the indicator response
         and gets a `scenario` column.
@@ -72,8 +74,8 @@ class PanelEngine:
         if levels is None:
             return out
         moved = scenario.score(out, self.betas(), scenario.apply_levels(self.levels(), levels), self.spec)
-        keep = out.select(*self.spec.keys, self.spec.ds, "model")
-        return selection.with_interval(moved.join(keep, [*self.spec.keys, self.spec.ds]))
+        keep = out.select(*self.spec.keys, self.spec.ds, "model", "reason")
+        return moved.join(keep, [*self.spec.keys, self.spec.ds])
 
     def levels(self) -> DataFrame:
         return report.last_row_levels(self.indicators, self.cols, self.spec.ds)
@@ -82,12 +84,12 @@ class PanelEngine:
         merged = align.merge_indicators(self.panel, self.indicators, "inner", spec=self.spec)
         return scenario.response(merged, self.cols, self.spec)
 
-    def simulate(self, horizon: int = 12, sims: int = 100, scale: float = 1.0, seed: int = 42) -> DataFrame:
-        """Mean and percentile bands over random walks of the indicators."""
+    def replay(self, horizon: int = 12) -> DataFrame:
+        """Mean and percentile bands of the forecast over all past moves of the indicators."""
         long = self.indicators.unpivot([self.spec.ds], self.cols, "indicator", "value")
-        vol = profile.indicator_volatility(long, ds=self.spec.ds)
         fc = factor.trend_factor(self.panel, horizon, self.spec)
-        return scenario.shock_bands(fc, self.betas(), self.levels(), vol, sims, horizon, scale, seed, self.spec)
+        paths = scenario.replay_paths(long, self.levels(), horizon, self.spec.ds)
+        return scenario.bands_of_cube(scenario.replay_cube(fc, self.betas(), self.levels(), paths, self.spec), self.spec)
 
     def tornado(self, horizon: int = 12) -> DataFrame:
         return scenario.tornado(self.betas(), self.levels(), horizon)

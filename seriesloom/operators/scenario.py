@@ -1,13 +1,14 @@
-"""What-if levels, linear response, comparison, shocks and random-walk fans."""
+"""What-if levels, joint linear response, comparison, shocks and replays of past moves."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import elasticity_band
+from ..models.linear import fit_linear
 from ..spec import DEFAULT, PanelSpec
 
 
@@ -40,7 +41,9 @@ RELATIVE_PRESETS = {
 def preset_rows() -> list[tuple[str, str, str, float]]:
     """All presets as scenario rows (scenario, indicator, op, arg)."""
     rows = [(s, i, "set", v) for s, levels in PRESET_LEVELS.items() for i, v in zip(PRESET_INDICATORS, levels)]
-    return rows + [(s, *r) for s, changes in RELATIVE_PRESETS.items() for r in changes]
+    # a preset without changes keeps one rule that changes nothing, so that it stays a scenario
+    unchanged = ((PRESET_INDICATORS[0], "mul", 1.0),)
+    return rows + [(s, *r) for s, changes in RELATIVE_PRESETS.items() for r in changes or unchanged]
 
 
 def apply_levels(base: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -66,27 +69,31 @@ def apply_levels(base: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def response(merged: DataFrame, indicators: Sequence[str], spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Simple slope of the value on each indicator per series: (keys, indicator, beta), one pass over the panel."""
-    slopes = F.array(
-        *[F.struct(F.lit(c).alias("indicator"), F.coalesce(F.regr_slope(spec.y, c), F.lit(0.0)).alias("beta")) for c in indicators]
-    )
-    return merged.groupBy(*spec.keys).agg(slopes.alias("_b")).select(*spec.keys, F.explode("_b").alias("b")).select(
-        *spec.keys, "b.indicator", "b.beta"
-    )
+    """Effect of each indicator on the value per series, (keys, indicator, beta), from one regression on all of them.
+
+    Indicators that move together share their effect instead of counting it twice. One pass over the panel;
+    rows with a null in the value or in an indicator are left out, a constant indicator has no effect.
+    """
+    model = fit_linear(merged, indicators, spec.y, spec.keys)
+    named = F.arrays_zip(F.array(*map(F.lit, indicators)).alias("indicator"), F.col("coef").alias("beta"))
+    return model.select(*spec.keys, F.explode(named).alias("b")).select(*spec.keys, "b.indicator", "b.beta")
 
 
 def score(forecast: DataFrame, betas: DataFrame, levels: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Move a base forecast by sum(beta * (level - base level)) per scenario.
 
-    `levels` has scenarios x indicators rows (a literal-sized table) and is broadcast; the effect
-    is one number per (scenario, series) before it meets the forecast rows.
+    The effect is one number per (scenario, series) before it meets the forecast rows; a series
+    without betas stays where it is under every scenario. Bounds `lo` and `hi`, where the forecast has
+    them, move with it.
     """
-    moved = betas.join(F.broadcast(levels), "indicator").groupBy(*spec.keys, "scenario").agg(
+    moved = betas.join(levels, "indicator").groupBy(*spec.keys, "scenario").agg(
         F.sum(F.col("beta") * (F.col("level") - F.col("base_level"))).alias("_e")
     )
-    return forecast.join(moved, list(spec.keys)).select(
-        "scenario", *spec.keys, spec.ds, (F.col("yhat") + F.col("_e")).alias("yhat")
-    )
+    names = levels.agg(F.sort_array(F.collect_set("scenario")).alias("s")).scalar()  # named scenarios: a handful
+    each = forecast.withColumn("scenario", F.explode(names))
+    effect = F.coalesce("_e", F.lit(0.0))
+    value = [(F.col(c) + effect).alias(c) for c in ("yhat", "lo", "hi") if c in forecast.columns]
+    return each.join(moved, [*spec.keys, "scenario"], "left").select("scenario", *spec.keys, spec.ds, *value)
 
 
 def totals_by(scored: DataFrame, scenario: str, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -109,7 +116,7 @@ def consensus(scored: DataFrame, probabilities: dict[str, float], ds: str = "ds"
 
 def shock_effects(betas: DataFrame, levels: DataFrame, factors: Sequence[float], horizon: int, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Change of the horizon total when one indicator is multiplied by a factor: all shocks in one job."""
-    grid = betas.join(F.broadcast(levels.select("indicator", "level")), "indicator")
+    grid = betas.join(levels.select("indicator", "level"), "indicator")
     grid = grid.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
     return grid.withColumn("effect", F.col("beta") * (F.col("level") * F.col("factor") - F.col("level")) * horizon).select(
         *spec.keys, "indicator", "factor", "effect"
@@ -134,104 +141,31 @@ def elasticity(forecast: DataFrame, betas: DataFrame, levels: DataFrame, horizon
     return e.select(*spec.keys, "indicator", "effect", pct.alias("elasticity")).withColumn("kind", elasticity_band(F.col("elasticity")))
 
 
-def _uniform(*parts: Column) -> Column:
-    """Uniform number in (0, 1) from 52 bits of an md5 hash: the same for the same parts on every run."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13), 16, 10).cast("bigint")
-    return (bits + F.lit(0.5)) / F.lit(4503599627370496.0)
-
-
-def _normal(*parts: Column) -> Column:
-    u, v = _uniform(*parts, F.lit("u")), _uniform(*parts, F.lit("v"))
-    return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(6.283185307179586) * v)
-
-
-def _walks(spark: SparkSession, levels: DataFrame, vol: DataFrame, sims: int, horizon: int, scale: float, seed: int) -> DataFrame:
-    """(sim, indicator, level, path): one random walk per simulation and indicator."""
-    state = levels.join(vol, "indicator").agg(F.sort_array(F.collect_list(F.struct("indicator", "level", "vol")))).scalar()
-    each = spark.range(1, sims + 1).select(F.col("id").alias("sim"), F.explode(state).alias("i"))
-
-    def step(acc: Column, s: Column) -> Column:
-        z = _normal(F.lit(str(seed)), F.col("sim").cast("string"), s.cast("string"), F.col("i.indicator"))
-        return F.concat(acc, F.array(F.element_at(acc, -1) * (1 + z * F.col("i.vol") * scale)))
-
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.array(F.col("i.level")), step)
-    return each.select("sim", F.col("i.indicator").alias("indicator"), F.col("i.level").alias("level"), F.slice(path, 2, horizon).alias("path"))
-
-
-def shock_paths(levels: DataFrame, vol: DataFrame, sims: int, horizon: int, scale: float = 1.0, seed: int = 42) -> DataFrame:
-    """Rows (sim, indicator, step, value) of old * (1 + normal * vol * scale) walks."""
-    w = _walks(levels.sparkSession, levels, vol, sims, horizon, scale, seed)
-    return w.select("sim", "indicator", F.posexplode("path").alias("_s", "value")).select(
-        "sim", "indicator", (F.col("_s") + 1).cast("bigint").alias("step"), "value"
-    )
-
-
-# simulations packed into one array; more than this go on in further blocks
-BLOCK = 2000
-
-
-def _fanned(forecast, betas, levels, vol, sims, horizon, scale, seed, spec):
-    """Forecast rows with `_ys`, the predictions of one block of simulations.
+def replay_paths(history: DataFrame, levels: DataFrame, horizon: int, ds: str = "ds") -> DataFrame:
+    """Rows (sim, indicator, step, value): today's level moved as the indicator moved after each past month.
 
-    The walks do not depend on the series. They are packed per (step, block): at most
-    horizon x BLOCK x indicators numbers each, so one block is small enough to broadcast, and with
-    more blocks the forecast meets them in an ordinary join on (step, block).
+    `history` has (ds, indicator, value), one row per month. A replay is named by its month and exists for
+    an indicator if the month's value is not zero and `horizon` months follow it.
     """
-    blocks = -(-sims // BLOCK)
-    w = _walks(forecast.sparkSession, levels, vol, sims, horizon, scale, seed)
-    deltas = F.transform("path", lambda v: v - F.col("level"))
-    per_sim = w.groupBy("sim").agg(F.sort_array(F.collect_list(F.struct("indicator", deltas.alias("d")))).alias("m"))
-    packed = (
-        per_sim.select("sim", "m", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_t"))
-        .select("sim", F.col("_t").cast("bigint").alias("step"),
-                F.transform("m", lambda e: F.struct(e["indicator"].alias("k"), F.element_at(e["d"], F.col("_t")).alias("v"))).alias("m"))
-        .groupBy("step", F.floor((F.col("sim") - 1) / BLOCK).cast("bigint").alias("_block"))
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("sim", "m"))), lambda r: r["m"]).alias("sims"))
-    )
-    coef = betas.groupBy(*spec.keys).agg(F.map_from_entries(F.collect_list(F.struct("indicator", "beta"))).alias("_b"))
-    rows = forecast.join(coef, list(spec.keys)).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    rows = rows.join(F.broadcast(packed) if blocks == 1 else packed, ["step", "_block"])
-    beta = lambda k: F.coalesce(F.try_element_at(F.col("_b"), k), F.lit(0.0))
-    return rows.withColumn(
-        "_ys", F.transform("sims", lambda m: F.aggregate(m, F.col("yhat"), lambda s, e: s + e["v"] * beta(e["k"])))
-    )
-
-
-def simulation_cube(forecast: DataFrame, betas: DataFrame, levels: DataFrame, vol: DataFrame, sims: int, horizon: int,
-                    scale: float = 1.0, seed: int = 42, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """(sim, keys, ds, yhat): the base forecast moved along every random walk."""
-    fan = _fanned(forecast, betas, levels, vol, sims, horizon, scale, seed, spec)
-    return fan.select("_block", *spec.keys, spec.ds, F.posexplode("_ys").alias("_i", "yhat")).select(
-        (F.col("_block") * BLOCK + F.col("_i") + 1).cast("bigint").alias("sim"), *spec.keys, spec.ds, "yhat"
-    )
-
-
-def _interpolated(sorted_values: Column, p: float) -> Column:
-    rank = F.lit(p) * (F.size(sorted_values) - 1)
-    a = F.get(sorted_values, F.floor(rank).cast("int"))
-    b = F.get(sorted_values, F.ceil(rank).cast("int"))
-    return a + (b - a) * (rank - F.floor(rank))
+    w = Window.partitionBy("indicator").orderBy(ds)
+    later = F.array(*[F.lead("value", t).over(w) for t in range(1, horizon + 1)])
+    starts = history.withColumn("_next", later).filter((F.col("value") != 0) & ~F.exists("_next", lambda v: v.isNull()))
+    path = F.transform("_next", lambda v: F.col("level") * v / F.col("value"))
+    rows = starts.join(levels, "indicator").select(F.col(ds).alias("sim"), "indicator", F.posexplode(path).alias("_s", "moved"))
+    return rows.select("sim", "indicator", (F.col("_s") + 1).cast("bigint").alias("step"), F.col("moved").alias("value"))
 
 
-def shock_bands(forecast: DataFrame, betas: DataFrame, levels: DataFrame, vol: DataFrame, sims: int, horizon: int,
-                scale: float = 1.0, seed: int = 42, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Mean and percentiles 5, 25, 50, 75, 95 over the simulations per (series, ds).
-
-    Up to one block, all simulations of a (series, ds) sit in the array of one row and percentiles
-    need no shuffle; beyond that the long cube is aggregated.
-    """
-    if sims > BLOCK:
-        return bands_of_cube(simulation_cube(forecast, betas, levels, vol, sims, horizon, scale, seed, spec), spec)
-    fan = _fanned(forecast, betas, levels, vol, sims, horizon, scale, seed, spec).withColumn("_s", F.array_sort("_ys"))
-    s = F.col("_s")
-    mean = F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / F.size(s)
-    return fan.select(
-        *spec.keys, spec.ds, mean.alias("mean"), *[_interpolated(s, p / 100).alias(f"p{p:02d}") for p in (5, 25, 50, 75, 95)]
-    )
+def replay_cube(forecast: DataFrame, betas: DataFrame, levels: DataFrame, paths: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """(sim, keys, ds, yhat): the base forecast moved along every replay; a series without betas does not move."""
+    moves = paths.join(levels.select("indicator", F.col("level").alias("_now")), "indicator")
+    effects = moves.join(betas, "indicator").groupBy(*spec.keys, "sim", "step").agg(F.sum(F.col("beta") * (F.col("value") - F.col("_now"))).alias("_e"))
+    per_step = effects.groupBy(*spec.keys, "step").agg(F.collect_list(F.struct("sim", "_e")).alias("_m"))  # one entry per replay
+    rows = forecast.join(per_step, [*spec.keys, "step"], "left").select(*spec.keys, spec.ds, "yhat", F.explode_outer("_m").alias("m"))
+    return rows.select(F.col("m.sim").alias("sim"), *spec.keys, spec.ds, (F.col("yhat") + F.coalesce("m._e", F.lit(0.0))).alias("yhat"))
 
 
 def bands_of_cube(cube: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """The same bands from long (sim, keys, ds, yhat) rows of any origin."""
+    """Mean and percentiles 5, 25, 50, 75, 95 per (series, ds) of long (sim, keys, ds, yhat) rows of any origin."""
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     g = cube.groupBy(*spec.keys, spec.ds).agg(F.avg("yhat").alias("mean"), F.percentile("yhat", probs).alias("_p"))
     return g.select(*spec.keys, spec.ds, "mean", *[F.col("_p")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(probs)])

@@ -133,7 +133,7 @@ def forecast_by_strategy(
     preds: DataFrame, holdout: DataFrame, strategy: str = "auto", manual: str | None = None, members: Sequence[str] = (),
     weights: Mapping[str, float] | None = None, metric: str = "joint", alpha: float = 0.95, spec: PanelSpec = DEFAULT,
 ) -> DataFrame:
-    """The forecast frame (keys, ds, yhat, lo, hi, model) under one selection strategy.
+    """The forecast frame (keys, ds, yhat, lo, hi, model, reason) under one selection strategy.
 
     best      the model with the lowest hold-out RMSE
     ensemble  mean of the top three, the best single where there are fewer
@@ -142,11 +142,14 @@ def forecast_by_strategy(
     custom    mean of the named members, the best single where none exists
     weights   weighted mean of named models
 
+    A series without hold-out rows cannot be ranked: the first of its models by name stands in for the best
+    one, and `reason` says so; elsewhere `reason` is null.
+
     Predictions are read once: they meet one verdict row per series, and one aggregation by
     (series, ds) yields the single, the group mean and the group percentiles together.
     """
     if weights:
-        return with_interval(weighted(preds, weights, spec))
+        return with_interval(weighted(preds, weights, spec)).withColumn("reason", F.lit(None).cast("string"))
     name = F.col("model")
     in_group = {
         "best": lambda: F.lit(False),
@@ -155,11 +158,12 @@ def forecast_by_strategy(
         "manual": lambda: name == F.lit(manual),
         "custom": lambda: name.isin(list(members)),
     }[strategy]()
-    rows = preds.join(evaluate(holdout, spec=spec), list(spec.keys))
+    rows = preds.join(evaluate(holdout, spec=spec), list(spec.keys), "left")
     grouped = F.when(in_group, F.col("yhat"))
     g = rows.groupBy(*spec.keys, spec.ds).agg(
-        F.max(F.when(name == F.col("best"), F.col("yhat"))).alias("_one"),
-        F.first("best").alias("_best"),
+        F.coalesce(F.max(F.when(name == F.col("best"), F.col("yhat"))), F.min_by(F.when(F.col("best").isNull(), F.col("yhat")), name)).alias("_one"),
+        F.coalesce(F.first("best"), F.min(name)).alias("_best"),
+        F.when(F.first("best").isNull(), F.lit("no hold-out rows")).alias("reason"),
         F.avg(grouped).alias("_mean"),
         F.percentile(grouped, [(1 - alpha) / 2, alpha + (1 - alpha) / 2]).alias("_p"),
         F.sort_array(F.collect_set(F.when(in_group, name))).alias("_names"),

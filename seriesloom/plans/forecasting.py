@@ -325,11 +325,12 @@ def ensemble_inverse_error(spark, sf_dir):
     return rounded(selection.inverse_error_weighted(future_predictions(spark, sf_dir), board), 1)
 
 
-_SINGLE = "sg AS (SELECT pf.series, pf.ds, pf.yhat, pf.model FROM pf JOIN lb ON lb.series = pf.series AND lb.model = pf.model AND lb.rank = 1)"
+_SINGLE = """sg AS (SELECT pf.series, pf.ds, pf.yhat, pf.model, NULL::VARCHAR AS reason FROM pf JOIN lb ON lb.series = pf.series AND lb.model = pf.model AND lb.rank = 1
+  UNION ALL SELECT series, ds, arg_min(yhat, model), min(model), 'no hold-out rows' FROM pf WHERE series NOT IN (SELECT series FROM lb) GROUP BY series, ds)"""
 _FLAT = "round(yhat, 1) AS yhat, round(yhat * 0.95, 1) AS lo, round(yhat * 1.05, 1) AS hi"
 
 
-@query("forecast_best", sql(*WD, HOLD, FUT, _SINGLE, f"SELECT series, ds, {_FLAT}, model FROM sg"))
+@query("forecast_best", sql(*WD, HOLD, FUT, _SINGLE, f"SELECT series, ds, {_FLAT}, model, reason FROM sg"))
 def forecast_best(spark, sf_dir):
     out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "best")
     return rounded(out, 1, "yhat", "lo", "hi")
@@ -339,7 +340,7 @@ def forecast_best(spark, sf_dir):
     "forecast_auto",
     sql(*WD, HOLD, FUT, _SINGLE, ENS_ERR, "win AS (SELECT ee.series FROM ee JOIN lb ON lb.series = ee.series AND lb.rank = 1 WHERE ee.rmse < lb.rmse)",
         f"en AS ({_ENS.format(src='(SELECT * FROM pf WHERE series IN (SELECT series FROM win))')})",
-        f"SELECT {_R1} FROM en UNION ALL SELECT series, ds, {_FLAT}, model FROM sg WHERE series NOT IN (SELECT series FROM win)"),
+        f"SELECT {_R1}, NULL::VARCHAR AS reason FROM en UNION ALL SELECT series, ds, {_FLAT}, model, reason FROM sg WHERE series NOT IN (SELECT series FROM win)"),
 )
 def forecast_auto(spark, sf_dir):
     out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "auto")
@@ -349,8 +350,9 @@ def forecast_auto(spark, sf_dir):
 @query(
     "forecast_manual",
     sql(*WD, HOLD, FUT, _SINGLE, f"""nm AS (SELECT * FROM pf WHERE model = '{NAMES[0]}'),
-u AS (SELECT series, ds, yhat, model FROM nm UNION ALL SELECT series, ds, yhat, model || ' (Fallback)' FROM sg WHERE series NOT IN (SELECT series FROM nm))""",
-        f"SELECT series, ds, {_FLAT}, model FROM u"),
+nr AS (SELECT DISTINCT series, reason FROM sg),
+u AS (SELECT nm.series, ds, yhat, model, reason FROM nm JOIN nr ON nr.series = nm.series UNION ALL SELECT series, ds, yhat, model || ' (Fallback)', reason FROM sg WHERE series NOT IN (SELECT series FROM nm))""",
+        f"SELECT series, ds, {_FLAT}, model, reason FROM u"),
 )
 def forecast_manual(spark, sf_dir):
     out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "manual", manual=NAMES[0])
@@ -359,7 +361,8 @@ def forecast_manual(spark, sf_dir):
 
 @query(
     "forecast_custom",
-    sql(*WD, HOLD, FUT, f"en AS ({_ENS.format(src=f'''(SELECT * FROM pf WHERE model IN ('{NAMES[1]}', '{NAMES[2]}'))''')})", f"SELECT {_R1} FROM en"),
+    sql(*WD, HOLD, FUT, _SINGLE, "nr AS (SELECT DISTINCT series, reason FROM sg)", f"en AS ({_ENS.format(src=f'''(SELECT * FROM pf WHERE model IN ('{NAMES[1]}', '{NAMES[2]}'))''')})",
+        f"SELECT en.{_R1}, reason FROM en JOIN nr ON nr.series = en.series"),
 )
 def forecast_custom(spark, sf_dir):
     out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "custom", members=NAMES[1:])

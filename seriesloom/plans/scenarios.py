@@ -1,25 +1,44 @@
-"""What-if scenarios, shocks and random-walk fans."""
+"""What-if scenarios, shocks and replays of past moves."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..models import factor, seasonal_ar
-from ..operators import align, profile, report, scenario
+from ..operators import align, report, scenario
 from . import fixtures as fx
 from .forecasting import H, factor_sql, rounded
 from .registry import query, sql
 
-SIMS = 200
-
 _SCN = fx.literal_sql("scn", fx.SCENARIO_COLUMNS, fx.SCENARIOS)
 _LEV = f"""lv AS (SELECT indicator, value AS level FROM indl WHERE ds = (SELECT max(ds) FROM ind)),
 sl AS (SELECT n.scenario, lv.indicator, lv.level AS base_level, CASE s.op WHEN 'set' THEN s.arg WHEN 'add' THEN lv.level + s.arg WHEN 'mul' THEN lv.level * s.arg ELSE lv.level END AS level
   FROM (SELECT DISTINCT scenario FROM scn) n CROSS JOIN lv LEFT JOIN scn s ON s.scenario = n.scenario AND s.indicator = lv.indicator)"""
 _MERGED = "mg AS (SELECT dense.*, avg_discount, avg_tax, avg_qty, avg_price FROM dense JOIN ind USING (ds))"
-_BETA = "bt AS (" + " UNION ALL ".join(f"SELECT series, '{c}' AS indicator, coalesce(regr_slope(y, {c}), 0) AS beta FROM mg GROUP BY series" for c in fx.INDICATORS) + ")"
+
+
+def _elimination() -> str:
+    """Slopes of one regression on all indicators per series: covariances, elimination column by column, back substitution."""
+    xs, n = fx.INDICATORS, len(fx.INDICATORS)
+    cells = [(i, j) for i in range(n) for j in range(n)]
+    first = ", ".join(f"covar_pop({xs[i]}, {xs[j]}) AS a{i}{j}" for i, j in cells) + ", " + ", ".join(f"covar_pop({x}, y) AS b{i}" for i, x in enumerate(xs))
+    steps = [f"e0 AS (SELECT series, {first} FROM mg GROUP BY series)"]
+    for k in range(n - 1):
+        less = lambda i: f"a{i}{k} / a{k}{k}"  # noqa: B023, E731
+        a = [f"a{i}{j} - {less(i)} * a{k}{j} AS a{i}{j}" if i > k and j >= k else f"a{i}{j}" for i, j in cells]
+        b = [f"b{i} - {less(i)} * b{k} AS b{i}" if i > k else f"b{i}" for i in range(n)]
+        steps.append(f"e{k + 1} AS (SELECT series, {', '.join(a + b)} FROM e{k})")
+    last = f"e{n - 1}"
+    for i in reversed(range(n)):
+        rest = "".join(f" - a{i}{j} * x{j}" for j in range(i + 1, n))
+        steps.append(f"s{i} AS (SELECT *, (b{i}{rest}) / a{i}{i} AS x{i} FROM {last})")
+        last = f"s{i}"
+    return ",\n".join([*steps, "bt AS (" + " UNION ALL ".join(f"SELECT series, '{x}' AS indicator, x{i} AS beta FROM s0" for i, x in enumerate(xs)) + ")"])
+
+
+_BETA = _elimination()
 _SCORED = """mv AS (SELECT series, scenario, sum(beta * (level - base_level)) AS e FROM bt JOIN sl USING (indicator) GROUP BY 1, 2),
-sc AS (SELECT scenario, series, ds, yhat + e AS yhat FROM tf JOIN mv USING (series))"""
+sc AS (SELECT n.scenario, tf.series, tf.ds, tf.yhat + coalesce(mv.e, 0) AS yhat FROM tf CROSS JOIN (SELECT DISTINCT scenario FROM sl) n LEFT JOIN mv ON mv.series = tf.series AND mv.scenario = n.scenario)"""
 BASE = (fx.PANEL, fx.DENSE, fx.IND, fx.IND_LONG, _SCN, _LEV, _MERGED, _BETA, factor_sql("dense", "tf"), _SCORED)
 
 
@@ -49,9 +68,14 @@ def scenario_levels(spark, sf_dir):
     return _scenario_levels(spark, sf_dir)
 
 
-@query("indicator_response", sql(fx.PANEL, fx.DENSE, fx.IND, _MERGED, _BETA, "SELECT series, indicator, round(beta, 2) AS beta FROM bt"))
+@query(
+    "indicator_response",
+    sql(fx.PANEL, fx.DENSE, fx.IND, _MERGED, _BETA, "SELECT series, indicator, round(beta / power(10, floor(log10(abs(beta)))), 5) AS digits, CAST(floor(log10(abs(beta))) AS BIGINT) AS exponent FROM bt"),
+)
 def indicator_response(spark, sf_dir):
-    return rounded(_betas(spark, sf_dir), 2, "beta")
+    """The slopes as six digits and a power of ten, since their sizes differ by many orders."""
+    exponent = F.floor(F.log10(F.abs("beta")))
+    return _betas(spark, sf_dir).select("series", "indicator", F.round(F.col("beta") / F.pow(F.lit(10.0), exponent), 5).alias("digits"), exponent.alias("exponent"))
 
 
 @query("scenario_forecast", sql(*BASE, "SELECT scenario, series, ds, round(yhat, 2) AS yhat FROM sc"))
@@ -101,25 +125,20 @@ def elasticity(spark, sf_dir):
     return e.withColumns({"effect": F.round("effect", 2), "elasticity": F.round("elasticity", 6)})
 
 
-_VOL = """vl AS (SELECT indicator, coalesce(stddev_samp(g), 0.01) AS vol FROM (SELECT indicator, value / lag(value) OVER (PARTITION BY indicator ORDER BY ds) - 1 AS g FROM indl) GROUP BY indicator)"""
-
-
-def _u(suffix: str) -> str:
-    return f"(CAST('0x' || substr(md5('42|' || sim || '|' || step || '|' || indicator || '|{suffix}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
-
-
-_WALK = f"""zz AS (SELECT sim, step, indicator, level, 1 + sqrt(-2.0::DOUBLE * ln({_u('u')})) * cos(6.283185307179586::DOUBLE * ({_u('v')})) * vol AS f
-  FROM lv JOIN vl USING (indicator), (SELECT unnest(generate_series(1, {SIMS})) AS sim), (SELECT unnest(generate_series(1, {H})) AS step)),
-wk AS (SELECT CAST(sim AS BIGINT) AS sim, indicator, CAST(step AS BIGINT) AS step, level, level * product(f) OVER (PARTITION BY sim, indicator ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM zz)"""
+_REPLAY = f"""wk AS (SELECT a.ds AS sim, a.indicator, CAST(t.step AS BIGINT) AS step, lv.level, lv.level * b.value / a.value AS value
+  FROM (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY ds) AS k, count(*) OVER (PARTITION BY indicator) AS n FROM indl) a
+  JOIN (SELECT unnest(generate_series(1, {H})) AS step) t ON a.k + {H} <= a.n
+  JOIN (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY ds) AS k FROM indl) b ON b.indicator = a.indicator AND b.k = a.k + t.step
+  JOIN lv ON lv.indicator = a.indicator WHERE a.value <> 0)"""
 
 
-def _vol(spark, sf_dir):
-    return profile.indicator_volatility(fx.indicators_long(spark, sf_dir))
+def _paths(spark, sf_dir):
+    return scenario.replay_paths(fx.indicators_long(spark, sf_dir), _levels(spark, sf_dir), H)
 
 
-@query("shock_paths", sql(fx.IND, fx.IND_LONG, _SCN, _LEV, _VOL, _WALK, "SELECT sim, indicator, step, round(value, 6) AS value FROM wk"))
-def shock_paths(spark, sf_dir):
-    return rounded(scenario.shock_paths(_levels(spark, sf_dir), _vol(spark, sf_dir), SIMS, H), 6, "value")
+@query("replay_paths", sql(fx.IND, fx.IND_LONG, _SCN, _LEV, _REPLAY, "SELECT sim, indicator, step, round(value, 6) AS value FROM wk"))
+def replay_paths(spark, sf_dir):
+    return rounded(_paths(spark, sf_dir), 6, "value")
 
 
 _CUBE = """cb AS (SELECT w.sim, tf.series, tf.ds, tf.yhat + w.e AS yhat FROM tf JOIN (
@@ -129,28 +148,27 @@ quantile_cont(yhat, 0.95) AS p95 FROM cb GROUP BY 1, 2)"""
 _COLS = ("mean", "p05", "p25", "p50", "p75", "p95")
 
 
-def _bands(spark, sf_dir):
-    return scenario.shock_bands(_forecast(spark, sf_dir), _betas(spark, sf_dir), _levels(spark, sf_dir), _vol(spark, sf_dir), SIMS, H)
+def _cube(spark, sf_dir):
+    return scenario.replay_cube(_forecast(spark, sf_dir), _betas(spark, sf_dir), _levels(spark, sf_dir), _paths(spark, sf_dir))
 
 
-@query("simulation_cube", sql(*BASE, _VOL, _WALK, _CUBE, "SELECT sim, series, ds, round(yhat, 1) AS yhat FROM cb"))
-def simulation_cube(spark, sf_dir):
-    cube = scenario.simulation_cube(_forecast(spark, sf_dir), _betas(spark, sf_dir), _levels(spark, sf_dir), _vol(spark, sf_dir), SIMS, H)
-    return rounded(cube, 1)
+@query("replay_cube", sql(*BASE, _REPLAY, _CUBE, "SELECT sim, series, ds, round(yhat, 1) AS yhat FROM cb"))
+def replay_cube(spark, sf_dir):
+    return rounded(_cube(spark, sf_dir), 1)
 
 
-@query("shock_bands", sql(*BASE, _VOL, _WALK, _CUBE, _BANDS, "SELECT series, ds, " + ", ".join(f"round({c}, 1) AS {c}" for c in _COLS) + " FROM bd"))
-def shock_bands(spark, sf_dir):
-    return rounded(_bands(spark, sf_dir), 1, *_COLS)
+@query("replay_bands", sql(*BASE, _REPLAY, _CUBE, _BANDS, "SELECT series, ds, " + ", ".join(f"round({c}, 1) AS {c}" for c in _COLS) + " FROM bd"))
+def replay_bands(spark, sf_dir):
+    return rounded(scenario.bands_of_cube(_cube(spark, sf_dir)), 1, *_COLS)
 
 
 @query(
     "risk_metrics",
-    sql(*BASE, _VOL, _WALK, _CUBE, _BANDS, """SELECT series, ds, round(mean, 1) AS mean, round(p05, 1) AS p05, round(p50, 1) AS p50, round(p95, 1) AS p95, round(p95 - p05, 1) AS spread
+    sql(*BASE, _REPLAY, _CUBE, _BANDS, """SELECT series, ds, round(mean, 1) AS mean, round(p05, 1) AS p05, round(p50, 1) AS p50, round(p95, 1) AS p95, round(p95 - p05, 1) AS spread
 FROM bd b WHERE ds = (SELECT max(ds) FROM bd x WHERE x.series = b.series)"""),
 )
 def risk_metrics(spark, sf_dir):
-    return rounded(scenario.end_risk(_bands(spark, sf_dir)), 1, "mean", "p05", "p50", "p95", "spread")
+    return rounded(scenario.end_risk(scenario.bands_of_cube(_cube(spark, sf_dir))), 1, "mean", "p05", "p50", "p95", "spread")
 
 
 @query("scenario_seasonal_arx")

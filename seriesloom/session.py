@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,15 @@ def build_session(app: str = "seriesloom", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    local temporary folder is used.
+    The folder comes from ``spark.checkpoint.dir``. A session on a local master may go without: it
+    gets a temporary folder of its own. Anywhere else a missing setting is an error, since the
+    executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="seriesloom-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

