@@ -10,6 +10,8 @@ classes post nothing. Links are confirmed on the full shingle sets in two steps:
    This joins groups of near copies with a number of checks that grows with their size, not its square;
 2. in lists that still hold several components, the members from different components whose signatures agree, in blocks of
    bounded size, where only links that join two components of the block are handed on.
+
+Full sets are made, from the texts, only for classes whose signature agrees with that of another class often enough.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ HEADS = 2
 FILTER_BITS = 30
 #: Bytes of full sets in a block of one posting list.
 BLOCK_BYTES = 4 << 20
+#: Pairs of signatures compared at a time.
+PAIRS = 1 << 15
 _RANDOM = np.random.default_rng(64)
 _FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -102,7 +106,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(uid, sig, hashes): the shingle sets of the classes in `needed`, made again from the texts of their first rows.
+    """(uid, hashes): the shingle sets of the classes in `needed`, made again from the texts of their first rows.
 
     A filter of the rows' ids lets all other texts pass unread, so that no text is shuffled; what it lets through in error
     goes in the join on the set's own key.
@@ -123,7 +127,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int
     spots = [F.pmod(F.xxhash64(id_of, F.lit(k)), F.lit(1 << FILTER_BITS)).alias(f"spot{k}") for k in (1, 2)]
     rows = docs.where("text IS NOT NULL").select(*spots, F.col("text").cast("string").cast("binary").alias("text"))
     made = in_arrow(rows, run, "set_key binary, hashes binary", [pa.binary(), pa.binary()])
-    return made.join(wanted.select("set_key", "uid", "sig"), "set_key").dropDuplicates(["uid"]).select("uid", "sig", "hashes")
+    return made.join(wanted.select("set_key", "uid"), "set_key").dropDuplicates(["uid"]).select("uid", "hashes")
 
 
 def best_heads(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -177,9 +181,8 @@ class Block:
     def __init__(self, rows: pd.DataFrame) -> None:
         self.rows = rows = rows.sort_values(["n_shingles", "uid"]).reset_index(drop=True)
         self.sig = np.stack(rows["sig"].to_numpy())
-        self.prefix = np.zeros((len(rows), COORDINATES), bool)
-        for i, ats in enumerate(rows["ats"]):
-            self.prefix[i, np.asarray(ats, int)] = True
+        masks = rows["prefix"].to_numpy().view(np.uint64)
+        self.prefix = masks[:, None] >> np.arange(COORDINATES, dtype=np.uint64) & np.uint64(1) == 1
         self.n, self.side, self.uid = (rows[c].to_numpy() for c in ("n_shingles", "side", "uid"))
         self.two = len(rows) > 0 and self.side.min() != self.side.max()
         self.at = int(rows["token"].iloc[0] >> 32)
@@ -195,15 +198,6 @@ class Block:
         first = (same & self.prefix[j] & self.prefix[i]).argmax(1) if len(j) else j
         return j[(same.sum(1) >= AGREE) & (first == self.at)]
 
-    def able(self, percent: int) -> np.ndarray:
-        """Which members have a partner."""
-        roots, out = self.rows["root"].to_numpy(), np.zeros(len(self.uid), bool)
-        for i in range(len(self.uid) - 1):
-            j = self.partners(i, roots, percent)
-            out[j] = True
-            out[i] |= len(j) > 0
-        return out
-
     def links(self, percent: int) -> list[tuple[int, int]]:
         """Links that join different components, confirmed on the full sets."""
         roots, out = _Roots(self.rows["root"].to_numpy()), []
@@ -226,16 +220,42 @@ class Block:
         return out
 
 
-def residual_links(posts: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components that still meet in a posting list.
+def able(rows: pa.Table, percent: int) -> np.ndarray:
+    """Which rows of whole blocks, each in the order of set sizes, have a partner (see `Block.partners`) in their block."""
+    token, one, two, side, root, n, mask = (rows.column(c).to_numpy() for c in ("token", "one", "two", "side", "root", "n_shingles", "prefix"))
+    sig, mask = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES), mask.view(np.uint64)
+    block = np.cumsum(np.r_[False, block_starts(rows)])
+    width = 101 * int(n.max()) + 1
+    counts = np.searchsorted(block * width + n * percent, block * width + 100 * n, side="right") - np.arange(len(n)) - 1
+    before = np.r_[0, np.cumsum(counts)]
+    out, i = np.zeros(len(n), bool), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(before, before[i] + PAIRS, side="right")) - 1)
+        a = np.repeat(np.arange(i, j), counts[i:j])
+        b = a + 1 + np.arange(len(a)) - np.repeat(before[i:j] - before[i], counts[i:j])
+        apart = (root[a] != root[b]) & ((side[a] != side[b]) | (one[a] == two[a]))
+        a, b = a[apart], b[apart]
+        same = sig[a] == sig[b]
+        near = np.count_nonzero(same, axis=1) >= AGREE
+        a, b = a[near], b[near]
+        shared = np.packbits(same[near], axis=1, bitorder="little").view(np.uint64)[:, 0] & mask[a] & mask[b]
+        own = shared & (~shared + np.uint64(1)) == np.uint64(1) << (token[a] >> 32).astype(np.uint64)
+        out[a[own]] = out[b[own]] = True
+        i = j
+    return out
 
-    A first pass over signatures alone finds the members with a possible partner; only their sets travel to the second.
-    """
+
+def block_starts(rows: pa.Table) -> np.ndarray:
+    """Where a row, from the second on, begins another block."""
+    return np.logical_or.reduce([np.diff(rows.column(c).to_numpy()) != 0 for c in ("token", "one", "two")])
+
+
+def open_members(posts: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The members of posting lists that have a possible partner in another component, by signatures alone, in their blocks."""
     labelled = posts.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     spans = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    sizes = sets.select("uid", "sig", (F.octet_length("hashes") / 8).cast("long").alias("n_shingles"))
-    prefix = posts.select("uid", F.shiftright("token", 32).cast("int").alias("at")).groupBy("uid").agg(F.collect_list("at").alias("ats"))
-    members = labelled.join(spans, "token").select("token", "uid", "root").join(sizes.select("uid", "n_shingles"), "uid")
+    prefix = posts.groupBy("uid").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("prefix"))
+    members = labelled.join(spans, "token").select("token", "uid", "root").join(classes.select("uid", "n_shingles"), "uid")
     # blocks of bounded size along the order of set sizes; sizes too far apart cannot be linked, so far blocks never meet
     size = F.sum(F.col("n_shingles") * 8 + 512).over(Window.partitionBy("token").orderBy("n_shingles", "uid"))
     blocks = members.withColumn("block", F.floor(size / BLOCK_BYTES).cast("int"))
@@ -244,20 +264,32 @@ def residual_links(posts: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     meet = first.join(spread, "token").where((F.col("block") >= F.col("one")) & (F.col("least") * percent <= F.col("reach") * 100))
     pairs = meet.select("token", "one", F.col("block").alias("two"), F.explode(F.array_distinct(F.array("one", "block"))).alias("side"))
     placed = pairs.join(blocks.withColumnRenamed("block", "side"), ["token", "side"])
-    placed = placed.select("token", "one", "two", "side", "uid", "root", "n_shingles")
-    known = sizes.select("uid", "sig").join(prefix, "uid")
-    place = "token long, one int, two int, side int, uid long, root long, n_shingles long"
+    known = classes.select("uid", "sig").join(prefix, "uid")
+    rows = placed.join(known, "uid").select("token", "one", "two", "side", "uid", "root", "n_shingles", "prefix", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            starts = np.flatnonzero(block_starts(rest))
+            if len(starts):  # the last block may go on in the next batch
+                whole, rest = rest.slice(0, starts[-1] + 1), rest.slice(starts[-1] + 1)
+                yield from whole.filter(pa.array(able(whole, percent))).to_batches()
+        if rest is not None and rest.num_rows:
+            yield from rest.filter(pa.array(able(rest, percent))).to_batches()
+
+    ordered = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n_shingles", "uid")
+    return ordered.mapInArrow(run, rows.schema)
+
 
-    def able(rows: pd.DataFrame) -> pd.DataFrame:
-        block = Block(rows)
-        return block.rows.loc[block.able(percent), [c.split()[0] for c in place.split(", ")]]
+def residual_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that still meet in a posting list, confirmed on the full sets of its open members."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(Block(rows).links(percent), columns=["a", "b"], dtype="int64")
 
-    open_ = stored(placed.join(known, "uid").groupBy("token", "one", "two").applyInPandas(able, place), "open")
-    full = open_.join(known.join(sets.select("uid", "hashes"), "uid"), "uid")
-    return full.groupBy("token", "one", "two").applyInPandas(links, "a long, b long")
+    return members.join(sets.select("uid", "hashes"), "uid").groupBy("token", "one", "two").applyInPandas(links, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -271,17 +303,20 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     rows = stored(sketches(docs, width), "sketches")
     filled = rows.where("set_key IS NOT NULL")
-    classes = filled.groupBy("set_key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = filled.groupBy("set_key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = stored(classes, "classes")
     posts = stored(postings(classes), "postings")
     heads = posts.groupBy("token").agg(F.max(F.struct("weight", "uid")).alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head.uid")
     pairs = posts.select("token", F.col("uid").alias("a")).join(heads.withColumnRenamed("uid", "b"), "token").where("a <> b").select("a", "b").distinct()
-    listed = posts.join(heads, "token", "left_semi").select("uid").distinct()
-    sets = stored(full_sets(docs, classes, listed, width), "sets")
-    first = stored(confirm_pairs(best_heads(pairs, classes), sets, percent), "links")
+    near = stored(best_heads(pairs, classes), "near")
+    sets = stored(full_sets(docs, classes, near.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), width), "sets")
+    first = stored(confirm_pairs(near, sets, percent), "links")
     roots = stored(components(first).select(F.col("node").alias("uid"), "root"), "roots")
-    listed_posts = posts.join(heads, "token", "left_semi")
-    more = stored(residual_links(listed_posts, roots, sets, percent), "links")
+    listed = posts.join(heads, "token", "left_semi").select("token", "uid")
+    open_ = stored(open_members(listed, roots, classes, percent), "open")
+    lacking = open_.select("uid").distinct().join(sets, "uid", "left_anti")
+    more_sets = stored(full_sets(docs, classes, lacking, width), "sets")
+    more = stored(residual_links(open_, sets.union(more_sets), percent), "links")
     final = components(first.union(more)).select(F.col("node").alias("uid"), "root")
     named = classes.join(final, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
