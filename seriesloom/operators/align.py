@@ -17,10 +17,9 @@ def merge_indicators(
 ) -> DataFrame:
     """Join a one-row-per-month indicator table to the panel by date.
 
-    The indicator side is grouped by month, so it is bounded by the calendar (12 rows a
-    year) whatever the data volume, and safe to broadcast.
+    A small indicator table is broadcast by its measured size; there is no hint.
     """
-    out = panel.join(F.broadcast(indicators), spec.ds, how)
+    out = panel.join(indicators, spec.ds, how)
     if not fill:
         return out
     return fill_both(out, [c for c in indicators.columns if c != spec.ds], spec)
@@ -142,11 +141,11 @@ def full_outer_delta(a: DataFrame, b: DataFrame, on: list[str], col: str, names:
 def rule_breaches(long: DataFrame, rules: DataFrame, indicator: str = "indicator", value: str = "value") -> DataFrame:
     """Rows of a long indicator table outside the [min, max] of their rule.
 
-    `rules` holds one row per indicator name, i.e. per column of a table, and is broadcast.
+    `rules` holds one row per indicator name, i.e. per column of a table.
     """
     v = F.col(value)
     return (
-        long.join(F.broadcast(rules), indicator)
+        long.join(rules, indicator)
         .filter((v < F.col("min")) | (v > F.col("max")))
         .withColumn("issue", F.when(v < F.col("min"), "too low").otherwise("too high"))
     )

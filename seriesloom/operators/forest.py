@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .quantiles import exact_quantiles
 
+#: Rows each tree is grown on (all rows of a smaller table).
 SAMPLE = 256
-MAX_FEATURES = 5
 
 
 def _average_depth(n):
@@ -47,19 +47,17 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 def fit(df: DataFrame, features: Sequence[str], key: str, n: int, trees: int = 100, seed: int = 42) -> DataFrame:
     """Node table (tree, node, feature, cut, left, right, depth) of a table of `n` rows.
 
-    Rows join the sample by a hash of their key, so the draw is repeatable. Only about
-    trees x SAMPLE rows (a fixed number) leave the scan; each tree is one small group.
+    A row joins the sample of each tree by a hash of its key and the tree, so the draw is repeatable and the same
+    at every size. About trees x SAMPLE rows (a fixed number) leave the scan; each tree is one small group.
     """
-    cols = list(features)[:MAX_FEATURES]
-    wanted = trees * SAMPLE
+    cols = list(features)
     rows = df.select(F.col(key), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    if n > wanted:
-        u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-        share = min(1.0, 1.2 * wanted / n + 1e-12)
-        picked = rows.withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees)).cast("int")).filter(u < share)
-    else:
-        # a small table: every tree draws its own sample
-        picked = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    draw = lambda *parts: F.pmod(F.xxhash64(F.col(key), *parts), F.lit(1 << 40)) / float(1 << 40)
+    share = 1.2 * SAMPLE / max(n, 1)
+    # one draw for all trees first, so that most rows of a large table are hashed once
+    gate = min(1.0, 8 * trees * share)
+    joins = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(F.lit(seed + 1), t) < share / gate)
+    picked = rows.filter(draw(F.lit(seed)) < gate).withColumn("tree", F.explode(joins))
     schema = "tree int, node int, feature int, cut double, left int, right int, depth double"
 
     def build(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +79,7 @@ def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str, sa
     The node table has at most trees x 2 x SAMPLE rows whatever the data size; it travels to the
     tasks with the function.
     """
-    cols = list(features)[:MAX_FEATURES]
+    cols = list(features)
     table = nodes.toPandas().sort_values(["tree", "node"])
     # all trees end to end; a leaf points to itself, so every row can take the same number of steps
     start = table.groupby("tree")["node"].transform("size").groupby(table["tree"]).first().cumsum().shift(fill_value=0)

@@ -53,7 +53,7 @@ def headline_signals(items: DataFrame, text: str = "text") -> DataFrame:
 def level_insights(levels: DataFrame, rules: DataFrame) -> DataFrame:
     """Messages of the rules (indicator, side, lim, kind, message) that the latest levels trigger."""
     hit = F.when(F.col("side") == "above", F.col("level") > F.col("lim")).otherwise(F.col("level") < F.col("lim"))
-    return levels.join(F.broadcast(rules), "indicator").filter(hit).select(
+    return levels.join(rules, "indicator").filter(hit).select(
         "kind", F.concat("message", F.lit(" ("), "indicator", F.lit(")")).alias("message")
     )
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# up to this many groups the bracket table (a few hundred bytes a group) is broadcast
-BROADCAST_GROUPS = 100_000
-
 
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], accuracy: int = 2000
@@ -49,12 +46,11 @@ def exact_quantiles(
             for i, (name, p) in enumerate(probs.items())
         ]
     )
-    # one small row per group, kept so that the first pass runs once and its size is known
+    # one small row per group, kept so that the first pass runs once; the planner sees its size
     ensure_checkpoint_dir(df.sparkSession)
     brackets = sketch.select(*keys, probes.alias("_p")).checkpoint()
     if keys:
-        few = brackets.count() <= BROADCAST_GROUPS
-        joined = rows.join(F.broadcast(brackets) if few else brackets, keys)
+        joined = rows.join(brackets, keys)
     else:
         joined = rows.withColumn("_p", brackets.scalar())
     hits = joined.select(*keys, "_x", F.explode("_p").alias("p")).filter(F.col("_x") <= F.col("p.hi"))

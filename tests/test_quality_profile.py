@@ -140,6 +140,16 @@ def test_isolation_forest_ranks_far_points_first(spark, extra):
     assert forest.anomaly_forest(df.limit(5), ["a", "b"], "id").filter("is_forest").count() == 0
 
 
+def test_isolation_forest_uses_every_feature(spark):
+    rng = np.random.default_rng(2)
+    pts = rng.normal(size=(400, 6))
+    pts[:4, 5] += 15
+    names = list("abcdef")
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(pts)], "id bigint, " + ", ".join(f"{c} double" for c in names))
+    flagged = {r["id"] for r in forest.anomaly_forest(df, names, "id", 0.05, trees=100).filter("is_forest").collect()}
+    assert set(range(4)) <= flagged
+
+
 def test_report_edges(make_panel):
     p = make_panel({"a": [0, 10, 20], "b": [5, 5, 5]})
     t = report.totals(p, ["ds"])
