@@ -25,9 +25,11 @@ from .common import in_arrow, slices
 
 #: Fixed by the vocabulary file: how it marks a word's end, its special tokens, and its pattern of words.
 WORD_END = "</w>"
-#: Words and pairs kept from batch to batch; results do not depend on them.
+#: Words (and runs of words without white space) and pairs kept from batch to batch; results do not depend on them.
 MOST_WORDS = 300_000
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 300_000
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 1 << 20
 
 #: str.split() divides at these too, white space of the pattern does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -60,7 +62,6 @@ class WordBpe:
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.letters = byte_letters()
         self.known: dict[str, tuple[bytes, str]] = {}
-        self.ready: dict[str | int, tuple[bytes, str]] = {}
         self.pairs: dict[int, bool] = {}
         self.failed = 0
 
@@ -170,11 +171,13 @@ class WordBpe:
         for w, s, p, ok in zip(new, symbols, proposed, passed.tolist(), strict=True):
             ids = p if ok else [i for i in map(self.ids.get, self.merged(s)) if i is not None]
             out[w] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids]))
-        room = MOST_WORDS - len(self.known)
-        if room > 0:  # the first words seen are the frequent ones; the rest live for one batch
-            self.known.update(islice(out.items(), room))
+        self.keep(out)
         return out
 
+    def keep(self, coded: dict[str, tuple[bytes, str]]) -> None:
+        """The first ones seen are the frequent ones; the rest live for one batch."""
+        self.known.update(islice(coded.items(), max(0, MOST_WORDS - len(self.known))))
+
     def pieces(self, text: str) -> list[str | int]:
         """Chunks and ids of special tokens, in order."""
         if self.split_special is None or "<|" not in text:
@@ -185,20 +188,22 @@ class WordBpe:
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit numbers, decoded text) of each text."""
         split = [self.pieces(t) for t in texts]
-        new = {c: self.find(c) if isinstance(c, str) else c for c in set().union(*split) - self.ready.keys()}
-        fresh = self.learn({w for words in new.values() if isinstance(words, list) for w in words})
+        seen = set().union(*split)
+        new = {i: (np.array([i], "<u4").tobytes(), self.names[i]) for i in seen if isinstance(i, int)}
+        # a chunk that is one word is kept once, as that word
+        words = {c: self.find(c) for c in seen - new.keys() - self.known.keys()}
+        new |= self.learn({c if len(found) == 1 and found[0] == c else w for c, found in words.items() for w in found})
         known = self.known
-        for chunk, words in new.items():
-            if isinstance(words, int):
-                new[chunk] = (np.array([words], "<u4").tobytes(), self.names[words])
-            else:
-                found = [known.get(w) or fresh[w] for w in words]
-                new[chunk] = (b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]]))
-        self.ready.update(islice(new.items(), max(0, MOST_WORDS - len(self.ready))))
-        whole = self.ready.get
+        runs = {}
+        for chunk, found in words.items():
+            if chunk not in new and chunk not in known:
+                coded = [known.get(w) or new[w] for w in found]
+                runs[chunk] = (b"".join([c[0] for c in coded]), " ".join([c[1] for c in coded if c[0]]))
+        self.keep(runs)
+        new |= runs
         out = []
         for chunks in split:
-            found = [whole(c) or new[c] for c in chunks]
+            found = [known.get(c) or new[c] for c in chunks]
             out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])))
         return out
 
@@ -219,9 +224,9 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         state = kept.value  # one for each worker process, which serves many tasks
-        bpe = state["bpe"] = state.get("bpe") or WordBpe(state["content"])
+        bpe = state["bpe"] = state.get("bpe") or WordBpe(state.pop("content"))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 coded = bpe.encode(part.column("text").to_pylist())
                 decoded = [text for _, text in coded]
                 columns = [
