@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES, QueryFn
 
-MODULES = ("build", "reporting", "quality", "forecasting", "scenarios", "sources")
+MODULES = ("build", "reporting", "quality", "forecasting", "scenarios", "sources", "landed")
 
 
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:

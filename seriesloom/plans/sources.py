@@ -33,13 +33,8 @@ def history_from_csv(spark, sf_dir):
     return parsed.select("o_orderkey", parse_day_first(F.col("r.ds")).alias("ds"), "r.series", "r.y")
 
 
-@query(
-    "annual_from_json",
-    """SELECT o_orderpriority AS indicator, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 1e2 AS value
-FROM orders GROUP BY 1, 2 HAVING count(*) FILTER (o_orderstatus = 'P') > 0""",
-)
-def annual_from_json(spark, sf_dir):
-    """Yearly sums wrapped as `[meta, [ {date, value} ]]`; a year without open orders has a null value."""
+def annual_payloads(spark, sf_dir):
+    """Yearly sums wrapped as `[meta, [ {date, value} ]]`, one text for each priority; a year without open orders has a null value."""
     y = (
         fx.table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("indicator"), F.year("o_orderdate").cast("string").alias("date"))
@@ -48,8 +43,16 @@ def annual_from_json(spark, sf_dir):
         )
     )
     body = F.to_json(F.sort_array(F.collect_list(F.struct("date", "value"))), {"ignoreNullFields": "false"})
-    payloads = y.groupBy("indicator").agg(F.concat(F.lit('[{"page":1},'), body, F.lit("]")).alias("payload"))
-    return files.parse_annual(payloads)
+    return y.groupBy("indicator").agg(F.concat(F.lit('[{"page":1},'), body, F.lit("]")).alias("payload"))
+
+
+@query(
+    "annual_from_json",
+    """SELECT o_orderpriority AS indicator, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 1e2 AS value
+FROM orders GROUP BY 1, 2 HAVING count(*) FILTER (o_orderstatus = 'P') > 0""",
+)
+def annual_from_json(spark, sf_dir):
+    return files.parse_annual(annual_payloads(spark, sf_dir))
 
 
 @query(

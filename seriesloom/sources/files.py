@@ -51,11 +51,10 @@ def parse_annual(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def read_annual(spark: SparkSession, path: str) -> DataFrame:
-    """Annual JSON files, one payload per file; the indicator is the file name."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("indicator"), F.col("value").alias("payload")
-    )
-    return parse_annual(raw)
+    """Annual JSON files, one payload per file; the indicator is the file's `indicator=` folder, else its name."""
+    raw = spark.read.text(path, wholetext=True)
+    name = F.col("indicator") if "indicator" in raw.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    return parse_annual(raw.select(name.alias("indicator"), F.col("value").alias("payload")))
 
 
 def read_prices(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -6,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from panels import month_end  # noqa: E402
 from seriesloom import build_session  # noqa: E402
 
 
@@ -20,12 +20,6 @@ def spark():
     s.stop()
 
 
-def month_end(i, year=2020):
-    """The i-th month end counted from January of `year`."""
-    y, m = year + (i + 1) // 12, (i + 1) % 12
-    return dt.date(y, m + 1, 1) - dt.timedelta(days=1)
-
-
 @pytest.fixture
 def make_panel(spark):
     """Panel from {series: [values]}; None skips the month."""

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import month_end
+from panels import month_end
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

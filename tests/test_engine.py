@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import month_end
+from panels import month_end
 from pyspark.sql import functions as F
 
 from seriesloom import PanelEngine

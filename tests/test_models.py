@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import month_end
+from panels import month_end
 from pyspark.sql import functions as F
 
 from seriesloom.models import base, factor, linear, neighbours, pooled, seasonal_ar, smoothing

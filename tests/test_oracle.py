@@ -1,12 +1,13 @@
-"""Every registered query against its DuckDB text on the smallest tables."""
+"""Every query over series against its DuckDB text on the smallest tables."""
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from seriesloom.plans import load_all
 from tools.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 @pytest.fixture(scope="module")

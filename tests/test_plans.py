@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from seriesloom.plans import load_all
 
 SF = "/root/testdata/sf0.001"
-Q = queries()
+Q = load_all()[0]
 # queries that run jobs while they are built or read text columns only
 EAGER = {"iso_forest", "tune_forest", "feature_importance", "snapshot_roundtrip", "snapshot_list", "export_roundtrip", "csv_roundtrip",
          "stream_daily", "stream_monthly", "incremental_refresh"} | {n for n in Q if re.match(r"fc_(gbt|rf|extra|lasso|elastic|huber|poly)", n)}

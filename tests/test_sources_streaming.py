@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import month_end
+from panels import month_end
 from pyspark.sql import functions as F
 
 from seriesloom.operators import insight
