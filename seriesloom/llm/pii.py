@@ -219,7 +219,12 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", in_order(F.col("base")).alias("base"), added.alias("added")).select("doc_id", "base", F.array_sort(F.concat("base", "added")).alias("all"))
 
 
+def count_of(spans: str, kind: str) -> Column:
+    """How many spans of an array have the kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, checksum of the base spans and all spans of every text; the rules of `find_spans` hold."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+    counts = [count_of("base", kind).alias(f"n_{kind}") for kind in KINDS[:BASE]]
     return find_spans(docs).select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
