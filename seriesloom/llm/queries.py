@@ -15,6 +15,7 @@ from .lm_scoring import score_documents
 from .mixing import mix_copies
 from .near_dedup import near_groups
 from .pii import personal_data
+from .repeats import cut_repeats
 from .search import ranked
 from .sharding import shard_documents
 from .toxicity import toxicity
@@ -98,6 +99,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
