@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .conversations import repair_damage
 from .exact_dedup import exact_groups
 from .fingerprint import fingerprint_edits
 from .language_id import identify
@@ -104,6 +105,11 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damage(table(spark, sf_dir, "conversations")).drop("repaired")
+
+
 @query
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
