@@ -198,8 +198,10 @@ def damaged(talks: DataFrame) -> DataFrame:
     rows = talks.select(conv.alias("conv_id"), turn.alias("turn"), blank(talks["role"]).alias("role"), blank(talks["text"]).alias("text"), kind.alias("kind")).where("kind <> 0")
     text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
     role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
-    copies = F.sequence(F.lit(0), F.when(F.col("kind") == 3, 1).otherwise(0))
-    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+    # equal rows are counted and dealt out again, each as a copy with a number of its own
+    times = F.count(F.lit(1)) * F.when(F.col("kind") == 3, 2).otherwise(1)
+    counted = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), "kind").groupBy("conv_id", "turn", "role", "text", "kind").agg(times.cast("int").alias("times"))
+    return counted.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
 
 
 def row_order() -> list[Column]:
@@ -211,7 +213,6 @@ def with_faults(rows: DataFrame) -> DataFrame:
     """Add `fault` (blank, duplicate, truncated or null): a row's first one."""
     said = F.unhex(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256))
     rows = rows.withColumn("said", said)
-    # only the first of the equal rows of a conversation is none too many; rows that tie in the whole order are alike
     here = F.struct(F.col("turn").isNotNull().alias("has_turn"), "turn", "copy")
     first = rows.groupBy("conv_id", "said").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("_conv"), F.col("said").alias("_said"), "first")
     marked = rows.join(first, rows["conv_id"].eqNullSafe(first["_conv"]) & (rows["said"] == first["_said"]), "left")

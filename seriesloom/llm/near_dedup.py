@@ -16,7 +16,6 @@ Full sets are made, from the texts, only for classes whose signature agrees with
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, slices, stored
-from .components import components
+from .components import star_links
 from .lattice import texts_of
-from .shingles import shingle_set
+from .shingles import named_set
 
 COORDINATES = 64
 AGREE = 36
 #: Heads that a class is checked against in the first step.
 HEADS = 2
 #: Most bits (as a power of two) of the filter that finds the texts whose sets are made again.
-FILTER_BITS = 30
+FILTER_BITS = 28
 #: Bytes of full sets in a block of one posting list.
 BLOCK_BYTES = 4 << 20
 #: Pairs of signatures compared at a time.
@@ -54,10 +53,6 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def set_key(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-
-
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
@@ -69,10 +64,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingle_set(t.lower(), width) for t in texts_of(part, "text")]
+                sets = [named_set(t.lower(), width) for t in texts_of(part, "text")]
                 yield [
-                    part.column("doc_id"), np.arange(uid, uid + len(sets)), [len(s) for s in sets],
-                    [set_key(s) if len(s) else None for s in sets], [signature(s) if len(s) else None for s in sets],
+                    part.column("doc_id"), np.arange(uid, uid + len(sets)), [len(s) for s, _ in sets],
+                    [key for _, key in sets], [signature(s) if len(s) else None for s, _ in sets],
                 ]
                 uid += len(sets)
 
@@ -121,8 +116,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int
             spots = [batch.column(k).to_numpy(zero_copy_only=False) % (len(bits) << 5) for k in (0, 1)]
             hit = np.logical_and.reduce([(bits[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1 for s in spots])
             for part in slices(batch.filter(pa.array(hit)), "text"):
-                sets = [shingle_set(t.lower(), width) for t in texts_of(part, "text")]
-                yield [[set_key(s) for s in sets], [s.tobytes() for s in sets]]
+                sets = [named_set(t.lower(), width) for t in texts_of(part, "text")]
+                yield [[key for _, key in sets], [s.tobytes() for s, _ in sets]]
 
     spots = [F.pmod(F.xxhash64(id_of, F.lit(k)), F.lit(1 << FILTER_BITS)).alias(f"spot{k}") for k in (1, 2)]
     rows = docs.where("text IS NOT NULL").select(*spots, F.col("text").cast("string").cast("binary").alias("text"))
@@ -184,6 +179,7 @@ class Block:
         masks = rows["prefix"].to_numpy().view(np.uint64)
         self.prefix = masks[:, None] >> np.arange(COORDINATES, dtype=np.uint64) & np.uint64(1) == 1
         self.n, self.side, self.uid = (rows[c].to_numpy() for c in ("n_shingles", "side", "uid"))
+        self.root = rows["root"].to_numpy()
         self.two = len(rows) > 0 and self.side.min() != self.side.max()
         self.at = int(rows["token"].iloc[0] >> 32)
 
@@ -215,7 +211,7 @@ class Block:
                 a, b = roots.find(i), roots.find(int(k))
                 if a != b:
                     roots.up[max(a, b)] = min(a, b)
-                    out.append((int(self.uid[i]), int(self.uid[k])))
+                    out.append((int(self.root[i]), int(self.root[k])))
             now = roots.all()
         return out
 
@@ -257,8 +253,13 @@ def open_members(posts: DataFrame, roots: DataFrame, classes: DataFrame, percent
     prefix = posts.groupBy("uid").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("prefix"))
     members = labelled.join(spans, "token").select("token", "uid", "root").join(classes.select("uid", "n_shingles"), "uid")
     # blocks of bounded size along the order of set sizes; sizes too far apart cannot be linked, so far blocks never meet
-    size = F.sum(F.col("n_shingles") * 8 + 512).over(Window.partitionBy("token").orderBy("n_shingles", "uid"))
-    blocks = members.withColumn("block", F.floor(size / BLOCK_BYTES).cast("int"))
+    size = F.col("n_shingles") * 8 + 512
+    sizes = members.groupBy("token", "n_shingles").agg(F.sum(size).alias("bytes"))  # a list's sizes, not its members, are put in order
+    before = Window.partitionBy("token").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("token", "n_shingles", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / BLOCK_BYTES).alias("from"), F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
+    # members of one size that fill several blocks are dealt out to them
+    place = F.col("from") + F.pmod(F.xxhash64("uid"), F.col("parts"))
+    blocks = members.join(sizes, ["token", "n_shingles"]).select("token", "uid", "root", "n_shingles", place.cast("int").alias("block"))
     spread = blocks.groupBy("token", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     first = spread.select("token", F.col("block").alias("one"), F.col("most").alias("reach"))
     meet = first.join(spread, "token").where((F.col("block") >= F.col("one")) & (F.col("least") * percent <= F.col("reach") * 100))
@@ -284,7 +285,7 @@ def open_members(posts: DataFrame, roots: DataFrame, classes: DataFrame, percent
 
 
 def residual_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components that still meet in a posting list, confirmed on the full sets of its open members."""
+    """Links between the components that still meet in a posting list, confirmed on the full sets of its open members; as their roots."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(Block(rows).links(percent), columns=["a", "b"], dtype="int64")
@@ -311,14 +312,17 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     near = stored(best_heads(pairs, classes), "near")
     sets = stored(full_sets(docs, classes, near.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), width), "sets")
     first = stored(confirm_pairs(near, sets, percent), "links")
-    roots = stored(components(first).select(F.col("node").alias("uid"), "root"), "roots")
+    roots = star_links(first).withColumnRenamed("node", "uid")
     listed = posts.join(heads, "token", "left_semi").select("token", "uid")
     open_ = stored(open_members(listed, roots, classes, percent), "open")
-    lacking = open_.select("uid").distinct().join(sets, "uid", "left_anti")
-    more_sets = stored(full_sets(docs, classes, lacking, width), "sets")
-    more = stored(residual_links(open_, sets.union(more_sets), percent), "links")
-    final = components(first.union(more)).select(F.col("node").alias("uid"), "root")
-    named = classes.join(final, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    named = classes.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    if not open_.isEmpty():
+        lacking = open_.select("uid").distinct().join(sets, "uid", "left_anti")
+        more_sets = stored(full_sets(docs, classes, lacking, width), "sets")
+        more = residual_links(open_, sets.union(more_sets), percent)
+        # links of the second step join components of the first
+        merged = star_links(more).select(F.col("node").alias("root"), F.col("root").alias("final"))
+        named = named.join(merged, "root", "left").withColumn("root", F.coalesce("final", "root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     members = named.join(least, "root").select("set_key", "component_id")
     grouped = rows.join(members, "set_key", "left")

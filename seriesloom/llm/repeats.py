@@ -26,7 +26,7 @@ from .shingles import Joined, chained, mix
 
 WINDOW = 20
 SEED = 4
-#: Most bits (as a power of two) of the filter of the seeds that are extended; seeds let through in error go in the next join.
+#: Most bits (as a power of two) of the filters of what is extended; what they let through in error ends alone in its group.
 FILTER_BITS = 26
 ROW = ("doc_id", "part")
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -78,32 +78,57 @@ def order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "place")
 
 
-def seed_filter(chosen: DataFrame) -> np.ndarray:
-    """A filter of seed hashes, of a size that follows their number up to 2**`FILTER_BITS` bits."""
-    bits = 1 << min(FILTER_BITS, max(16, int(chosen.count()).bit_length() + 4))
-    spot = F.shiftrightunsigned(F.col("seed"), 64 - bits.bit_length() + 1)
-    words = chosen.groupBy(F.shiftright(spot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {65 - bits.bit_length()}) & 31 as int))")).alias("bits"))
+def spots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where keys lie in a filter of a power of two of bits."""
+    return keys >> np.uint64(64 - bits.bit_length() + 1)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a filter, held in words of 32 bits, lets through."""
+    at = spots(keys, len(bits) << 5)
+    return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & 1 == 1
+
+
+def occurrence_keys(seed: np.ndarray, part: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(seed ^ mix(part + place.astype(np.uint64) * _TURN))
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A filter of the hashes in column `key`, of a size that follows their number up to 2**`FILTER_BITS` bits."""
+    bits = 1 << min(FILTER_BITS, max(16, int(keys.count()).bit_length() + 4))
+    spot = F.shiftrightunsigned(F.col("key"), 64 - bits.bit_length() + 1)
+    words = keys.select(spot.alias("spot")).groupBy(F.shiftright("spot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits"))
     out = np.zeros(bits >> 5, np.uint32)
     for batch in words.toArrow().to_batches():
         out[batch.column("word").to_numpy(zero_copy_only=False)] = batch.column("bits").to_numpy(zero_copy_only=False).astype(np.uint32)
     return out
 
 
-def contexts(rows: DataFrame, filter_: Broadcast, window: int, width: int) -> DataFrame:
-    """As `anchors`, for the seeds that pass the filter, with the word hashes before and after the seed, nearest first."""
+def first_keys(spans: DataFrame, seed_bits: Broadcast) -> DataFrame:
+    """Hashes of the first occurrences of the spans whose seed passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            seed, part, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "part", "place"))
+            hit = passes(seed_bits.value, seed.view(np.uint64))
+            yield [occurrence_keys(seed.view(np.uint64), part.view(np.uint64), place)[hit].view(np.int64)]
+
+    return in_arrow(spans.select("seed", "first.part", "first.place"), run, "key long", [pa.int64()])
+
+
+def contexts(rows: DataFrame, chosen: Broadcast, window: int, width: int) -> DataFrame:
+    """As `anchors`, for the occurrences that pass the filter, with the word hashes before and after the seed, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        bits = filter_.value
-        shift = np.uint64(64 - (len(bits) << 5).bit_length() + 1)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Joined(texts_of(part, "text"))
-                found = seeds(words, window, width)
-                spot = found[0] >> shift
-                hit = (bits[spot >> np.uint64(5)] >> (spot & np.uint64(31)).astype(np.uint32)) & 1 == 1
-                seed, place, start, end = (x[hit] for x in found)
-                of = pa.array(words.owner[start])
+                seed, place, start, end = seeds(words, window, width)
                 first = np.r_[0, np.cumsum(words.counts)][words.owner[start]]
+                own = part.column("part").to_numpy().view(np.uint64)[words.owner[start]]
+                hit = passes(chosen.value, occurrence_keys(seed, own, place - first))
+                seed, place, start, end, first = (x[hit] for x in (seed, place, start, end, first))
+                of = pa.array(words.owner[start])
                 h = words.hashes
                 yield [
                     seed.view(np.int64), part.column("doc_id").take(of), part.column("part").take(of), (place - first).astype(np.int32), (place - start).astype(np.int8),
@@ -129,6 +154,7 @@ def extend(open_: DataFrame, window: int, width: int) -> DataFrame:
     Rows with a span (start, end) are windows found to be repeats; rows with a group are windows to go on with.
     """
     first = open_.groupBy("group_id").agg(F.min_by(F.struct("doc_id", "part", "place", "before", "after"), order()).alias("ref"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first, "firsts")  # a plain join, in which a group with many members can be split
     same = F.col("doc_id").eqNullSafe(F.col("ref.doc_id")) & (F.col("part") == F.col("ref.part")) & (F.col("place") == F.col("ref.place"))
     pairs = open_.join(first, "group_id").where(~same).select(
         "group_id", "doc_id", "part", "place", "back", "ahead", "before", "after", F.col("ref.before").alias("ref_before"), F.col("ref.after").alias("ref_after")
@@ -170,14 +196,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = SEED) -
     rows = with_row(docs)
     found = stored(anchors(rows, window, width).dropDuplicates([*ROW, "place"]) if has_doubles(rows) else anchors(rows, window, width), "anchors")
     spans = found.groupBy("seed", "span").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
-    firsts = stored(spans.where("n > 1").select("seed", "span", "first"), "firsts")
-    later = found.join(firsts, ["seed", "span"]).where(order() != F.col("first"))
+    spans = stored(spans, "spans")
+    later = found.join(spans.where("n > 1").select("seed", "span", "first"), ["seed", "span"]).where(order() != F.col("first"))
     out = [later.select(*ROW, (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))]
-    edges = found.groupBy("seed").agg(F.min("span").alias("low"), F.max("span").alias("high")).where("low < high")
-    chosen = stored(edges.select("seed"), "seeds")
-    filter_ = docs.sparkSession.sparkContext.broadcast(seed_filter(chosen))
+    context = docs.sparkSession.sparkContext
+    several = spans.groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("spans")).where("spans > 1")
+    seed_bits = context.broadcast(key_filter(stored(several.select("key"), "seeds")))
+    given = contexts(rows, context.broadcast(key_filter(stored(first_keys(spans, seed_bits), "keys"))), window, width)
     one = F.struct("doc_id", "part", "place", "back", "ahead", "before", "after")
-    given = contexts(rows, filter_, window, width).join(chosen.withColumnRenamed("seed", "group_id"), "group_id", "left_semi")
     # of occurrences with equal spans only the first is extended
     given = given.groupBy("group_id", F.md5(F.concat("before", F.lit("|").cast("binary"), "after")).alias("span"), "back").agg(F.min_by(one, order()).alias("x"))
     open_ = stored(given.select("group_id", "x.*"), "open")

@@ -29,7 +29,7 @@ def word_spans(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, n
     return raw, edges[0::2], edges[1::2]
 
 
-def word_hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, between: np.ndarray = _SPACE, salt: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word, in order.
 
     Every eight bytes are scrambled into the state before the next ones follow, so that no arithmetic relation between words carries
@@ -37,7 +37,7 @@ def word_hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray,
     """
     raw, starts, ends = word_spans(data, between)
     lengths = ends - starts
-    state = mix(lengths.astype(np.uint64) * _STEP + np.uint64(1))
+    state = mix(lengths.astype(np.uint64) * _STEP + np.uint64(salt))
     if not len(starts):
         return state, starts, ends
     eights = np.ndarray(len(raw), "<u8", data + bytes(8), strides=(1,))  # the eight bytes from every place on
@@ -51,7 +51,7 @@ def word_hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray,
         at += 8
         todo = todo[left > 8]
     for i in np.flatnonzero(lengths > 8 * _BLOCKS).tolist():
-        state[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        state[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([salt])).digest(), "little")
     return state, starts, ends
 
 
@@ -86,3 +86,14 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     if not len(words):
         return words
     return np.unique(chained(words, 0, min(width, len(words))))
+
+
+def named_set(data: bytes, width: int) -> tuple[np.ndarray, bytes | None]:
+    """A text's shingle set, and a name of the set from two independent hashes of each shingle, 128 bits together."""
+    words = word_hashes(data)[0]
+    if not len(words):
+        return words, None
+    width = min(width, len(words))
+    hashes, first = np.unique(chained(words, 0, width), return_index=True)
+    others = chained(word_hashes(data, salt=2)[0], 0, width)[first]
+    return hashes, hashlib.blake2b(hashes.tobytes() + others.tobytes(), digest_size=16).digest()
