@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,18 +62,9 @@ def step_by_year(ds: Column, steps: dict[int, float], default: float) -> Column:
     return out
 
 
-@F.udtf(returnType="step int, ds date")
-class MonthEnds:
-    """SQL table function: the `n` month ends after a date."""
-
-    def eval(self, start: datetime.date, n: int):
-        if start is None:
-            return
-        first = start.year * 12 + start.month
-        for step in range(1, n + 1):
-            y, m = divmod(first + step, 12)
-            yield step, datetime.date(y, m + 1, 1) - datetime.timedelta(days=1)
-
-
 def register_month_ends(spark: SparkSession) -> None:
-    spark.udtf.register("month_ends", MonthEnds)
+    """SQL table function `month_ends(start, n)`: the `n` month ends after a date, no rows for a null."""
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION month_ends(start DATE, n INT) RETURNS TABLE (step INT, ds DATE)
+        RETURN SELECT i, last_day(add_months(start, i)) FROM explode(sequence(1, n)) AS t(i) WHERE start IS NOT NULL"""
+    )

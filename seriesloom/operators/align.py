@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_ends_after, month_ends_between
+from ..session import ensure_checkpoint_dir
 from ..spec import DEFAULT, PanelSpec
 from .clean import fill_both
 
@@ -46,29 +47,42 @@ def annual_to_monthly(months: DataFrame, annual: DataFrame, default: float, name
     )
 
 
+#: Rows of one (key, month) that are filled in one piece.
+PIECE_ROWS = 1_000_000
+
+
 def asof_backward(
-    left: DataFrame, right: DataFrame, on: str, value: str, by: Sequence[str] = (), default: float | None = None
+    left: DataFrame, right: DataFrame, on: str, value: str, by: Sequence[str] = (), default: float | None = None, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """For every left row the latest right value at or before it, per `by` key.
 
-    Rows are cut into calendar months and each (key, month) is filled on its own; what a month
-    inherits comes from the month-level last values, which are one row per (key, month). A hot
-    key is therefore spread over as many tasks as it has months.
+    Rows are cut into calendar months, and a (key, month) with more than `piece_rows` rows further into ranges of `on` between
+    approximate percentiles. Each piece is filled on its own; what it inherits comes from the last values of the pieces before it,
+    which are one row per piece. A hot key, or a hot month of it, is therefore spread over many tasks; rows of one
+    moment stay together.
     """
     keys = list(by)
     l = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast("double")})
     r = right.select(*keys, on, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_side"))
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_m", F.trunc(on, "month"))
-    order = [F.col(on), F.col("_side")]
-    within = Window.partitionBy(*keys, "_m").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ensure_checkpoint_dir(left.sparkSession)
+    grain = [F.col(k) for k in (*keys, "_m")]
+    percents = [i / 256 for i in range(1, 256)]
+    # kept, since the cuts are read by both branches below; a row for each hot (key, month)
+    cuts = both.groupBy(*grain).agg(F.count("*").alias("_n"), F.percentile_approx(on, percents, 2560).alias("_cuts")).where(F.col("_n") > piece_rows).checkpoint()
+    both = both.join(cuts.drop("_n"), [*keys, "_m"], "left") if not cuts.isEmpty() else both.withColumn("_cuts", F.lit(None))
+    hot = F.size(F.filter("_cuts", lambda c: c <= F.col(on))) if dict(both.dtypes)["_cuts"] != "void" else F.lit(0)
+    both = both.withColumn("_p", F.when(F.col("_cuts").isNotNull(), hot).otherwise(0)).drop("_cuts")
+    piece = [*keys, "_m", "_p"]
+    within = Window.partitionBy(*piece).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("_v").isNotNull(), F.col(on))
-    months = both.groupBy(*keys, "_m").agg(F.max_by("_v", known).alias("_close"))
-    before = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    carry = months.select(*keys, "_m", F.last("_close", ignorenulls=True).over(before).alias("_carry"))
+    closes = both.groupBy(*piece).agg(F.max_by("_v", known).alias("_close"))
+    before = Window.partitionBy(*keys).orderBy("_m", "_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = closes.select(*piece, F.last("_close", ignorenulls=True).over(before).alias("_carry"))
     filled = both.withColumn("_in", F.last("_v", ignorenulls=True).over(within)).filter("_side = 1")
     got = F.coalesce("_in", "_carry") if default is None else F.coalesce("_in", "_carry", F.lit(float(default)))
     return (
-        filled.join(carry, [*keys, "_m"], "left")
+        filled.join(carry, piece, "left")
         .withColumn(value, got)
         .select(*left.columns, value)
     )

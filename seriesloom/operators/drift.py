@@ -5,39 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import bucket_of
+from ..session import ensure_checkpoint_dir
 
 
-def ks_statistic(long: DataFrame, k: int = 8) -> DataFrame:
-    """Largest gap of the two empirical distributions per feature.
+#: Distinct values of one range of the running sum.
+RANGE_VALUES = 250_000
 
-    `long` is (feature, sample, value) with sample 0 or 1. A first pass takes k*k quantile bounds
-    and the sample sizes per feature (mergeable, one small row per feature). The second pass
-    collapses equal values inside the map tasks and runs the cumulative difference of the two
-    distributions inside each (feature, bucket) on its own. A bucket hands on only its total, its
-    highest and its lowest point, from which the exact maximum over all values follows.
+
+def ks_statistic(long: DataFrame, k: int = 8, range_values: int = RANGE_VALUES) -> DataFrame:
+    """Largest gap of the two empirical distributions per feature, by a running sum in two levels.
+
+    `long` is (feature, sample, value) with sample 0 or 1. Equal values collapse inside the map tasks; the distinct ones are dealt
+    out to ranges of (feature, value) of even size, at least `k` and more as their number grows. Each range sums up its own
+    counts; what lies before a range comes from the ranges' totals, one small row per feature and range.
     """
-    v = F.col("value")
-    rows = long.filter(v.isNotNull())
-    probs = [i / (k * k) for i in range(1, k * k)]
-    edges = rows.groupBy("feature").agg(
-        F.percentile_approx("value", probs, 500).alias("edges"),
-        F.count_if(F.col("sample") == 0).alias("n0"), F.count_if(F.col("sample") == 1).alias("n1"),
-    )
-    # one row per feature, i.e. per column of a table
-    placed = rows.join(F.broadcast(edges), "feature").withColumn("b", bucket_of(v, F.col("edges"), k))
-    step = (F.count_if(F.col("sample") == 0) / F.col("n0")) - (F.count_if(F.col("sample") == 1) / F.col("n1"))
-    steps = placed.groupBy("feature", "b", "value", "n0", "n1").agg(step.alias("d"))
-    run = Window.partitionBy("feature", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        steps.withColumn("_run", F.sum("d").over(run))
-        .groupBy("feature", "b", "n0", "n1")
-        .agg(F.sum("d").alias("total"), F.max("_run").alias("top"), F.min("_run").alias("low"))
+    ensure_checkpoint_dir(long.sparkSession)
+    rows = long.filter(F.col("value").isNotNull())
+    counts = rows.groupBy("feature", "value").agg(F.count_if(F.col("sample") == 0).alias("c0"), F.count_if(F.col("sample") == 1).alias("c1")).checkpoint()
+    ranges = max(k, counts.count() // range_values + 1)
+    ranged = counts.repartitionByRange(ranges, "feature", "value").withColumn("piece", F.spark_partition_id()).checkpoint()
+    totals = ranged.groupBy("feature", "piece").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
+    whole = Window.partitionBy("feature")
+    before = whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "feature", "piece", *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"o{i}") for i in (0, 1)], *[F.sum(f"t{i}").over(whole).alias(f"n{i}") for i in (0, 1)]
     )
-    before = Window.partitionBy("feature").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("total").over(before), F.lit(0.0))
-    gap = F.greatest(F.abs(start + F.col("top")), F.abs(start + F.col("low")))
-    return buckets.withColumn("_gap", gap).groupBy("feature", "n0", "n1").agg(F.max("_gap").alias("stat"))
+    run = Window.partitionBy("feature", "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.select("feature", "piece", *[F.sum(f"c{i}").over(run).alias(f"r{i}") for i in (0, 1)])
+    share = lambda i: F.try_divide(F.col(f"o{i}") + F.col(f"r{i}"), F.col(f"n{i}"))
+    # a row for each range: small
+    gaps = summed.join(F.broadcast(offsets), ["feature", "piece"]).withColumn("gap", F.abs(share(0) - share(1)))
+    return gaps.groupBy("feature", "n0", "n1").agg(F.max("gap").alias("stat"))
 
 
 def ks_p_value(stat: Column, n0: Column, n1: Column, terms: int = 100) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..spec import DEFAULT, PanelSpec
 from .quantiles import exact_quantiles
 
 #: Rows each tree is grown on (all rows of a smaller table).
@@ -122,3 +124,82 @@ def anomaly_forest(df: DataFrame, features: Sequence[str], key: str, contaminati
     scored = score(df, nodes, features, key, min(SAMPLE, n)).checkpoint()
     cut = exact_quantiles(scored, [], "score", {"cut": 1 - contamination}).scalar()
     return scored.withColumn("is_forest", F.col("score") > cut)
+
+
+# ---- one forest per series ----
+
+#: Trees grown in one group.
+CHUNK = 25
+
+
+def _draw(*parts) -> float:
+    """A number in [0, 1) that depends on nothing but its arguments."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / float(1 << 32)
+
+
+def tree_depths(x: np.ndarray, sample: np.ndarray, name: str, tree: int, seed: int) -> np.ndarray:
+    """Path length of every row in one tree grown on the sampled rows; all nodes of a level are split together."""
+    node, depth, open_ = np.ones(len(x), np.int64), np.zeros(len(x)), np.ones(len(x), bool)
+    limit = int(np.ceil(np.log2(max(int(sample.sum()), 2))))
+    for level in range(limit + 1):
+        rows = np.flatnonzero(open_)
+        if not len(rows):
+            break
+        names, at = np.unique(node[rows], return_inverse=True)
+        low, high, size = np.full((len(names), x.shape[1]), np.inf), np.full((len(names), x.shape[1]), -np.inf), np.zeros(len(names))
+        mine = sample[rows]
+        np.minimum.at(low, at[mine], x[rows[mine]])
+        np.maximum.at(high, at[mine], x[rows[mine]])
+        np.add.at(size, at[mine], 1)
+        usable = high > low
+        splits = usable.any(1) & (size > 1) & (level < limit)
+        feature, cut = np.zeros(len(names), np.int64), np.zeros(len(names))
+        for i in np.flatnonzero(splits).tolist():
+            choice = np.flatnonzero(usable[i])
+            f = feature[i] = choice[int(_draw(seed, name, tree, names[i], "feature") * len(choice))]
+            cut[i] = low[i, f] + _draw(seed, name, tree, names[i], "cut") * (high[i, f] - low[i, f])
+        ends = rows[~splits[at]]
+        depth[ends] = level + _average_depth(size)[at[~splits[at]]]
+        open_[ends] = False
+        on, k = rows[splits[at]], at[splits[at]]
+        node[on] = 2 * node[on] + (x[on, feature[k]] > cut[k])
+    return depth
+
+
+def series_forest(
+    df: DataFrame, features: Sequence[str], contamination: float = 0.1, trees: int = 100, seed: int = 42, spec: PanelSpec = DEFAULT
+) -> DataFrame:
+    """`df` with `forest_score` and `is_forest`: the `contamination` share of each series' rows that is easiest to isolate.
+
+    Trees are grown in groups of (series, 25 trees), each on all rows of a series or, above 256, on the 256 that a hash draws for it.
+    All draws are hashes of (seed, series, tree, node), so a forest is the same in every run and order of rows. Scores are
+    rounded to nine digits, so that ties do not hang on the order of adding up. Missing features count as 0; series below ten
+    rows have score 0 and no flag.
+    """
+    cols, keys = list(features), list(spec.keys)
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    chunks = F.sequence(F.lit(0), F.lit((trees - 1) // CHUNK))
+    rows = df.select(*keys, spec.ds, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(cols)], name.alias("_name"))
+    rows = rows.withColumn("_chunk", F.explode(chunks))
+    kinds = dict(df.dtypes)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([spec.ds, *[f"_f{i}" for i in range(len(cols))]])
+        x, label, chunk = pdf[[f"_f{i}" for i in range(len(cols))]].to_numpy(float), pdf["_name"].iloc[0], int(pdf["_chunk"].iloc[0])
+        total = np.zeros(len(x))
+        for tree in range(chunk * CHUNK, min(trees, (chunk + 1) * CHUNK)):
+            sample = np.ones(len(x), bool)
+            if len(x) > SAMPLE:
+                drawn = np.argsort([_draw(seed, label, tree, i, "row") for i in range(len(x))], kind="stable")[:SAMPLE]
+                sample = np.isin(np.arange(len(x)), drawn)
+            total += tree_depths(x, sample, label, tree, seed)
+        return pd.DataFrame({**{k: pdf[k] for k in keys}, spec.ds: pdf[spec.ds], "_depth": total, "_n": float(min(len(x), SAMPLE))})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, spec.ds)) + ", _depth double, _n double"
+    grown = rows.groupBy(*keys, "_chunk").applyInPandas(grow, schema)
+    depths = grown.groupBy(*keys, spec.ds).agg((F.sum("_depth") / trees).alias("_d"), F.first("_n").alias("_n"))
+    norm = F.when(F.col("_n") > 2, 2 * (F.ln(F.col("_n") - 1) + 0.5772156649015329) - 2 * (F.col("_n") - 1) / F.col("_n")).otherwise(1.0)
+    scored = depths.select(*keys, spec.ds, F.when(F.col("_n") >= 10, F.round(F.pow(F.lit(2.0), -F.col("_d") / norm), 9)).otherwise(0.0).alias("forest_score"))
+    cut = F.percentile("forest_score", 1 - contamination).over(spec.whole())
+    flagged = scored.withColumn("is_forest", (F.col("forest_score") > cut) & (F.col("forest_score") > 0))
+    return df.join(flagged, [*keys, spec.ds])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import score_severity, sigma_severity
+from ..functions.text import thousands_text
 from ..spec import DEFAULT, PanelSpec
 from .quantiles import exact_quantiles
 
@@ -185,18 +186,32 @@ def vote(df: DataFrame, flags: Sequence[str], needed: int = 2, count_ensemble: b
     return out.withColumn("score", score).withColumn("severity", score_severity(F.col("score")))
 
 
+def decimals(value: Column, digits: int) -> Column:
+    """A number that is not negative as text with a fixed number of decimals, halves up."""
+    scaled = F.floor(value * 10**digits + 0.5).cast("bigint")
+    whole, rest = F.floor(scaled / 10**digits).cast("bigint"), F.pmod(scaled, F.lit(10**digits))
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+
+
 def explain(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Distance from the series mean in sigmas and percent, direction and severity for every row."""
+    """Distance from the series mean in sigmas and percent, direction, severity and a sentence for every row."""
     w = spec.whole()
     d = df.withColumns({"_m": F.avg(spec.y).over(w), "_s": F.stddev_samp(spec.y).over(w)})
     off = F.abs(spec.value - F.col("_m"))
-    return d.withColumns(
+    d = d.withColumns(
         {
             "sigmas": F.when(F.col("_s") > 0, off / F.col("_s")).otherwise(0.0),
             "pct_off": F.when(F.col("_m") != 0, F.abs((spec.value - F.col("_m")) / F.col("_m") * 100)).otherwise(0.0),
             "direction": F.when(spec.value > F.col("_m"), "above").otherwise("below"),
         }
-    ).withColumn("severity", sigma_severity(F.col("sigmas"))).drop("_m", "_s")
+    ).withColumn("severity", sigma_severity(F.col("sigmas")))
+    whole = lambda c: thousands_text(F.floor(c + 0.5))
+    text = F.concat(
+        decimals(F.col("sigmas"), 2), F.lit(" standard deviations "), F.col("direction"), F.lit(" average: value "), whole(spec.value), F.lit(", average "),
+        whole(F.col("_m")), F.lit(", off by "), decimals(F.col("pct_off"), 1), F.lit("%, severity "), F.col("severity"),
+        F.lit("; a data entry error, a special event, a seasonal effect or a change of policy may be behind it"),
+    )
+    return d.withColumn("explanation", text).drop("_m", "_s")
 
 
 def review_advice(count: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import growth_band
@@ -93,34 +93,45 @@ def top_share(df: DataFrame, n: int, by: str = "series", col: str = "y") -> Data
     return totals(df, [by], col).orderBy(F.col("total").desc(), by).limit(n)
 
 
-def pivot_series(df: DataFrame, names: Sequence[str], spec: PanelSpec = DEFAULT, agg: str = "sum") -> DataFrame:
-    """Periods by series; the names are given, so no extra job looks for them."""
-    g = df.groupBy(spec.ds).pivot(spec.keys[0], list(names))
-    return g.agg(F.sum(spec.y)) if agg == "sum" else g.agg(F.avg(spec.y))
+def pivot_cells(df: DataFrame, row: Column, column: Column, value: Column) -> DataFrame:
+    """A pivot with a fixed schema: (row, cells), cells mapping every column name found in the data to its value or null.
 
+    The names come from the data, one array for the table; rows and cells are aggregated first, so a map is built from one entry
+    for each cell that is filled.
+    """
+    filled = df.groupBy(row.alias("row"), column.alias("_c")).agg(value.alias("_v")).where(F.col("_c").isNotNull())
+    names = filled.agg(F.array_sort(F.collect_set("_c"))).scalar()
+    cells = filled.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_v"))).alias("_m")).withColumn("_names", names)
+    every = F.map_from_arrays("_names", F.transform("_names", lambda n: F.try_element_at("_m", n)))
+    return cells.select("row", every.alias("cells"))
+
+
+def long_cells(pivot: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """The cells of a pivot as rows, the empty ones too; further columns stay."""
+    rest = [c for c in pivot.columns if c not in ("row", "cells")]
+    return pivot.select(F.col("row").alias(row), F.explode("cells").alias(column, value), *rest)
 
-def season_pivot(df: DataFrame, years: Sequence[int], spec: PanelSpec = DEFAULT, agg: str = "sum") -> DataFrame:
-    base = df.select(
-        F.month(spec.ds).cast("bigint").alias("month"), F.concat(F.lit("y"), F.year(spec.ds).cast("string")).alias("yr"), spec.y
-    )
-    g = base.groupBy("month").pivot("yr", [f"y{y}" for y in years])
-    return g.agg(F.sum(spec.y)) if agg == "sum" else g.agg(F.avg(spec.y))
 
+def pivot_series(df: DataFrame, spec: PanelSpec = DEFAULT, agg: str = "sum") -> DataFrame:
+    """Periods by series: (row, cells)."""
+    return pivot_cells(df, F.col(spec.ds), F.col(spec.keys[0]), F.sum(spec.y) if agg == "sum" else F.avg(spec.y))
 
-def correlation_matrix(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise correlation of columns as rows (a, b, corr).
 
-    `wide` has one row per period, so pairing its columns inside each row stays small; equal pairs
+def season_pivot(df: DataFrame, spec: PanelSpec = DEFAULT, agg: str = "sum") -> DataFrame:
+    """Calendar months by years: (row, cells)."""
+    return pivot_cells(df, F.month(spec.ds).cast("bigint"), F.year(spec.ds).cast("bigint"), F.sum(spec.y) if agg == "sum" else F.avg(spec.y))
+
+
+def correlation_matrix(pivot: DataFrame) -> DataFrame:
+    """Pairwise correlation of the columns of a pivot (row, cells) as rows (a, b, corr).
+
+    A pivot has one row per period, so pairing its cells inside each row stays small; equal pairs
     combine in the map tasks. For more than a few hundred columns use `pyspark.ml.stat.Correlation`.
     """
-    names = list(cols)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-            for i, a in enumerate(names) for b in names[i:]
-        ]
-    )
-    half = wide.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.corr("p.x", "p.y").alias("corr"))
+    entries = F.array_sort(F.transform(F.map_entries("cells"), lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].cast("double").alias("value"))))
+    pairs = F.flatten(F.transform(entries, lambda x, i: F.transform(F.slice(entries, i + 1, F.size(entries) - i), lambda y: F.struct(
+        x["key"].alias("a"), y["key"].alias("b"), x["value"].alias("x"), y["value"].alias("y")))))
+    half = pivot.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.corr("p.x", "p.y").alias("corr"))
     mirrored = half.filter(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
     return half.unionByName(mirrored)
 

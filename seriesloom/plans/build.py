@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import numeric as num
-from ..operators import align, clean, features
+from ..operators import align, clean, features, report
 from . import fixtures as fx
 from .registry import query, sql
 
@@ -163,7 +163,7 @@ def annual_lookup(spark, sf_dir):
     "asof_indicator",
     """WITH o AS (SELECT DISTINCT last_day(o_orderdate)::TIMESTAMP AS ts, o_orderpriority FROM orders),
 p AS (SELECT l_shipdate AS ts, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (CAST(100 AS DOUBLE) * count(*)) AS price
-      FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+      FROM lineitem GROUP BY 1)
 SELECT o.ts::DATE AS ds, o.o_orderpriority AS priority, coalesce(p.price, 4.0) AS price FROM o ASOF LEFT JOIN p ON o.ts >= p.ts""",
 )
 def asof_indicator(spark, sf_dir):
@@ -174,7 +174,6 @@ def asof_indicator(spark, sf_dir):
     )
     daily = (
         fx.table(spark, sf_dir, "lineitem")
-        .filter("l_returnflag = 'R'")
         .groupBy(F.col("l_shipdate").cast("date").alias("ds"))
         .agg((num.sum_minor(F.col("l_extendedprice")).cast("double") / (F.lit(100.0) * F.count("*"))).alias("price"))
     )
@@ -231,35 +230,32 @@ def bau_repeat(spark, sf_dir):
     return align.repeat_last(fx.indicators(spark, sf_dir), fx.HORIZON)
 
 
-_PIVOT_SQL = ", ".join(f"sum(y) FILTER (series = '{s}') AS {s.lower()}" for s in fx.SEGMENTS)
-
-
 @query(
     "pivot_with_indicators",
-    sql(fx.PANEL, fx.IND, f"pv AS (SELECT ds, {_PIVOT_SQL} FROM panel GROUP BY ds)", "SELECT pv.*, avg_discount, avg_tax, avg_qty, avg_price FROM pv JOIN ind USING (ds)"),
+    sql(fx.PANEL, fx.IND, """SELECT d.ds, s.series, c.total, avg_discount, avg_tax, avg_qty, avg_price FROM (SELECT DISTINCT ds FROM panel) d CROSS JOIN (SELECT DISTINCT series FROM panel) s
+JOIN ind ON ind.ds = d.ds LEFT JOIN (SELECT ds, series, sum(y) AS total FROM panel GROUP BY 1, 2) c ON c.ds = d.ds AND c.series = s.series"""),
 )
 def pivot_with_indicators(spark, sf_dir):
-    from ..operators.report import pivot_series
-
-    wide = pivot_series(fx.panel(spark, sf_dir), fx.SEGMENTS).withColumnsRenamed({s: s.lower() for s in fx.SEGMENTS})
-    return align.merge_indicators(wide, fx.indicators(spark, sf_dir), how="inner")
+    pivot = report.pivot_series(fx.panel(spark, sf_dir)).withColumnRenamed("row", "ds")
+    merged = align.merge_indicators(pivot, fx.indicators(spark, sf_dir), how="inner")
+    return report.long_cells(merged.withColumnRenamed("ds", "row"), "ds", "series", "total")
 
 
-_PRIO = "SELECT o_orderpriority, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 1e2 AS v FROM orders WHERE {} GROUP BY 1"
+_MONTH_SIDE = "SELECT CAST(last_day(o_orderdate) AS DATE) AS ds, o_orderpriority, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 1e2 AS v FROM orders WHERE {} GROUP BY 1, 2"
 
 
 @query(
     "ab_full_join",
-    f"""SELECT coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority, a.v AS side_a, b.v AS side_b, b.v - a.v AS delta, (b.v - a.v) / a.v * 100 AS delta_pct
-FROM ({_PRIO.format("o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'")}) a
-FULL JOIN ({_PRIO.format("o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'")}) b ON a.o_orderpriority = b.o_orderpriority""",
+    f"""SELECT coalesce(a.ds, b.ds) AS ds, coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority, a.v AS side_a, b.v AS side_b, b.v - a.v AS delta, (b.v - a.v) / a.v * 100 AS delta_pct
+FROM ({_MONTH_SIDE.format("o_orderstatus = 'P'")}) a
+FULL JOIN ({_MONTH_SIDE.format("o_orderstatus <> 'P'")}) b ON a.o_orderpriority = b.o_orderpriority AND a.ds = b.ds""",
 )
 def ab_full_join(spark, sf_dir):
+    """Pending orders against all others, by month and priority; a month may have either side only."""
     o = fx.table(spark, sf_dir, "orders")
-    side = lambda cond: o.filter(cond).groupBy("o_orderpriority").agg((num.sum_minor(F.col("o_totalprice")).cast("double") / 100.0).alias("v"))
-    a = side("o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'")
-    b = side("o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'")
-    return align.full_outer_delta(a, b, ["o_orderpriority"], "v", ("side_a", "side_b"))
+    grain = [cal.month_end(F.col("o_orderdate")).alias("ds"), "o_orderpriority"]
+    side = lambda cond: o.filter(cond).groupBy(*grain).agg((num.sum_minor(F.col("o_totalprice")).cast("double") / 100.0).alias("v"))
+    return align.full_outer_delta(side("o_orderstatus = 'P'"), side("o_orderstatus <> 'P'"), ["ds", "o_orderpriority"], "v", ("side_a", "side_b"))
 
 
 @query(

@@ -16,8 +16,6 @@ from ..functions.numeric import sum_minor
 from ..operators.clean import densify
 
 INDICATORS = ["avg_discount", "avg_tax", "avg_qty", "avg_price"]
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-YEARS = list(range(1995, 2002))
 HORIZON = 12
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..models import base, factor, linear, neighbours, pooled, seasonal_ar, smoothing
+from ..models import base, board, factor, linear, neighbours, pooled, seasonal_ar, smoothing
 from ..models.arrays import history_arrays
 from ..operators import align, explain, features, report, selection
+from ..session import ensure_checkpoint_dir
 from . import fixtures as fx
 from .build import ML, _SPLIT
 from .registry import query, sql
@@ -56,6 +57,66 @@ def recursive_sql(src: str, coef: str, n: str, horizon: int = H) -> str:
 {n} AS (SELECT series, CAST(h AS BIGINT) AS step, CAST(last_day(CAST(date_trunc('month', last) AS DATE) + to_months(h)) AS DATE) AS ds, v[3] AS yhat FROM {n}_r WHERE h > 0)"""
 
 
+def ridge_sql(src: str, n: str, alpha: float = 1.0) -> str:
+    """The same on scaled regressors with a penalty."""
+    return f"""{n}_c AS (SELECT series, count(*) AS n, avg(y) AS my, avg(lag_1) AS m1, avg(rolling_mean_3) AS m2, stddev_pop(lag_1) AS s1, stddev_pop(rolling_mean_3) AS s2,
+  covar_pop(lag_1, rolling_mean_3) AS c12, covar_pop(lag_1, y) AS c1, covar_pop(rolling_mean_3, y) AS c2 FROM {src} GROUP BY series),
+{n}_s AS (SELECT *, n + {alpha} AS d, n * c12 / (s1 * s2) AS o, n * c1 / s1 AS r1, n * c2 / s2 AS r2 FROM {n}_c),
+{n} AS (SELECT *, my - b1 * m1 - b2 * m2 AS a FROM (SELECT *, (r1 * d - r2 * o) / (d * d - o * o) / s1 AS b1, (r2 * d - r1 * o) / (d * d - o * o) / s2 AS b2 FROM {n}_s))"""
+
+
+def theta_sql(src: str, n: str, horizon: int = H) -> str:
+    """Seasonally adjusted series, half its drift plus simple smoothing, season again."""
+    return f"""{n}_t AS (SELECT *, (sum(y) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(y, 6) OVER w + lead(y, 6) OVER w) * 0.5) / 12 AS trend,
+  CAST(row_number() OVER w - 1 AS BIGINT) AS t, count(*) OVER (PARTITION BY series) AS n FROM {src} WINDOW w AS (PARTITION BY series ORDER BY ds)),
+{n}_s AS (SELECT series, phase, s / avg(s) OVER (PARTITION BY series) AS seasonal FROM (SELECT series, t % 12 AS phase, avg(y / nullif(trend, 0)) AS s FROM {n}_t WHERE n >= 24 GROUP BY 1, 2)),
+{n}_a AS (SELECT t.series, t.ds, t.t, t.n, t.y / seasonal AS a, seasonal FROM {n}_t t JOIN {n}_s s ON s.series = t.series AND s.phase = t.t % 12 WHERE n >= 24),
+{n}_l AS (SELECT series, list(a ORDER BY ds) AS ys, list(seasonal ORDER BY ds)[-12:] AS season, max(ds) AS last, max(n) AS n, regr_slope(a, t) AS slope FROM {n}_a GROUP BY series),
+{n}_r AS (SELECT series, al, 1 AS t, ys[1] AS l, 0.0::DOUBLE AS sse FROM {n}_l, (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS al)
+  UNION ALL SELECT r.series, al, r.t + 1, r.l + al * (i.ys[r.t + 1] - r.l), sse + (i.ys[r.t + 1] - r.l) * (i.ys[r.t + 1] - r.l) FROM {n}_r r JOIN {n}_l i ON i.series = r.series WHERE r.t < i.n),
+{n}_b AS (SELECT * FROM (SELECT r.series, al, r.l, i.slope, i.season, i.last, i.n, row_number() OVER (PARTITION BY r.series ORDER BY sse, al) AS rn FROM {n}_r r JOIN {n}_l i ON i.series = r.series AND i.n = r.t) WHERE rn = 1),
+{n} AS (SELECT series, CAST(h AS BIGINT) AS step, CAST(last_day(CAST(date_trunc('month', last) AS DATE) + to_months(CAST(h AS INTEGER))) AS DATE) AS ds,
+  (l + 0.5 * slope * (h - 1 + (1 - pow(1 - al, n)) / al)) * season[((h - 1) % 12) + 1] AS yhat FROM {n}_b, (SELECT unnest(generate_series(1, {horizon})) AS h))"""
+
+
+def _det(a, b, c) -> str:
+    """Determinant of a 3 x 3 matrix given by its columns."""
+    return f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]}) + {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
+
+
+def seasonal_ar_sql(src: str, n: str, horizon: int = H) -> str:
+    """Double differences on their lags 1, 12 and 13 by Cramer's rule, undone step by step."""
+    cols, rhs = (("v11", "v12", "v13"), ("v12", "v22", "v23"), ("v13", "v23", "v33")), ("p1", "p2", "p3")
+    solved = ", ".join(f"{_det(*[rhs if j == i else c for j, c in enumerate(cols)])} / {_det(*cols)} AS b{i + 1}" for i in range(3))
+    cov = ", ".join(f"covar_pop(x{i}, x{j}) AS v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    step = " + ".join(f"k.b{j} * (r.v[{27 - lag}] - r.v[{26 - lag}] - r.v[{15 - lag}] + r.v[{14 - lag}])" for j, lag in ((1, 1), (2, 12), (3, 13)))
+    return f"""{n}_w AS (SELECT series, ds, y - lag(y) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w AS w0 FROM {src} WINDOW w AS (PARTITION BY series ORDER BY ds)),
+{n}_x AS (SELECT *, lag(w0) OVER w AS x1, lag(w0, 12) OVER w AS x2, lag(w0, 13) OVER w AS x3 FROM {n}_w WINDOW w AS (PARTITION BY series ORDER BY ds)),
+{n}_c AS (SELECT series, avg(w0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, {cov}, covar_pop(x1, w0) AS p1, covar_pop(x2, w0) AS p2, covar_pop(x3, w0) AS p3
+  FROM {n}_x WHERE x3 IS NOT NULL AND x2 IS NOT NULL AND x1 IS NOT NULL AND w0 IS NOT NULL GROUP BY series HAVING count(*) > 4),
+{n}_k AS (SELECT *, m0 - b1 * m1 - b2 * m2 - b3 * m3 AS a FROM (SELECT *, {solved} FROM {n}_c)),
+{n}_t AS (SELECT series, list(y ORDER BY ds)[-26:] AS v, max(ds) AS last FROM {src} GROUP BY series HAVING count(*) >= 26),
+{n}_r AS (SELECT series, 0 AS h, v, last FROM {n}_t UNION ALL
+  SELECT r.series, h + 1, list_append(r.v[2:26], k.a + {step} + r.v[26] + r.v[15] - r.v[14]), last FROM {n}_r r JOIN {n}_k k ON k.series = r.series WHERE h < {horizon}),
+{n} AS (SELECT series, CAST(h AS BIGINT) AS step, CAST(last_day(CAST(date_trunc('month', last) AS DATE) + to_months(h)) AS DATE) AS ds, v[26] AS yhat FROM {n}_r WHERE h > 0)"""
+
+
+def nearest_sql(features_: str, src: str, n: str, horizon: int = H, k: int = 5) -> str:
+    """Recursive forecast by the mean of the rows with the nearest scaled lags."""
+    z = lambda x, i: f"({x} - m{i}) / coalesce(nullif(s{i}, 0), 1)"
+    away = " + ".join(f"(p.z{i} - {z(f'r.v[{4 - i}]', i)}) ** 2" for i in (1, 2, 3))
+    entry = "{'ds': f.ds, 'y': f.y, " + ", ".join(f"'z{i}': {z(f'lag_{i}', i)}" for i in (1, 2, 3)) + "}"
+    near = "{'d': sqrt(" + away + "), 'ds': p.ds, 'y': p.y}"
+    stats = ", ".join(f"avg(lag_{i}) AS m{i}, stddev_pop(lag_{i}) AS s{i}" for i in (1, 2, 3))
+    return f"""{n}_s AS (SELECT series, {stats} FROM {features_} GROUP BY series),
+{n}_p AS (SELECT f.series, list({entry}) AS ps FROM {features_} f JOIN {n}_s s ON s.series = f.series GROUP BY f.series),
+{n}_t AS (SELECT series, list(y ORDER BY ds)[-3:] AS v, max(ds) AS last FROM {src} GROUP BY series),
+{n}_r AS (SELECT series, 0 AS h, v, last FROM {n}_t UNION ALL
+  SELECT r.series, h + 1, list_append(r.v[2:3], list_avg(list_transform(list_sort(list_transform(p.ps, lambda p: {near}))[1:{k}], lambda q: q.y))), last
+  FROM {n}_r r JOIN {n}_p p ON p.series = r.series JOIN {n}_s s ON s.series = r.series WHERE h < {horizon}),
+{n} AS (SELECT series, CAST(h AS BIGINT) AS step, CAST(last_day(CAST(date_trunc('month', last) AS DATE) + to_months(h)) AS DATE) AS ds, v[3] AS yhat FROM {n}_r WHERE h > 0)"""
+
+
 AR_FEATURES = ["lag_1", "rolling_mean_3"]
 PD = (fx.PANEL, fx.DENSE)
 WD = (fx.WIDE, fx.WIDE_DENSE)
@@ -85,15 +146,15 @@ def fc_trend_factor(spark, sf_dir):
     return rounded(factor.trend_factor(fx.wide_dense(spark, sf_dir), H))
 
 
-@query("fc_theta")
+@query("fc_theta", sql(*WD, theta_sql("wdense", "th"), "SELECT series, step, ds, round(yhat, 1) AS yhat FROM th"))
 def fc_theta(spark, sf_dir):
-    return smoothing.theta(fx.wide_dense(spark, sf_dir), H)
+    return rounded(smoothing.theta(fx.wide_dense(spark, sf_dir), H), 1)
 
 
-@query("fc_seasonal_ar")
+@query("fc_seasonal_ar", sql(*WD, seasonal_ar_sql("wdense", "sa"), "SELECT series, step, ds, round(yhat, 1) AS yhat FROM sa"))
 def fc_seasonal_ar(spark, sf_dir):
     p = fx.wide_dense(spark, sf_dir)
-    return seasonal_ar.forecast(p, seasonal_ar.fit(p), H)
+    return rounded(seasonal_ar.forecast(p, seasonal_ar.fit(p), H), 1)
 
 
 def _future_levels(panel, ind, cols):
@@ -155,11 +216,26 @@ def fc_knn(spark, sf_dir):
     return out.select("series", "ds", "y", F.round("yhat", 4).alias("yhat"))
 
 
-@query("tune_knn")
+_TRIES = [(k, p, w) for p in (1, 2) for w in ("uniform", "distance") for k in (3, 5, 10)]
+_AWAY = {1: "abs(t.z0 - q.z0) + abs(t.z1 - q.z1) + abs(t.z2 - q.z2)", 2: "sqrt((t.z0 - q.z0) ** 2 + (t.z1 - q.z1) ** 2 + (t.z2 - q.z2) ** 2)"}
+
+
+@query(
+    "tune_knn",
+    sql(*WD, ML, f"sp AS (SELECT *, {_SPLIT} FROM ml)", f"zz AS (SELECT series, ds, y, part, {_Z} FROM sp WINDOW s AS (PARTITION BY series))",
+        "nb AS (" + " UNION ALL ".join(
+            f"SELECT q.series, q.ds, q.y, {p} AS p, t.y AS ty, {d} AS d, row_number() OVER (PARTITION BY q.series, q.ds ORDER BY {d}, t.ds) AS rn FROM zz q JOIN zz t ON t.series = q.series AND t.part = 'train' WHERE q.part = 'test'"
+            for p, d in _AWAY.items()) + ")",
+        "ts AS (" + " UNION ALL ".join(
+            f"SELECT series, {k} AS k, {p} AS p, '{w}' AS weights, y, sum(ty * {wt}) / sum({wt}) AS yhat FROM nb WHERE p = {p} AND rn <= {k} GROUP BY series, ds, y"
+            for k, p, w in _TRIES for wt in ["1" if w == "uniform" else "(1 / greatest(d, 1e-12::DOUBLE))"]) + ")",
+        "sc AS (SELECT series, k, p, weights, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM ts GROUP BY ALL)",
+        "SELECT series, k, p, weights, round(rmse, 2) AS rmse, row_number() OVER (PARTITION BY series ORDER BY sc.rmse, k, p, weights) AS rank FROM sc"),
+)
 def tune_knn(spark, sf_dir):
     lags = ["lag_1", "lag_2", "lag_3"]
     z = features.standardize(_split_features(spark, sf_dir), lags)
-    return neighbours.knn_search(z, [f"{c}_z" for c in lags], ks=(3, 5, 10))
+    return rounded(neighbours.knn_search(z, [f"{c}_z" for c in lags], ks=(3, 5, 10)), 2, "rmse")
 
 
 def _pooled(kind):
@@ -265,20 +341,76 @@ FUT = ",\n".join(
 )
 
 
+# ---- the board: seven families in one candidate table ----
+
+
+def _board(spark, sf_dir):
+    """The candidate table over a panel that is kept partitioned by series."""
+    ensure_checkpoint_dir(spark)
+    panel = fx.wide_dense(spark, sf_dir).checkpoint()
+    return board.candidates(panel, board.closed_form(FIXED), H, H).checkpoint()
+
+
+BOARD_HOLD = ",\n".join(
+    [
+        f"spw AS (SELECT *, {_SPLIT} FROM wdense)", "trn AS (SELECT series, ds, y FROM spw WHERE part = 'train')", "tst AS (SELECT series, ds, y FROM spw WHERE part = 'test')",
+        holt_sql("trn", "hwh", FIXED), factor_sql("trn", "tfh"), theta_sql("trn", "thh"), seasonal_ar_sql("trn", "sah"), ML, f"mls AS (SELECT *, {_SPLIT} FROM ml)",
+        "mlt AS (SELECT * FROM mls WHERE part = 'train')", coef_sql("mlt", "coh"), ridge_sql("mlt", "rih"), f"zz AS (SELECT series, ds, y, part, {_Z} FROM mls WINDOW s AS (PARTITION BY series))",
+        f"nbh AS (SELECT q.series, q.ds, t.y AS ty, row_number() OVER (PARTITION BY q.series, q.ds ORDER BY {_AWAY[2]}, t.ds) AS rn FROM zz q JOIN zz t ON t.series = q.series AND t.part = 'train' WHERE q.part = 'test')",
+        """ph AS (SELECT 'Holt-Winters' AS model, series, ds, yhat FROM hwh UNION ALL SELECT 'Trend-Factor', series, ds, yhat FROM tfh
+  UNION ALL SELECT 'Theta', series, ds, yhat FROM thh UNION ALL SELECT 'Seasonal-AR', series, ds, yhat FROM sah
+  UNION ALL SELECT 'Linear-AR', m.series, m.ds, a + b1 * lag_1 + b2 * rolling_mean_3 FROM mls m JOIN coh c ON c.series = m.series WHERE part = 'test'
+  UNION ALL SELECT 'Ridge-AR', m.series, m.ds, a + b1 * lag_1 + b2 * rolling_mean_3 FROM mls m JOIN rih c ON c.series = m.series WHERE part = 'test'
+  UNION ALL SELECT 'k-Nearest', series, ds, avg(ty) FROM nbh WHERE rn <= 5 GROUP BY series, ds),
+hp AS (SELECT tst.*, ph.model, ph.yhat FROM tst JOIN ph ON ph.series = tst.series AND ph.ds = tst.ds),
+er AS (SELECT series, model, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)) AS mape FROM hp GROUP BY 1, 2),
+lb AS (SELECT *, greatest(0, 100 - mape * 100) AS accuracy, row_number() OVER (PARTITION BY series ORDER BY rmse, model) AS rank FROM er)""",
+    ]
+)
+BOARD_FUT = ",\n".join(
+    [holt_sql("wdense", "hwf", FIXED), factor_sql("wdense", "tff"), theta_sql("wdense", "thf"), seasonal_ar_sql("wdense", "saf"), coef_sql("ml", "cof"), recursive_sql("wdense", "cof", "rcf"),
+     ridge_sql("ml", "rif"), recursive_sql("wdense", "rif", "rrf"), nearest_sql("ml", "wdense", "nnf"),
+     """pf AS (SELECT 'Holt-Winters' AS model, series, step, ds, yhat FROM hwf UNION ALL SELECT 'Linear-AR', series, step, ds, yhat FROM rcf UNION ALL SELECT 'Ridge-AR', series, step, ds, yhat FROM rrf
+  UNION ALL SELECT 'Trend-Factor', series, step, ds, yhat FROM tff UNION ALL SELECT 'Theta', series, step, ds, yhat FROM thf UNION ALL SELECT 'Seasonal-AR', series, step, ds, yhat FROM saf
+  UNION ALL SELECT 'k-Nearest', series, step, ds, yhat FROM nnf)"""]
+)
+
+
+@query("board_holdout", sql(*WD, BOARD_HOLD, "SELECT series, model, ds, y, round(yhat, 1) AS yhat FROM hp"))
+def board_holdout(spark, sf_dir):
+    return rounded(board.holdout_rows(_board(spark, sf_dir)), 1)
+
+
+@query("board_future", sql(*WD, ML, BOARD_FUT, "SELECT series, model, step, ds, round(yhat, 1) AS yhat FROM pf"))
+def board_future(spark, sf_dir):
+    return rounded(board.future_rows(_board(spark, sf_dir)), 1)
+
+
+@query(
+    "board_gate",
+    sql(*WD, "f AS (SELECT * FROM (VALUES ('Holt-Winters', 24), ('Linear-AR', 7), ('Ridge-AR', 7), ('Trend-Factor', 3), ('Theta', 24), ('Seasonal-AR', 31), ('k-Nearest', 10)) AS t(model, needs))",
+        "n AS (SELECT series, count(y) AS n FROM wide GROUP BY series)",
+        """SELECT series, n, model, CASE WHEN n < needs THEN n || ' rows, the model needs ' || needs WHEN n < needs + 12 THEN n || ' rows, ranking needs ' || (needs + 12) END AS reason FROM n, f"""),
+)
+def board_gate(spark, sf_dir):
+    """Which families can be fitted and ranked on the observed rows of each series, before gaps are filled."""
+    return board.gate(fx.wide(spark, sf_dir), board.closed_form(FIXED), H)
+
+
 @query("holdout_predictions", sql(*WD, HOLD, "SELECT series, ds, y, model, round(yhat, 1) AS yhat FROM hp"))
 def holdout_predictions_query(spark, sf_dir):
     return rounded(holdout_predictions(spark, sf_dir), 1)
 
 
-@query("leaderboard", sql(*WD, HOLD, "SELECT series, model, round(rmse, 1) AS rmse, round(mape, 6) AS mape, round(accuracy, 4) AS accuracy, rank FROM lb"))
+@query("leaderboard", sql(*WD, BOARD_HOLD, "SELECT series, model, round(rmse, 1) AS rmse, round(mape, 6) AS mape, round(accuracy, 4) AS accuracy, rank FROM lb"))
 def leaderboard(spark, sf_dir):
-    b = selection.leaderboard(holdout_predictions(spark, sf_dir))
+    b = selection.leaderboard(board.holdout_rows(_board(spark, sf_dir)))
     return b.withColumns({"rmse": F.round("rmse", 1), "mape": F.round("mape", 6), "accuracy": F.round("accuracy", 4)})
 
 
-@query("accuracy_summary", sql(*WD, HOLD, "SELECT round(avg(accuracy), 4) AS mean_accuracy, round(max(accuracy), 4) AS best_accuracy FROM lb WHERE rank = 1"))
+@query("accuracy_summary", sql(*WD, BOARD_HOLD, "SELECT round(avg(accuracy), 4) AS mean_accuracy, round(max(accuracy), 4) AS best_accuracy FROM lb WHERE rank = 1"))
 def accuracy_summary(spark, sf_dir):
-    s = selection.accuracy_summary(selection.leaderboard(holdout_predictions(spark, sf_dir)))
+    s = selection.accuracy_summary(selection.leaderboard(board.holdout_rows(_board(spark, sf_dir))))
     return rounded(s, 4, *s.columns)
 
 
@@ -330,21 +462,35 @@ _SINGLE = """sg AS (SELECT pf.series, pf.ds, pf.yhat, pf.model, NULL::VARCHAR AS
 _FLAT = "round(yhat, 1) AS yhat, round(yhat * 0.95, 1) AS lo, round(yhat * 1.05, 1) AS hi"
 
 
-@query("forecast_best", sql(*WD, HOLD, FUT, _SINGLE, f"SELECT series, ds, {_FLAT}, model, reason FROM sg"))
+BOARD_ENS = """full3 AS (SELECT series FROM lb WHERE rank <= 3 GROUP BY series HAVING count(*) = 3),
+jt AS (SELECT hp.series, hp.ds, any_value(hp.y) AS y, avg(hp.yhat) AS yhat FROM hp JOIN lb ON lb.series = hp.series AND lb.model = hp.model AND lb.rank <= 3 GROUP BY 1, 2),
+ee AS (SELECT f.series, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM jt JOIN full3 f ON f.series = jt.series GROUP BY 1),
+win AS (SELECT ee.series FROM ee JOIN lb ON lb.series = ee.series AND lb.rank = 1 WHERE ee.rmse < lb.rmse),
+tp AS (SELECT pf.* FROM pf JOIN lb ON lb.series = pf.series AND lb.model = pf.model AND lb.rank <= 3 WHERE pf.series IN (SELECT series FROM win))"""
+
+
+_R2 = "series, ds, round(yhat, 2) AS yhat, round(lo, 2) AS lo, round(hi, 2) AS hi, model"
+_CENTS = "round(yhat, 2) AS yhat, round(yhat * 0.95, 2) AS lo, round(yhat * 1.05, 2) AS hi"
+
+
+def _board_forecast(spark, sf_dir, strategy):
+    b = _board(spark, sf_dir)
+    out = selection.forecast_by_strategy(board.future_rows(b).drop("step"), board.holdout_rows(b), strategy)
+    return rounded(out, 2, "yhat", "lo", "hi")
+
+
+@query("forecast_best", sql(*WD, BOARD_HOLD, BOARD_FUT, _SINGLE, f"SELECT series, ds, {_CENTS}, model, reason FROM sg"))
 def forecast_best(spark, sf_dir):
-    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "best")
-    return rounded(out, 1, "yhat", "lo", "hi")
+    return _board_forecast(spark, sf_dir, "best")
 
 
 @query(
     "forecast_auto",
-    sql(*WD, HOLD, FUT, _SINGLE, ENS_ERR, "win AS (SELECT ee.series FROM ee JOIN lb ON lb.series = ee.series AND lb.rank = 1 WHERE ee.rmse < lb.rmse)",
-        f"en AS ({_ENS.format(src='(SELECT * FROM pf WHERE series IN (SELECT series FROM win))')})",
-        f"SELECT {_R1}, NULL::VARCHAR AS reason FROM en UNION ALL SELECT series, ds, {_FLAT}, model, reason FROM sg WHERE series NOT IN (SELECT series FROM win)"),
+    sql(*WD, BOARD_HOLD, BOARD_FUT, _SINGLE, BOARD_ENS, f"en AS ({_ENS.format(src='tp')})",
+        f"SELECT {_R2}, NULL::VARCHAR AS reason FROM en UNION ALL SELECT series, ds, {_CENTS}, model, reason FROM sg WHERE series NOT IN (SELECT series FROM win)"),
 )
 def forecast_auto(spark, sf_dir):
-    out = selection.forecast_by_strategy(future_predictions(spark, sf_dir), holdout_predictions(spark, sf_dir), "auto")
-    return rounded(out, 1, "yhat", "lo", "hi")
+    return _board_forecast(spark, sf_dir, "auto")
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, clean, drift, profile, quality
+from ..operators import align, clean, drift, forest, profile, quality
 from ..operators.quantiles import exact_quantiles
+from ..spec import DEFAULT
 from . import fixtures as fx
 from .registry import query, sql
 
@@ -225,23 +226,51 @@ def anomaly_iqr(spark, sf_dir):
     return quality.anomaly_iqr(fx.wide_dense(spark, sf_dir))
 
 
-_VOTE = """vt AS (SELECT *, CAST(is_z AS BIGINT) + CAST(is_iqr AS BIGINT) AS votes FROM fl),
-vs AS (SELECT series, ds, y, is_z, is_iqr, votes, votes >= 2 AS is_anomaly, (votes + CAST(votes >= 2 AS BIGINT)) / 3 AS score FROM vt)"""
+TREES = 20
+_U = "(('0x' || substr(md5('42:' || series || ':' || tree || ':' || node || ':{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_FOREST = f"""fp AS (SELECT series, ds, y AS f0, coalesce(lag(y) OVER (PARTITION BY series ORDER BY ds), 0) AS f1, CAST(month(ds) AS DOUBLE) AS f2, count(*) OVER (PARTITION BY series) AS n FROM wdense),
+ft AS (SELECT series, ds, f0, f1, f2, n, CAST(tree AS BIGINT) AS tree, CAST(1 AS BIGINT) AS node, 0 AS level FROM fp, (SELECT unnest(generate_series(0, {TREES - 1})) AS tree)
+  UNION ALL
+  SELECT series, ds, f0, f1, f2, n, tree, 2 * node + CAST([f0, f1, f2][pick] > [l0, l1, l2][pick] + {_U.format('cut')} * ([h0, h1, h2][pick] - [l0, l1, l2][pick]) AS BIGINT), level + 1
+  FROM (SELECT *, usable[CAST(floor({_U.format('feature')} * len(usable)) AS BIGINT) + 1] AS pick FROM (
+    SELECT *, list_filter([1, 2, 3], lambda i: [h0 > l0, h1 > l1, h2 > l2][i]) AS usable FROM (
+      SELECT *, count(*) OVER g AS c, min(f0) OVER g AS l0, max(f0) OVER g AS h0, min(f1) OVER g AS l1, max(f1) OVER g AS h1, min(f2) OVER g AS l2, max(f2) OVER g AS h2
+      FROM ft WINDOW g AS (PARTITION BY series, tree, node)) WHERE c > 1 AND level < ceil(log2(n))) WHERE len(usable) > 0)),
+fe AS (SELECT series, ds, n, level, count(*) OVER (PARTITION BY series, tree, level, node) AS c, row_number() OVER (PARTITION BY series, ds, tree ORDER BY level DESC) AS rn FROM ft),
+fo AS (SELECT series, ds, CASE WHEN any_value(n) >= 10 THEN round(pow(2, -(sum(level + CASE WHEN c > 2 THEN 2 * (ln(c - 1) + 0.5772156649015329::DOUBLE) - 2 * (c - 1) / c WHEN c = 2 THEN 1 ELSE 0 END) / {TREES})
+  / (2 * (ln(any_value(n) - 1) + 0.5772156649015329::DOUBLE) - 2 * (any_value(n) - 1) / any_value(n))), 9) ELSE 0 END AS forest_score FROM fe WHERE rn = 1 GROUP BY series, ds),
+fg AS (SELECT *, forest_score > 0 AND forest_score > quantile_cont(forest_score, 0.9) OVER (PARTITION BY series) AS is_forest FROM fo)"""
+
+
+def _forest_flags(df):
+    """Value, the value before and the calendar month as the features of a forest per series."""
+    shaped = df.withColumns({"lag_1": F.coalesce(F.lag("y").over(DEFAULT.ordered()), F.lit(0.0)), "month": F.month("ds")})
+    return forest.series_forest(shaped, ["y", "lag_1", "month"], 0.1, TREES).drop("lag_1", "month")
+
+
+@query("series_forest", sql(W, WD, _FOREST, "SELECT series, ds, forest_score, is_forest FROM fg"))
+def series_forest(spark, sf_dir):
+    return _forest_flags(fx.wide_dense(spark, sf_dir)).drop("y")
+
+
+_VOTE = """vt AS (SELECT fl.*, is_forest, CAST(is_z AS BIGINT) + CAST(is_iqr AS BIGINT) + CAST(is_forest AS BIGINT) AS votes FROM fl JOIN fg ON fg.series = fl.series AND fg.ds = fl.ds),
+vs AS (SELECT series, ds, y, is_z, is_iqr, is_forest, votes, votes >= 2 AS is_anomaly, (votes + CAST(votes >= 2 AS BIGINT)) / 4 AS score FROM vt)"""
 
 
 def _votes(spark, sf_dir):
+    """Three methods and their ensemble: the score is a share of four."""
     d = quality.anomaly_iqr(quality.anomaly_z(fx.wide_dense(spark, sf_dir), 2.0))
-    return quality.vote(d.drop("z"), ["is_z", "is_iqr"])
+    return quality.vote(_forest_flags(d.drop("z")).drop("forest_score"), ["is_z", "is_iqr", "is_forest"])
 
 
-@query("anomaly_vote", sql(W, WD, _STATS, _IQR, _VOTE, "SELECT *, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.5 THEN 'Medium' ELSE 'Low' END AS severity FROM vs"))
+@query("anomaly_vote", sql(W, WD, _STATS, _IQR, _FOREST, _VOTE, "SELECT *, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.5 THEN 'Medium' ELSE 'Low' END AS severity FROM vs"))
 def anomaly_vote(spark, sf_dir):
     return _votes(spark, sf_dir)
 
 
 @query(
     "anomaly_summary",
-    sql(W, WD, _STATS, _IQR, _VOTE, "SELECT series, ds, y, score, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.5 THEN 'Medium' ELSE 'Low' END AS severity FROM vs WHERE is_anomaly"),
+    sql(W, WD, _STATS, _IQR, _FOREST, _VOTE, "SELECT series, ds, y, score, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.5 THEN 'Medium' ELSE 'Low' END AS severity FROM vs WHERE is_anomaly"),
 )
 def anomaly_summary(spark, sf_dir):
     return _votes(spark, sf_dir).filter("is_anomaly").select("series", "ds", "y", "score", "severity")
@@ -249,7 +278,7 @@ def anomaly_summary(spark, sf_dir):
 
 @query(
     "review_advice",
-    sql(W, WD, _STATS, _IQR, _VOTE, "n AS (SELECT series, count(*) FILTER (is_anomaly) AS n_anomalies FROM vs GROUP BY series)",
+    sql(W, WD, _STATS, _IQR, _FOREST, _VOTE, "n AS (SELECT series, count(*) FILTER (is_anomaly) AS n_anomalies FROM vs GROUP BY series)",
         """SELECT series, n_anomalies, CASE WHEN n_anomalies = 0 THEN 'no anomalies, quality looks good' WHEN n_anomalies <= 3 THEN 'few anomalies, review them by hand; look for events in those periods'
 ELSE 'many anomalies, quality may be poor; verify the source; check entry errors; remove outliers or use robust models; look for external causes' END AS advice,
 CASE WHEN n_anomalies > 5 THEN 'HIGH: many outliers; check entry errors and real events; use robust models' WHEN n_anomalies > 0 THEN 'MEDIUM: few outliers; review flagged points' ELSE 'data quality looks good' END AS improvements FROM n"""),
@@ -264,10 +293,20 @@ def review_advice(spark, sf_dir):
     )
 
 
+def _decimals_sql(x: str, digits: int) -> str:
+    n = f"CAST(floor({x} * {10**digits} + 0.5::DOUBLE) AS BIGINT)"
+    return f"CAST({n} // {10**digits} AS VARCHAR) || '.' || lpad(CAST({n} % {10**digits} AS VARCHAR), {digits}, '0')"
+
+
+_WHOLE = "format('{{:,}}', CAST(floor({} + 0.5::DOUBLE) AS BIGINT))"
+
+
 @query(
     "anomaly_explain",
-    sql(W, WD, _STATS, """SELECT series, ds, y, round(CASE WHEN sd > 0 THEN abs(y - m) / sd ELSE 0 END, 6) AS sigmas, round(CASE WHEN m <> 0 THEN abs((y - m) / m * 100) ELSE 0 END, 6) AS pct_off,
-CASE WHEN y > m THEN 'above' ELSE 'below' END AS direction, CASE WHEN abs(y - m) / nullif(sd, 0) > 3 THEN 'High' WHEN abs(y - m) / nullif(sd, 0) > 2 THEN 'Medium' ELSE 'Low' END AS severity FROM stt"""),
+    sql(W, WD, _STATS, """ex AS (SELECT *, CASE WHEN sd > 0 THEN abs(y - m) / sd ELSE 0 END AS sg, CASE WHEN m <> 0 THEN abs((y - m) / m * 100) ELSE 0 END AS pc, CASE WHEN y > m THEN 'above' ELSE 'below' END AS direction,
+CASE WHEN abs(y - m) / nullif(sd, 0) > 3 THEN 'High' WHEN abs(y - m) / nullif(sd, 0) > 2 THEN 'Medium' ELSE 'Low' END AS severity FROM stt)""",
+        f"""SELECT series, ds, y, round(sg, 6) AS sigmas, round(pc, 6) AS pct_off, direction, severity, {_decimals_sql('sg', 2)} || ' standard deviations ' || direction || ' average: value ' || {_WHOLE.format('y')}
+|| ', average ' || {_WHOLE.format('m')} || ', off by ' || {_decimals_sql('pc', 1)} || '%, severity ' || severity || '; a data entry error, a special event, a seasonal effect or a change of policy may be behind it' AS explanation FROM ex"""),
 )
 def anomaly_explain(spark, sf_dir):
     return quality.explain(fx.wide_dense(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("sigmas", "pct_off")})

@@ -96,46 +96,49 @@ def total_selector(spark, sf_dir):
     return report.total_or_series(fx.panel(spark, sf_dir))
 
 
-_Y = ", ".join(f"{{agg}}(y) FILTER (year(ds) = {y}) AS y{y}" for y in fx.YEARS)
-
-
-@query("season_pivot", sql(P, f"SELECT CAST(month(ds) AS BIGINT) AS month, {_Y.format(agg='sum')} FROM panel GROUP BY 1"))
+@query(
+    "season_pivot",
+    sql(P, """SELECT m.month, y.year, c.total FROM (SELECT CAST(unnest(generate_series(1, 12)) AS BIGINT) AS month) m, (SELECT DISTINCT year(ds) AS year FROM panel) y
+LEFT JOIN (SELECT month(ds) AS month, year(ds) AS year, sum(y) AS total FROM panel GROUP BY 1, 2) c ON c.month = m.month AND c.year = y.year"""),
+)
 def season_pivot(spark, sf_dir):
-    return align.month_axis(report.season_pivot(fx.panel(spark, sf_dir), fx.YEARS))
+    """All months by all years found in the data, empty cells included."""
+    pivot = align.month_axis(report.season_pivot(fx.panel(spark, sf_dir)), "row")
+    return report.long_cells(pivot, "month", "year", "total")
 
 
-_S = ", ".join(f"{{agg}}(y) FILTER (series = '{s}') AS {s.lower()}" for s in fx.SEGMENTS)
-_LOWER = {s: s.lower() for s in fx.SEGMENTS}
+_CELLS = """SELECT d.ds, s.series, c.total{more} FROM (SELECT DISTINCT ds FROM panel) d CROSS JOIN (SELECT DISTINCT series FROM panel) s
+LEFT JOIN (SELECT ds, series, {agg}(y) AS total FROM panel GROUP BY 1, 2) c ON c.ds = d.ds AND c.series = s.series"""
 
 
-@query("series_pivot", sql(P, f"SELECT ds, {_S.format(agg='sum')} FROM panel GROUP BY ds"))
+@query("series_pivot", sql(P, _CELLS.format(agg="sum", more="")))
 def series_pivot(spark, sf_dir):
-    return report.pivot_series(fx.panel(spark, sf_dir), fx.SEGMENTS).withColumnsRenamed(_LOWER)
+    return report.long_cells(report.pivot_series(fx.panel(spark, sf_dir)), "ds", "series", "total")
 
 
-@query("series_pivot_mean", sql(P, f"SELECT ds, {_S.format(agg='avg')} FROM panel GROUP BY ds"))
+@query("series_pivot_mean", sql(P, _CELLS.format(agg="avg", more="")))
 def series_pivot_mean(spark, sf_dir):
-    return report.pivot_series(fx.panel(spark, sf_dir), fx.SEGMENTS, agg="avg").withColumnsRenamed(_LOWER)
+    return report.long_cells(report.pivot_series(fx.panel(spark, sf_dir), agg="avg"), "ds", "series", "total")
 
 
 _CORR = "SELECT x.name AS a, z.name AS b, round(corr(x.v, z.v), 6) AS corr FROM {0} x JOIN {0} z ON x.ds = z.ds GROUP BY 1, 2"
 
 
-@query("corr_matrix", sql(P, "lp AS (SELECT ds, lower(series) AS name, y AS v FROM panel)", _CORR.format("lp")))
+@query("corr_matrix", sql(P, "lp AS (SELECT ds, series AS name, y AS v FROM panel)", _CORR.format("lp")))
 def corr_matrix(spark, sf_dir):
-    wide = report.pivot_series(fx.panel(spark, sf_dir), fx.SEGMENTS).withColumnsRenamed(_LOWER)
-    return report.correlation_matrix(wide, list(_LOWER.values())).withColumn("corr", F.round("corr", 6))
+    return report.correlation_matrix(report.pivot_series(fx.panel(spark, sf_dir))).withColumn("corr", F.round("corr", 6))
 
 
 @query(
     "corr_indicators",
-    sql(P, fx.IND, fx.IND_LONG, "lg AS (SELECT ds, lower(series) AS name, y AS v FROM panel UNION ALL SELECT ds, indicator, value FROM indl)",
-        "d AS (SELECT lg.* FROM lg WHERE ds IN (SELECT ds FROM panel))", _CORR.format("d")),
+    sql(P, fx.IND, fx.IND_LONG, "lg AS (SELECT ds, series AS name, y AS v FROM panel UNION ALL SELECT ds, indicator, value FROM indl)",
+        "d AS (SELECT lg.* FROM lg WHERE ds IN (SELECT ds FROM panel) AND ds IN (SELECT ds FROM ind))", _CORR.format("d")),
 )
 def corr_indicators(spark, sf_dir):
-    wide = report.pivot_series(fx.panel(spark, sf_dir), fx.SEGMENTS).withColumnsRenamed(_LOWER)
-    both = align.merge_indicators(wide, fx.indicators(spark, sf_dir), how="inner")
-    return report.correlation_matrix(both, [*_LOWER.values(), *fx.INDICATORS]).withColumn("corr", F.round("corr", 6))
+    pivot = report.pivot_series(fx.panel(spark, sf_dir))
+    both = align.merge_indicators(pivot.withColumnRenamed("row", "ds"), fx.indicators(spark, sf_dir), how="inner")
+    named = F.create_map(*[x for c in fx.INDICATORS for x in (F.lit(c), F.col(c))])
+    return report.correlation_matrix(both.select(F.map_concat("cells", named).alias("cells"))).withColumn("corr", F.round("corr", 6))
 
 
 @query(

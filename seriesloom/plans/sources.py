@@ -176,12 +176,18 @@ def snapshot_roundtrip(spark, sf_dir):
     return store.restore_snapshot(spark, f"{root}/history", sid, f"{root}/active")
 
 
-@query("snapshot_list", sql("SELECT * FROM (VALUES ('20240102_000000_doubled'), ('20240101_000000_first_load')) AS t(snapshot_id)"))
+@query(
+    "snapshot_list",
+    sql(fx.PANEL, fx.IND, """SELECT '20240102_000000_indicators' AS snapshot_id, 'indicators' AS description, (SELECT count(*) FROM ind) AS rows
+UNION ALL SELECT '20240101_000000_first_load', 'first load', (SELECT count(*) FROM panel) UNION ALL SELECT '20240103_000000_nothing', 'nothing', 0"""),
+)
 def snapshot_list(spark, sf_dir):
+    """Three tables of different shape saved under one root, the last without rows, and listed."""
     root, p = shared_dir(spark, "snapshots"), fx.panel(spark, sf_dir)
     store.save_snapshot(p, root, "20240101_000000", "first load")
-    store.save_snapshot(p.withColumn("y", F.col("y") * 2), root, "20240102_000000", "doubled")
-    return store.list_snapshots(spark, root)
+    store.save_snapshot(fx.indicators(spark, sf_dir), root, "20240102_000000", "indicators")
+    store.save_snapshot(p.limit(0), root, "20240103_000000", "nothing")
+    return store.list_snapshots(spark, root).select("snapshot_id", "description", "rows")
 
 
 @query("export_roundtrip", sql(fx.PANEL, "SELECT series, count(*) AS n, sum(y) AS total FROM panel GROUP BY series"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 
 def export_csv(df: DataFrame, root: str, stamp: str, name: str = "forecast") -> str:
@@ -28,25 +31,41 @@ def export_parts(root: str, forecast: DataFrame, parts: Mapping[str, DataFrame],
     return [f"{root}/forecast", *[f"{root}/{name}" for name in parts]]
 
 
+MANIFEST = "snapshot_id string, description string, rows long, schema string, saved_at timestamp"
+
+
 def save_snapshot(df: DataFrame, root: str, stamp: str, description: str = "auto") -> str:
-    """Write an immutable copy under `snapshot_id=stamp_description`."""
+    """Write an immutable copy under `data/snapshot_id=stamp_description`, then add its line to the manifest.
+
+    A snapshot is there once its line is: a write that failed half way is not listed and can be repeated.
+    """
+    spark = df.sparkSession
     snapshot_id = f"{stamp}_{re.sub(r'[^A-Za-z0-9]+', '_', description).strip('_')}"
-    df.write.mode("errorifexists").parquet(f"{root}/snapshot_id={snapshot_id}")
+    if not list_snapshots(spark, root).where(F.col("snapshot_id") == snapshot_id).isEmpty():
+        raise ValueError(f"snapshot {snapshot_id} exists")
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{root}/data/snapshot_id={snapshot_id}")
+    line = spark.sql("SELECT :id AS snapshot_id, :text AS description, :rows AS rows, :schema AS schema, current_timestamp() AS saved_at",
+                     args={"id": snapshot_id, "text": description, "rows": int(seen.get["rows"]), "schema": df.schema.json()})
+    line.select("snapshot_id", "description", F.col("rows").cast("long"), "schema", "saved_at").write.mode("append").parquet(f"{root}/manifest")
     return snapshot_id
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Snapshot ids, newest first; ids come from the folder names, no data is read."""
-    return spark.read.parquet(root).select("snapshot_id").distinct().orderBy(F.col("snapshot_id").desc())
+    """The manifest (snapshot_id, description, rows, schema, saved_at), newest first; no rows where nothing was saved yet."""
+    try:
+        lines = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    except AnalysisException:
+        lines = spark.createDataFrame([], MANIFEST)
+    return lines.orderBy(F.col("snapshot_id").desc())
 
 
 def load_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
-    """One snapshot, by partition pruning; ValueError if there is none."""
-    ids = spark.read.parquet(root)
-    df = ids.filter(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
-    if not df.take(1):
+    """One snapshot with the schema it was saved with, also if it has no rows; ValueError if there is none."""
+    line = list_snapshots(spark, root).where(F.col("snapshot_id") == snapshot_id).first()
+    if line is None:
         raise ValueError(f"no snapshot {snapshot_id}")
-    return df
+    return spark.read.schema(T.StructType.fromJson(json.loads(line["schema"]))).parquet(f"{root}/data/snapshot_id={snapshot_id}")
 
 
 def restore_snapshot(spark: SparkSession, root: str, snapshot_id: str, active: str) -> DataFrame:
