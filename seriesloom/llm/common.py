@@ -13,11 +13,21 @@ from ..session import shared_dir
 BATCH_BYTES = 4 << 20
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at a time while a table is written: whole texts or sets stay within a few megabytes.
+MOST_ROWS = 2048
+
+
+def stored(df: DataFrame, purpose: str, rows: int = MOST_ROWS) -> DataFrame:
     """`df`, written to the cluster's shared folder and read back: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
+    before = int(spark.conf.get(BATCH_ROWS))
+    spark.conf.set(BATCH_ROWS, str(min(rows, before) if before > 0 else rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, str(before))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

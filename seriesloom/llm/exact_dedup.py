@@ -70,14 +70,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without copies, all columns as they are; the rules of `exact_groups` hold.
+    """The rows of `docs` without copies, all columns as they are, whatever their names; the rules of `exact_groups` hold.
 
     Only rows that may stay travel: a heavy group's losers go before the shuffle.
     """
-    named = docs.withColumn("_digest", digest(docs["text"]))
-    digests = stored(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_digest").alias("digest")), "digests")
-    heavy = stored(heavy_digests(digests), "heavy").select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    marked = named.join(F.broadcast(heavy), "_digest", "left")
-    stays = ~F.coalesce(F.col("doc_id") < F.col("_keep"), F.col("_keep").isNotNull())
-    first = F.row_number().over(Window.partitionBy("_digest").orderBy(F.desc_nulls_last("doc_id")))
-    return marked.where(stays).withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(docs["text"]).alias("digest"), F.struct("*").alias("row"))
+    heavy = stored(heavy_digests(stored(named.select("doc_id", "digest"), "digests")), "heavy").select("digest", "keep_id")
+    marked = named.join(F.broadcast(heavy), "digest", "left")
+    stays = ~F.coalesce(F.col("doc_id") < F.col("keep_id"), F.col("keep_id").isNotNull())
+    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc_nulls_last("doc_id")))
+    return marked.where(stays).withColumn("place", first).where("place = 1").select("row.*")

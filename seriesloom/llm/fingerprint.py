@@ -95,7 +95,7 @@ def fingerprint_edits(docs: DataFrame, fraction: float = FRACTION, width: int =
     The next document is the one with the next smaller id (after the smallest: the largest). The edited text has the
     last third of the code points replaced by as many from the start of the next document. A null text counts as
     empty; rows without an id come last; rows with the same id follow each other by text; a table of one row follows
-    itself; an empty table gives no rows. Other columns are not read.
+    itself; an empty table gives no rows. Texts of any length are read whole; other columns are not read.
     """
 
     def measured(this: tuple, after: tuple) -> tuple:

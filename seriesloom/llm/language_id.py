@@ -78,7 +78,7 @@ def identify(docs: DataFrame, path: str, held_out_of: int = 3, held_out: int = 1
 
     Learnt from rows with text and language that are not held out; only the text of a row decides its own prediction. A
     null text, or one without a letter, is "und" with score 0, and so is every row if there is nothing to learn from.
-    Repeated rows get equal predictions.
+    Repeated rows get equal predictions, texts of any length are read whole, an empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_held_out")]
     docs = docs.select(*names)
@@ -89,7 +89,7 @@ def identify(docs: DataFrame, path: str, held_out_of: int = 3, held_out: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shared.value
-        scores = state["scores"] = state.get("scores") or WordScores(state["pieces"], state["logs"])
+        scores = state["scores"] = state.get("scores") or WordScores(state["pieces"], state["logs"], fold=True)
         for batch in batches:
             for part in slices(batch, "text"):
                 n = part.num_rows

@@ -197,8 +197,9 @@ class WordScores:
 
     MOST = 300_000
 
-    def __init__(self, pieces: list[str], logs: np.ndarray) -> None:
-        self.lattice, self.logs, self.kept = Lattice(pieces), logs, {}
+    def __init__(self, pieces: list[str], logs: np.ndarray, fold: bool = False) -> None:
+        """With `fold`, words are lower-cased by Unicode's rules first."""
+        self.lattice, self.logs, self.kept, self.fold = Lattice(pieces), logs, {}, fold
 
     def of(self, words: Words) -> np.ndarray:
         out = np.zeros((len(words.hashes), self.logs.shape[1]))
@@ -208,7 +209,8 @@ class WordScores:
         if old:
             out[old] = np.array([self.kept[keys[i]] for i in old]).reshape(len(old), -1)
         if new:
-            out[new] = self.lattice.forward([words.word(i).decode("utf-8", "replace").lower() for i in new], self.logs)
+            named = [words.word(i).decode("utf-8", "replace") for i in new]
+            out[new] = self.lattice.forward([w.lower() for w in named] if self.fold else named, self.logs)
             for i in new[: max(0, self.MOST - len(self.kept))]:
                 self.kept[keys[i]] = tuple(out[i].tolist())
         return out

@@ -51,7 +51,7 @@ def fit_pieces(counts: DataFrame, ends: int, pieces: list[str], logs: np.ndarray
             lattice = state["lattice"] = state.get("lattice") or Lattice(state["pieces"])
             total = np.zeros(lattice.size)
             for batch in batches:
-                words = [w.decode("utf-8", "replace").lower() for w in batch.column("word").to_pylist()]
+                words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
                 total += lattice.expected(words, np.array(batch.column("n").to_pylist(), float), logs)
             used = np.flatnonzero(total)
             yield [used, total[used]]

@@ -20,6 +20,11 @@ LEAF = ("domain", "tree_lang", "tree_source")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def leaf_name(c: Column) -> Column:
+    """A level's name in the tree: nulls are a name of their own, which no real name can be."""
+    return F.coalesce(F.regexp_replace(c.cast("string"), r"^(\\*\(none\))", r"\\$1"), F.lit(NONE))
+
+
 def weight_of(key: Column, weights: Mapping[str, float]) -> Column:
     """The weight named for a key, 1 for every other key."""
     out = F.lit(1.0)
@@ -80,7 +85,7 @@ def mix_copies(
     text = F.coalesce(docs["text"], F.lit(""))
     named = [domain, docs["lang"], docs["source"]]
     slim = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for c, n in zip(named, LEAF, strict=True)],
+        docs["doc_id"].cast("long").alias("doc_id"), *[leaf_name(c).alias(n) for c, n in zip(named, LEAF, strict=True)],
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), F.crc32(text.cast("binary")).alias("check"),
     )
     slim = stored(slim, "mix-docs")
@@ -107,9 +112,18 @@ def mix_copies(
 
 
 def mix(docs: DataFrame, domain: Column, **how) -> DataFrame:
-    """The mixed table: the rows of `docs`, each as many times as `mix_copies` says."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    taken = mix_copies(docs, domain, **how).where("copies > 0").groupBy("doc_id", "check").agg(F.max("copies").alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("check", "_check")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.crc32(text.cast("binary")) == F.col("_check"))
-    return docs.join(taken, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mixed table: the rows of `docs`, each as many times as `mix_copies` says, all columns as they are, whatever their names.
+
+    Rows of one id and text checksum that differ in their leaf get their own leaf's copies.
+    """
+    keys = ["id", "sum", *LEAF]
+    taken = mix_copies(docs, domain, **how).where("copies > 0").groupBy("doc_id", "check", "domain", "lang", "source").agg(F.max("copies").alias("copies"))
+    taken = taken.toDF(*keys, "copies")
+    named = [domain, docs["lang"], docs["source"]]
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("id"), F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("sum"),
+        *[leaf_name(c).alias(n) for c, n in zip(named, LEAF, strict=True)], F.struct("*").alias("row"),
+    )
+    same = [rows[k].eqNullSafe(taken[k]) for k in keys]
+    joined = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn"))
+    return joined.select("row.*")

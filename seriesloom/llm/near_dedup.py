@@ -38,6 +38,8 @@ HEADS = 2
 FILTER_BITS = 28
 #: Bytes of full sets in a block of one posting list.
 BLOCK_BYTES = 4 << 20
+#: Rows with full sets that go to a Python worker at a time.
+SET_ROWS = 512
 #: Pairs of signatures compared at a time.
 PAIRS = 1 << 15
 _RANDOM = np.random.default_rng(64)
@@ -310,15 +312,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     heads = posts.groupBy("token").agg(F.max(F.struct("weight", "uid")).alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head.uid")
     pairs = posts.select("token", F.col("uid").alias("a")).join(heads.withColumnRenamed("uid", "b"), "token").where("a <> b").select("a", "b").distinct()
     near = stored(best_heads(pairs, classes), "near")
-    sets = stored(full_sets(docs, classes, near.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), width), "sets")
-    first = stored(confirm_pairs(near, sets, percent), "links")
+    sets = stored(full_sets(docs, classes, near.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), width), "sets", SET_ROWS)
+    first = stored(confirm_pairs(near, sets, percent), "links", SET_ROWS)
     roots = star_links(first).withColumnRenamed("node", "uid")
     listed = posts.join(heads, "token", "left_semi").select("token", "uid")
     open_ = stored(open_members(listed, roots, classes, percent), "open")
     named = classes.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     if not open_.isEmpty():
         lacking = open_.select("uid").distinct().join(sets, "uid", "left_anti")
-        more_sets = stored(full_sets(docs, classes, lacking, width), "sets")
+        more_sets = stored(full_sets(docs, classes, lacking, width), "sets", SET_ROWS)
         more = residual_links(open_, sets.union(more_sets), percent)
         # links of the second step join components of the first
         merged = star_links(more).select(F.col("node").alias("root"), F.col("root").alias("final"))
@@ -331,6 +333,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that `near_groups` keeps, all columns as they are."""
-    gone = near_groups(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """The rows of `docs` that `near_groups` keeps, all columns as they are, whatever their names; rows of one id go or stay together."""
+    gone = near_groups(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    return rows.join(gone, rows["id"].eqNullSafe(gone["gone"]), "left_anti").select("row.*")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,33 +36,74 @@ LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20])\(?[0-9]{3}\)?[\x20.-]
 SSN = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.? \p{Lu}\p{Ll}{1,20}+(?: \p{Lu}\p{Ll}{1,20}+)?"
 
-#: Gazetteers and cue words of the labelers.
-TOP_DOMAINS = "com org net edu gov mil int info biz io dev de fr es uk it nl pl ch at be eu us ca"
-GIVEN_NAMES = "james john robert michael william david mary patricia linda barbara anna maria hans peter thomas jean pierre marie carlos jose juan carmen"
+#: (kind, pattern, a sign that every match contains) of the base spans and of the looser ones.
+STRICT = (("email", EMAIL, "@"), ("ip", IP, r"[0-9]\.[0-9]"), ("card", CARD, r"(?:[0-9][\x20-]?){13}[0-9]"), ("phone", PHONE, r"\+[0-9]"))
+LOOSE = (
+    ("email", SPELT_EMAIL, r"[(\[]at[)\]]"), ("phone", LOCAL_PHONE, r"[0-9]{3}[\x20.-][0-9]{4}"), ("ssn", SSN, r"[0-9]-[0-9]{2}-[0-9]"),
+    ("name", NAME, r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.? "),
+)
+
+#: Gazetteers and cue words of the labelers; besides the names of domains, every name of two letters counts as a country's.
+TOP_DOMAINS = "com org net edu gov mil int info biz name pro mobi app dev io ai cloud online shop site store tech xyz agency email jobs museum travel [a-z]{2}"
+GIVEN_NAMES = (
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret betty sandra ashley dorothy kimberly emily donna michelle carol amanda melissa laura "
+    "hans peter klaus jürgen wolfgang dieter manfred uwe stefan andreas matthias markus florian anna maria ursula monika petra sabine renate helga karin brigitte ingrid claudia "
+    "jean pierre michel andré philippe rené louis alain jacques bernard nicolas julien marie jeanne françoise monique catherine nathalie isabelle jacqueline sylvie camille "
+    "antonio josé manuel francisco juan javier carlos miguel rafael pedro jesús luis carmen josefa isabel dolores pilar teresa ana cristina lucía rosa mercedes"
+)
 CUES = "mail email e-mail contact call phone tel telephone fax mobile cell reach ip host server address card visa mastercard payment ssn social security name signed kontakt telefon correo"
 AGAINST = "version build release isbn order part serial invoice section chapter page figure table password key token"
 BEFORE = 28
 ABSTAIN = -1
 
 
-def spans_of(text: Column, pattern: str, kind: str, loose: bool) -> Column:
-    """Array of (kind, start, end, loose, match, before): a match starts where the texts between matches and the earlier matches end."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"))
+#: Items of an array that are walked before their states are set aside, so that a long array costs little more than a short one.
+WALK = 256
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """The state after each item of an array, from `step(state, item)`."""
+    none = F.array().cast(f"array<{kind}>")
+    last = lambda a: F.get(a, F.size(a) - 1)
+
+    def walk(done: Column, block: Column) -> Column:
+        before = F.coalesce(last(last(done)), start)
+        part = F.slice(items, block * WALK + 1, F.lit(WALK))
+        return F.array_append(done, F.aggregate(part, none, lambda out, x: F.array_append(out, step(F.coalesce(last(out), before), x))))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / WALK).cast("int"))
+    walked = F.flatten(F.aggregate(blocks, F.array().cast(f"array<array<{kind}>>"), walk))
+    return F.when(F.size(items) > 0, walked).otherwise(none)
+
+
+def spans_of(found: Column, gaps: Column, kind: str, loose: bool) -> Column:
+    """Array of (kind, start, end, loose, match, before) from the matches and the texts between them."""
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, match: F.struct(F.char_length(gap).alias("gap"), F.char_length(match).alias("match")))
+    ends = running(lengths, F.lit(0), lambda at, x: at + x["gap"] + x["match"])
+    placed = F.transform(F.arrays_zip(found.alias("match"), ends.alias("end"), F.slice(gaps, 1, F.size(found)).alias("gap")), lambda x: F.struct(
+        F.lit(KINDS.index(kind)).alias("kind"), (x["end"] - F.char_length(x["match"])).alias("start"), x["end"].alias("end"), F.lit(loose).alias("loose"),
+        x["match"].alias("match"), F.right(x["gap"], F.lit(BEFORE)).alias("before"),
+    ))
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,loose:boolean,match:string,before:string>>")
+    return F.when(F.size(found) > 0, placed).otherwise(empty)
+
+
+def apart_from(loose: Column, base: Column) -> Column:
+    """The loose spans that overlap no base span, in the order of their starts: one walk forward and one backward over both."""
+    marked = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("base"), s["end"].alias("end"), s.alias("span")))
+    both = F.array_sort(F.concat(marked(base, True), marked(loose, False)))
+    high = running(both, F.lit(-1), lambda m, s: F.when(s["base"], F.greatest(m, s["end"])).otherwise(m))
+    low = F.reverse(running(F.reverse(both), F.lit((1 << 31) - 1), lambda m, s: F.when(s["base"], F.least(m, s["start"])).otherwise(m)))
+    seen = F.arrays_zip(both.alias("s"), high.alias("high"), low.alias("low"))
+    free = F.filter(seen, lambda x: ~x["s"]["base"] & (x["high"] <= x["s"]["start"]) & (x["low"] >= x["s"]["end"]))
+    return F.when((F.size(base) > 0) & (F.size(loose) > 0), F.transform(free, lambda x: x["s"]["span"])).otherwise(loose)
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.char_length(piece["gap"])
-        end = start + F.char_length(piece["match"])
-        span = F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), F.lit(loose).alias("loose"), piece["match"].alias("match"),
-            F.right(piece["gap"], F.lit(BEFORE)).alias("before"),
-        )
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    walked = F.aggregate(F.slice(pieces, 1, F.size(found)), start, step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+def first_come(spans: Column) -> Column:
+    """Of spans (start, kind, end) in order, those that overlap none that was taken before."""
+    ends = running(spans, F.lit(0), lambda end, s: F.when(s["start"] >= end, s["end"]).otherwise(end))
+    return F.filter(spans, lambda s, i: s["start"] >= F.when(i > 0, F.get(ends, i - 1)).otherwise(0))
 
 
 def digits(match: Column) -> Column:
@@ -192,15 +234,21 @@ def find_spans(docs: DataFrame) -> DataFrame:
     earlier. Equal texts have equal spans; an empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    strict = F.concat(*[spans_of(text, p, k, False) for p, k in ((EMAIL, "email"), (IP, "ip"), (CARD, "card"), (PHONE, "phone"))])
-    loose = F.concat(*[spans_of(text, p, k, True) for p, k in ((SPELT_EMAIL, "email"), (LOCAL_PHONE, "phone"), (SSN, "ssn"), (NAME, "name"))])
-    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.filter(strict, base_rule).alias("base"), loose.alias("loose"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+    # a pattern is only run over texts that have its sign; each result is a column of its own, so that none is found twice
+    every = [(*p, False) for p in STRICT] + [(*p, True) for p in LOOSE]
+    rows = rows.select("doc_id", "text", *[F.when(F.col("text").rlike(sign), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(f"found{i}") for i, (_, pattern, sign, _) in enumerate(every)])
+    rows = rows.select(
+        "doc_id", *[F.coalesce(f"found{i}", F.array().cast("array<string>")).alias(f"found{i}") for i in range(len(every))],
+        *[F.when(F.size(f"found{i}") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")).alias(f"gaps{i}") for i, (_, pattern, _, _) in enumerate(every)],
+    )
+    spans = [spans_of(F.col(f"found{i}"), F.col(f"gaps{i}"), kind, loose) for i, (kind, _, _, loose) in enumerate(every)]
+    found = rows.select("doc_id", F.filter(F.concat(*spans[: len(STRICT)]), base_rule).alias("base"), F.concat(*spans[len(STRICT) :]).alias("loose"))
 
     def voted(s: Column) -> Column:
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["loose"].alias("loose"), F.array(*votes_of(s)).alias("votes"), F.array(*features_of(s)).alias("features"))
 
-    apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.withColumn("loose", apart)
+    found = found.select("doc_id", "base", apart_from(F.col("loose"), F.col("base")).alias("loose"))
     found = stored(found.select("doc_id", F.transform("base", voted).alias("base"), F.transform("loose", voted).alias("loose")), "spans")
     each = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.kind", "s.loose", "s.votes", "s.features").count()
     patterns = [(r["kind"], r["loose"], tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in each.collect()]
@@ -211,11 +259,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     weights = fit_classifier([(encoded(k, s, v, f), sure[k, s, v], n) for k, s, v, f, n in patterns])
     accepted = F.filter("loose", lambda s: classified(s, weights) > 0) if weights else F.col("loose")
 
-    def keep(out: Column, s: Column) -> Column:
-        return F.when(F.exists(out, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), out).otherwise(F.array_append(out, s))
-
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    added = F.aggregate(in_order(accepted), empty, keep)
+    added = first_come(in_order(accepted))
     return found.select("doc_id", in_order(F.col("base")).alias("base"), added.alias("added")).select("doc_id", "base", F.array_sort(F.concat("base", "added")).alias("all"))
 
 

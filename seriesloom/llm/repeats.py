@@ -2,7 +2,8 @@
 
 Seeds are winnowed anchors: of every `window` words the least hash of `SEED` words in a row, so that equal windows choose
 the same seed at the same place, and a document gives about one seed for nine words. An occurrence stands for the span of
-windows that chose it. Occurrences whose whole spans are equal collapse in one aggregation: all but the first are repeats.
+windows that chose it. Seeds that occur once go at once. Occurrences whose whole spans are equal collapse in one aggregation: all
+but the first are repeats.
 What is left, a few occurrences at the edges of repeated passages, is extended word by word to both sides against the first
 occurrence of its seed. Windows inside the match are repeats. Windows that reach beyond it can only be repeats of an
 occurrence that parts from the first at the same word, and go on in a group of their own, until no group has two members.
@@ -27,7 +28,7 @@ from .shingles import Joined, chained, mix
 WINDOW = 20
 SEED = 4
 #: Most bits (as a power of two) of the filters of what is extended; what they let through in error ends alone in its group.
-FILTER_BITS = 26
+FILTER_BITS = 28
 ROW = ("doc_id", "part")
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,16 +105,25 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def first_keys(spans: DataFrame, seed_bits: Broadcast) -> DataFrame:
-    """Hashes of the first occurrences of the spans whose seed passes the filter."""
+def having(rows: DataFrame, bits: Broadcast) -> DataFrame:
+    """The rows whose seed passes a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits.value, batch.column("seed").to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def first_keys(firsts: DataFrame) -> DataFrame:
+    """Hashes of occurrences (seed, part, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            seed, part, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "part", "place"))
-            hit = passes(seed_bits.value, seed.view(np.uint64))
-            yield [occurrence_keys(seed.view(np.uint64), part.view(np.uint64), place)[hit].view(np.int64)]
+            seed, part, place = (batch.column(c).to_numpy() for c in ("seed", "part", "place"))
+            yield [occurrence_keys(seed.view(np.uint64), part.view(np.uint64), place).view(np.int64)]
 
-    return in_arrow(spans.select("seed", "first.part", "first.place"), run, "key long", [pa.int64()])
+    return in_arrow(firsts, run, "key long", [pa.int64()])
 
 
 def contexts(rows: DataFrame, chosen: Broadcast, window: int, width: int) -> DataFrame:
@@ -195,14 +205,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = SEED) -
     """
     rows = with_row(docs)
     found = stored(anchors(rows, window, width).dropDuplicates([*ROW, "place"]) if has_doubles(rows) else anchors(rows, window, width), "anchors")
-    spans = found.groupBy("seed", "span").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
-    spans = stored(spans, "spans")
-    later = found.join(spans.where("n > 1").select("seed", "span", "first"), ["seed", "span"]).where(order() != F.col("first"))
-    out = [later.select(*ROW, (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))]
     context = docs.sparkSession.sparkContext
-    several = spans.groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("spans")).where("spans > 1")
-    seed_bits = context.broadcast(key_filter(stored(several.select("key"), "seeds")))
-    given = contexts(rows, context.broadcast(key_filter(stored(first_keys(spans, seed_bits), "keys"))), window, width)
+    twice = found.groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = having(found, context.broadcast(key_filter(stored(twice, "keys"))))
+    spans = stored(shared.groupBy("seed", "span").agg(F.min(order()).alias("first"), F.count("*").alias("n")), "spans")
+    later = shared.join(spans.where("n > 1").select("seed", "span", "first"), ["seed", "span"]).where(order() != F.col("first"))
+    out = [later.select(*ROW, (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))]
+    several = spans.groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    firsts = first_keys(having(spans.select("seed", "first.part", "first.place"), context.broadcast(key_filter(stored(several, "keys")))))
+    firsts = context.broadcast(key_filter(stored(firsts, "keys")))
+    given = contexts(rows, firsts, window, width)
     one = F.struct("doc_id", "part", "place", "back", "ahead", "before", "after")
     # of occurrences with equal spans only the first is extended
     given = given.groupBy("group_id", F.md5(F.concat("before", F.lit("|").cast("binary"), "after")).alias("span"), "back").agg(F.min_by(one, order()).alias("x"))
