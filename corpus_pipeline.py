@@ -7,6 +7,7 @@ cuts the rest to the target weights, and encoding makes the token ids.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesloom.llm.bpe import encode_documents
 from seriesloom.llm.common import stored
@@ -23,23 +24,36 @@ MIX_SHARE = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, tokenizer_path("piece_bpe_32k.model"))
-    return found.where((found["lang_pred"] != UNKNOWN) & (found["lang_score"] >= LEAST_SHARE)).select(*docs.columns)
+    """Documents whose language is recognised: null and letterless texts go, so do those whose best language is no majority.
+
+    Like every stage, it keeps all columns as they are whatever their names, reads texts of any length whole, treats repeated
+    rows alike and gives no rows for an empty table.
+    """
+    rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+    found = identify(rows, tokenizer_path("piece_bpe_32k.model"))
+    return found.where((found["lang_pred"] != UNKNOWN) & (found["lang_score"] >= LEAST_SHARE)).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id; a null text equals an empty one."""
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (word shingles of five, similarity of 0.8 or more), the one with the least id.
+
+    Documents without words stay, as do those without an id unless a group has one with an id.
+    """
     return drop_near_copies(docs, width=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the budgets of their domain, language and source take them; nulls there are a leaf of their own."""
     return mix(docs, domain_of(docs["source"]), share=MIX_SHARE, epochs=1, domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, checksums and the number of tokens of every document; a null text has none."""
     return encode_documents(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True)
 
 
