@@ -7,14 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import base, factor, linear, smoothing
-from .operators import align, clean, drift, features, report, scenario, selection
+from .models import board, factor, smoothing
+from .operators import align, clean, drift, report, scenario, selection
 from .session import ensure_checkpoint_dir
 from .spec import DEFAULT, PanelSpec
 
-MODELS = ("Holt-Winters", "Linear-AR", "Trend-Factor")
-AR_FEATURES = ("lag_1", "rolling_mean_3")
-
 
 class PanelEngine:
     """Works on a panel (series, ds, y) and an optional monthly indicator table (ds, ...).
@@ -37,30 +34,29 @@ class PanelEngine:
         self.panel = fixed.withColumn(self.spec.y, F.col("y_fixed")).drop("y_fixed", "is_fixed")
         return fixed.filter("is_fixed").count()
 
-    def fit(self, horizon: int = 12, grid: Sequence[tuple[float, float, float]] = smoothing.GRID) -> DataFrame:
-        """Hold-out predictions of all candidates; gives the leaderboard."""
-        spec, xs = self.spec, list(AR_FEATURES)
-        ml = features.holdout_split(features.ml_features(self.panel, spec=spec), horizon, spec)
-        lin = linear.fit_linear(ml.filter("part = 'train'"), xs, spec.y, spec.keys)
-        one_step = linear.predict_linear(ml.filter("part = 'test'"), lin, xs, spec.keys).select(*spec.keys, spec.ds, spec.y, "yhat")
-        self.grid = grid
-        self.holdout = selection.stack(
-            {
-                MODELS[0]: smoothing.holt_winters_backtest(self.panel, horizon, grid, spec),
-                MODELS[1]: one_step,
-                MODELS[2]: factor.backtest(features.holdout_split(self.panel, horizon, spec), spec=spec),
-            }
-        ).checkpoint()
-        return selection.leaderboard(self.holdout, spec)
+    def families(self, grid: Sequence[tuple[float, float, float]] = smoothing.GRID) -> tuple[board.Family, ...]:
+        """The closed-form families, with the indicators' one where there are indicators."""
+        known = board.closed_form(grid)
+        return (*known, board.seasonal_x(self.indicators, self.cols)) if self.indicators is not None else known
+
+    def fit(self, horizon: int = 12, grid: Sequence[tuple[float, float, float]] = smoothing.GRID, families: Sequence[board.Family] | None = None, ahead: int = 24) -> DataFrame:
+        """Hold-out and future predictions of all families, kept as one candidate table; gives the leaderboard.
+
+        `gate` holds the reason where a series is too short for a family or for its ranking. Learners that are trained over all series
+        can be added: `fit(families=[*engine.families(), board.pooled_learner("gbt")])`.
+        """
+        families = tuple(families or self.families(grid))
+        self.ahead = ahead
+        self.gate = board.gate(self.panel, families, horizon, self.spec)
+        self.board = board.candidates(self.panel, families, horizon, ahead, self.spec).checkpoint()
+        self.holdout = board.holdout_rows(self.board, self.spec)
+        return selection.leaderboard(self.holdout, self.spec)
 
     def candidates(self, horizon: int) -> DataFrame:
-        return selection.stack(
-            {
-                MODELS[0]: smoothing.holt_winters(self.panel, horizon, self.grid, self.spec),
-                MODELS[1]: base.LinearAR(spec=self.spec).forecast(self.panel, horizon),
-                MODELS[2]: factor.trend_factor(self.panel, horizon, self.spec),
-            }
-        )
+        """Future rows of all families, as far as they were made by `fit`."""
+        if horizon > self.ahead:
+            raise ValueError(f"fit() looked {self.ahead} steps ahead")
+        return board.future_rows(self.board, horizon, self.spec)
 
     def predict(self, horizon: int = 12, levels: DataFrame | None = None, strategy: str = "auto", manual: str | None = None,
                 members: Sequence[str] = (), weights: Mapping[str, float] | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -116,20 +119,57 @@ def last_rows(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     )
 
 
-def grid_search(df: DataFrame, kind: str, grid: dict[str, Sequence], spec: PanelSpec = DEFAULT) -> DataFrame:
+def _scores(scaled: DataFrame, kind: str, combos: Sequence[dict], share: float, parallel: int, spec: PanelSpec) -> list[float]:
+    """Hold-out RMSE of each combination, fitted on a hashed share of the series; several fits run at a time over one kept frame."""
+    draw = F.pmod(F.xxhash64(*spec.keys, F.lit(26)), F.lit(1 << 20)) / float(1 << 20)
+    train, test = scaled.filter(draw < share), scaled.filter("part = 'test'")
+
+    def one(options: dict) -> float:
+        scored = predict(test, fit(train, kind, **options), spec)
+        return float(scored.agg(F.sqrt(F.avg(F.pow(spec.value - F.col("yhat"), 2)))).first()[0])
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(scaled.sparkSession)(one), combos))
+
+
+def _named(options: dict) -> str:
+    return ", ".join(f"{k}={v}" for k, v in options.items())
+
+
+def grid_search(df: DataFrame, kind: str, grid: dict[str, Sequence], parallel: int = 4, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Hold-out RMSE of every combination of a bounded grid, best first, on the time split in `part`."""
     scaled = scale_by_series(df, spec=spec).persist()
-    spark, rows = df.sparkSession, []
+    combos = [dict(zip(grid, values)) for values in product(*grid.values())]
+    try:
+        errors = _scores(scaled, kind, combos, 1.0, parallel, spec)
+    finally:
+        scaled.unpersist()
+    rows = [(kind, _named(c), e) for c, e in zip(combos, errors, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "model string, params string, rmse double").orderBy("rmse", "params")
+
+
+def halving_search(
+    df: DataFrame, kind: str, grid: dict[str, Sequence] | None = None, trials: int = 8, rungs: int = 3, parallel: int = 4, seed: int = 42, spec: PanelSpec = DEFAULT
+) -> DataFrame:
+    """Successive halving over trials that a hash draws from the suggested grid.
+
+    Each rung fits what is left on twice as many series as the one before, the last one on all of them, and keeps the better half.
+    Rows: (model, params, rung, share, rmse, kept), the winner is kept in the last rung.
+    """
+    grid = grid or SUGGESTED_GRIDS[kind]
+    combos = [dict(zip(grid, values)) for values in product(*grid.values())]
+    left = sorted(combos, key=lambda c: hashlib.md5(f"{seed}:{kind}:{_named(c)}".encode()).hexdigest())[:trials]
+    scaled, rows = scale_by_series(df, spec=spec).persist(), []
     try:
-        for combo in product(*grid.values()):
-            options = dict(zip(grid, combo))
-            model = fit(scaled, kind, **options)
-            scored = predict(scaled.filter("part = 'test'"), model, spec)
-            err = scored.agg(F.sqrt(F.avg(F.pow(spec.value - F.col("yhat"), 2)))).first()[0]
-            rows.append((kind, ", ".join(f"{k}={v}" for k, v in options.items()), float(err)))
+        for rung in range(rungs):
+            share = 0.5 ** (rungs - 1 - rung)
+            ranked = sorted(zip(_scores(scaled, kind, left, share, parallel, spec), map(_named, left), left, strict=True), key=lambda r: r[:2])
+            keep = max(1, len(ranked) // 2) if rung < rungs - 1 else 1
+            rows += [(kind, name, rung, share, error, i < keep) for i, (error, name, _) in enumerate(ranked)]
+            left = [c for _, _, c in ranked[:keep]]
     finally:
         scaled.unpersist()
-    return spark.createDataFrame(rows, "model string, params string, rmse double").orderBy("rmse", "params")
+    return df.sparkSession.createDataFrame(rows, "model string, params string, rung int, share double, rmse double, kept boolean")
 
 
 def importance(model: PipelineModel, features: Sequence[str] = ENGINE_FEATURES):

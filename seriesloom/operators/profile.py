@@ -80,6 +80,24 @@ def suggestions(chars: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: suggested search ranges (model, parameter, choices)
+SEARCH_RANGES = (
+    ("XGBoost", "n_estimators", "100, 200, 300"), ("XGBoost", "max_depth", "3, 5, 7"), ("XGBoost", "learning_rate", "0.01, 0.05, 0.1"), ("XGBoost", "subsample", "0.8, 0.9, 1.0"),
+    ("Prophet", "changepoint_prior_scale", "0.05, 0.1, 0.5"), ("Prophet", "seasonality_prior_scale", "1.0, 5.0, 10.0"),
+    ("Random Forest", "n_estimators", "100, 200"), ("Random Forest", "max_depth", "none, 10, 20"), ("Random Forest", "min_samples_split", "2, 5, 10"),
+)
+
+
+def recommend_ranges(chars: DataFrame) -> DataFrame:
+    """(keys..., model, parameter, choices): search ranges of the models that a series is advised to use; the season's mode follows its volatility."""
+    mode = F.when(F.col("volatility") == "high", "multiplicative").otherwise("additive")
+    entry = lambda model, name, choices: F.struct(F.lit(model).alias("model"), F.lit(name).alias("parameter"), choices.alias("choices"))
+    ranges = F.array(*[entry(m, p, F.lit(c)) for m, p, c in SEARCH_RANGES], entry("Prophet", "seasonality_mode", mode))
+    advised = F.filter(ranges, lambda r: F.array_contains("models", r["model"]))
+    keep = [c for c in suggestions(chars).columns if c in ("series",)]
+    return suggestions(chars).select(*keep, F.inline(advised))
+
+
 def quality_advice(missing_pct: Column, outliers: Column) -> Column:
     """Advice lines from the share of missing values and the number of outliers."""
     advice = _list(

@@ -109,6 +109,36 @@ def indicator_report(df: DataFrame, as_of: Column, rules: Sequence[Rule] = DEFAU
     )
 
 
+def indicator_state(long: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, ds: str = "ds") -> DataFrame:
+    """(indicator, rows, missing, outliers, last_ds) of rows (indicator, ds, value); states of parts of a table can be merged."""
+    v, name = F.col("value"), F.col("indicator")
+    out = F.lit(False)
+    for r in rules:
+        out = out | ((name == r.indicator) & ((v < r.low) | (v > r.high)))
+    return long.groupBy("indicator").agg(
+        F.count("*").alias("rows"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.coalesce(out, F.lit(False))).alias("outliers"), F.max(ds).alias("last_ds")
+    )
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    both = states[0]
+    for more in states[1:]:
+        both = both.unionByName(more)
+    return both.groupBy("indicator").agg(*[F.sum(c).alias(c) for c in ("rows", "missing", "outliers")], F.max("last_ds").alias("last_ds"))
+
+
+def state_score(state: DataFrame, as_of: Column) -> DataFrame:
+    """One row: status, score 0-100, missing and outlying cells, and days since the last period, by the rules of `indicator_report`."""
+    one = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "missing", "outliers")], F.datediff(as_of, F.max("last_ds")).cast("bigint").alias("days_old"))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, "rows"), F.lit(0.0))
+    stale = F.when(F.col("days_old") > 90, 20.0).when(F.col("days_old") > 35, 5.0).otherwise(0.0)
+    score = 100.0 - F.least(share("missing") * 2, F.lit(40.0)) - F.least(share("outliers") * 5, F.lit(40.0)) - stale
+    empty = F.col("rows") == 0
+    scored = one.withColumn("score", F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), F.round(score, 1))))
+    status = F.when(empty, "ERROR").when(F.col("score") < 50, "CRITICAL").when(F.col("score") < 80, "WARNING").otherwise("OK")
+    return scored.select(status.alias("status"), "score", "rows", "missing", "outliers", "days_old")
+
+
 def history_report(df: DataFrame, as_of: Column, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Score 0-100 of a history table: missing cells and values that are not positive."""
     missing = _total(F.count_if(F.col(c).isNull()) for c in df.columns)

@@ -263,6 +263,13 @@ def tune_forest(spark, sf_dir):
     return pooled.grid_search(_split_features(spark, sf_dir), "forest", {"numTrees": [10, 20], "maxDepth": [3, 5]})
 
 
+@query("tune_halving")
+def tune_halving(spark, sf_dir):
+    """Trials drawn from a small grid, halved twice."""
+    grid = {"numTrees": [5, 10, 20], "maxDepth": [3, 5], "minInstancesPerNode": [1, 5]}
+    return pooled.halving_search(_split_features(spark, sf_dir), "forest", grid, trials=4)
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     rows = pooled.scale_by_series(_split_features(spark, sf_dir))

@@ -143,3 +143,15 @@ def stored_model(spark, sf_dir):
     base.save_model(linear.fit_linear(features.ml_features(fx.wide_dense(spark, sf_dir)), AR_FEATURES), path)
     m = base.load_model(spark, path)
     return m.select("series", F.round("intercept", 1).alias("intercept"), *[F.round(F.col("coef")[i], 6).alias(c) for i, c in enumerate(AR_FEATURES)])
+
+
+@query("observed_metrics", sql(fx.PANEL, "SELECT count(*) AS rows, min(ds) AS first, max(ds) AS last, count(DISTINCT series) AS n_series, true AS has_indicators FROM panel"))
+def observed_metrics(spark, sf_dir):
+    """Facts about a load as seen by the first action on it, without a pass of their own."""
+    path = shared_dir(spark, "landed-history")
+    fx.panel(spark, sf_dir).select(F.date_format("ds", DAY_FIRST).alias("ds"), "series", "y").write.option("header", True).csv(path)
+    loader = PanelLoader(spark, path, _landed_indicators(spark, sf_dir), fx.INDICATORS)
+    loader.load().write.format("noop").mode("overwrite").save()
+    seen = loader.metadata()
+    kinds = "rows long, first date, last date, n_series long, has_indicators boolean"
+    return spark.createDataFrame([tuple(seen[k.split()[0]] for k in kinds.split(", "))], kinds)

@@ -69,6 +69,20 @@ def suggest_models(spark, sf_dir):
     return s.select("series", F.array_join("models", "; ").alias("models"), F.array_join("features", "; ").alias("features"), "validation", "search")
 
 
+_RANGES = fx.literal_sql("rg", ("model", "parameter", "choices"), profile.SEARCH_RANGES)
+
+
+@query(
+    "recommend_hyperparameters",
+    sql(W, WD, CHARS, _RANGES, f"""sg AS (SELECT series, volatility, ({_MODELS})[1:5] AS models FROM chars)""",
+        """SELECT series, rg.model, parameter, choices FROM sg, rg WHERE list_contains(models, rg.model)
+UNION ALL SELECT series, 'Prophet', 'seasonality_mode', CASE WHEN volatility = 'high' THEN 'multiplicative' ELSE 'additive' END FROM sg WHERE list_contains(models, 'Prophet')"""),
+)
+def recommend_hyperparameters(spark, sf_dir):
+    """Search ranges of the models that each series is advised to use."""
+    return profile.recommend_ranges(profile.characteristics(fx.wide_dense(spark, sf_dir)))
+
+
 def _decompose_sql(mul: bool) -> str:
     detr = "y / nullif(trend, 0)" if mul else "y - trend"
     seas = "s / avg(s) OVER (PARTITION BY series)" if mul else "s - avg(s) OVER (PARTITION BY series)"

@@ -13,7 +13,7 @@ from ..session import shared_dir
 from ..sources import files, store
 from ..streaming import refresh as stream
 from . import fixtures as fx
-from .reporting import naive_forecast
+from .reporting import NAIVE, naive_forecast
 from .registry import query, sql
 
 
@@ -57,17 +57,17 @@ def annual_from_json(spark, sf_dir):
 
 @query(
     "feed_items",
-    """SELECT doc_id, source, CASE WHEN lang = 'de' THEN 'No Title' ELSE lang || ' item ' || doc_id END AS title, CASE WHEN lang = 'fr' THEN '#' ELSE 'https://example.org/' || doc_id END AS link,
+    """SELECT doc_id, source, coalesce(nullif(regexp_replace(left(text, 60), '[^A-Za-z]', '', 'g'), ''), 'No Title') AS title, CASE WHEN lang = 'fr' THEN '#' ELSE 'https://example.org/' || doc_id END AS link,
 CASE WHEN lang = 'es' THEN '' ELSE '05 Aug 10:0' || (doc_id % 10) END AS published FROM documents""",
 )
 def feed_items(spark, sf_dir):
-    """Feed items as XML text with missing parts, parsed back with defaults."""
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    """Feed items as XML text, titled by the letters a text starts with, with missing parts; parsed back with defaults."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.regexp_replace(F.left("text", F.lit(60)), "[^A-Za-z]", "").alias("letters"))
     tag = lambda name, keep, body: F.when(keep, F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))).otherwise(F.lit(""))
     day = F.concat(F.lit("Mon, 05 Aug 2024 10:0"), (F.col("doc_id") % 10).cast("string"), F.lit(":30 GMT"))
     xml = F.concat(
         F.lit("<item>"),
-        tag("title", F.col("lang") != "de", F.concat_ws(" ", "lang", F.lit("item"), "doc_id")),
+        tag("title", F.col("letters") != "", F.col("letters")),
         tag("link", F.col("lang") != "fr", F.concat(F.lit("https://example.org/"), "doc_id")),
         tag("pubDate", F.col("lang") != "es", day),
         F.lit("</item>"),
@@ -190,14 +190,19 @@ def snapshot_list(spark, sf_dir):
     return store.list_snapshots(spark, root).select("snapshot_id", "description", "rows")
 
 
-@query("export_roundtrip", sql(fx.PANEL, "SELECT series, count(*) AS n, sum(y) AS total FROM panel GROUP BY series"))
+@query(
+    "export_roundtrip",
+    sql(fx.PANEL, NAIVE, """SELECT 'Realisasi' AS part, series, count(*) AS n, sum(y) AS total FROM panel GROUP BY series
+UNION ALL SELECT 'Forecast', series, count(*), sum(y) FROM fc GROUP BY series UNION ALL SELECT 'summary', series, 1, sum(y) FROM panel GROUP BY series"""),
+)
 def export_roundtrip(spark, sf_dir):
-    """History and forecast exported in parts and read back; history totals must survive."""
+    """History, forecast and summary exported in parts; all of them are read back."""
     root, p = shared_dir(spark, "export"), fx.panel(spark, sf_dir)
     combined = report.combine(p, report.with_bounds(naive_forecast(p)))
     store.export_parts(root, combined, {"summary": report.totals(p, ["series"])})
-    back = spark.read.parquet(f"{root}/forecast").filter("kind = 'Realisasi'")
-    return back.groupBy(F.col("series").cast("string").alias("series")).agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+    back = spark.read.parquet(f"{root}/forecast").groupBy(F.col("kind").alias("part"), F.col("series").cast("string").alias("series"))
+    summary = spark.read.parquet(f"{root}/summary").select(F.lit("summary").alias("part"), "series", F.lit(1).cast("bigint").alias("n"), "total")
+    return back.agg(F.count("*").alias("n"), F.sum("y").alias("total")).unionByName(summary)
 
 
 @query("csv_roundtrip", sql(fx.PANEL, "SELECT * FROM panel"))
@@ -250,3 +255,30 @@ def incremental_refresh(spark, sf_dir):
     ok = spark.read.parquet(f"{root}/accepted").select("event_type", F.lit(0).alias("b"))
     bad = spark.read.parquet(f"{root}/rejected").select("event_type", F.lit(1).alias("b"))
     return ok.unionByName(bad).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("b").cast("bigint").alias("bad"))
+
+
+_SCORED = (
+    ("avg_discount", 0.048, 0.052), ("avg_tax", 0.038, 0.042), ("avg_qty", 24.5, 26.5), ("avg_price", 40000.0, 60000.0),
+)
+
+
+@query(
+    "stream_scores",
+    sql(fx.IND, fx.IND_LONG, "lv AS (SELECT indicator, ds, CASE WHEN month(ds) = 2 THEN NULL ELSE value END AS value FROM indl)", fx.literal_sql("sr", ("indicator", "lo", "hi"), _SCORED),
+        """st AS (SELECT lv.indicator, count(*) AS rows, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (value < lo OR value > hi) AS outliers, max(ds) AS last_ds FROM lv JOIN sr ON sr.indicator = lv.indicator GROUP BY 1)""",
+        """sc AS (SELECT greatest(0.0::DOUBLE, round(100.0::DOUBLE - least(sum(missing) * 100.0::DOUBLE / sum(rows) * 2, 40) - least(sum(outliers) * 100.0::DOUBLE / sum(rows) * 5, 40)
+- CASE WHEN date_diff('day', max(last_ds), DATE '2001-12-15') > 90 THEN 20 WHEN date_diff('day', max(last_ds), DATE '2001-12-15') > 35 THEN 5 ELSE 0 END, 1)) AS score FROM st)""",
+        "SELECT st.*, score FROM st, sc"),
+)
+def stream_scores(spark, sf_dir):
+    """Indicators landed in three files, years out of order, taken one file a batch: the last batch's state and score."""
+    root = shared_dir(spark, "scores")
+    long = fx.indicators_long(spark, sf_dir).withColumn("value", F.when(F.month("ds") != 2, F.col("value")))
+    for part in (2, 0, 1):
+        long.where(F.year("ds") % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    source = stream.landed_stream(spark, f"{root}/landed", long.schema, "parquet", maxFilesPerTrigger=1)
+    rules = [Rule(*r) for r in _SCORED]
+    stream.refresh_scores(source, rules, root, f"{root}/checkpoint", F.lit("2001-12-15").cast("date"))
+    last = spark.read.parquet(f"{root}/state").agg(F.max("batch_id")).first()[0]
+    score = spark.read.parquet(f"{root}/scores/batch_id={last}").select("score").scalar()
+    return spark.read.parquet(f"{root}/state/batch_id={last}").withColumn("score", score)

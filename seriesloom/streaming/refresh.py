@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import Rule
+from ..operators.quality import Rule, indicator_state, merge_states, state_score
+from ..sources.store import list_snapshots, save_snapshot
 
 
 def landed_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
@@ -50,6 +51,30 @@ def refresh(source: DataFrame, rules: Sequence[Rule], out: str, checkpoint: str)
     query.awaitTermination()
 
 
+def refresh_scores(source: DataFrame, rules: Sequence[Rule], out: str, checkpoint: str, as_of: Column) -> None:
+    """Keep a quality score of a landed long indicator table (indicator, ds, value) up to date, batch by batch.
+
+    The state is one row per indicator: rows, missing and outlying values, last date. Each batch merges its own counts into the state
+    of the batch before, writes both the new state and its score under its batch id, and saves what landed as a snapshot. A
+    batch that is replayed starts from the same state and writes the same rows again; late rows count like all others.
+    """
+
+    def one_batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        states = [indicator_state(df, rules)]
+        if batch_id:
+            states.append(spark.read.parquet(f"{out}/state/batch_id={batch_id - 1}"))
+        merge_states(*states).write.mode("overwrite").parquet(f"{out}/state/batch_id={batch_id}")
+        state = spark.read.parquet(f"{out}/state/batch_id={batch_id}")
+        state_score(state, as_of).write.mode("overwrite").parquet(f"{out}/scores/batch_id={batch_id}")
+        stamp = f"batch_{batch_id:09d}"
+        if list_snapshots(spark, f"{out}/snapshots").where(F.col("snapshot_id") == f"{stamp}_landed").isEmpty():
+            save_snapshot(df, f"{out}/snapshots", stamp, "landed")
+
+    query = source.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def daily_totals(events: DataFrame, value: str = "value", ts: str = "ts", by: Sequence[str] = (), lateness: str = "1 day") -> DataFrame:
     """Sum per day and key of a stream; rows later than `lateness` are dropped, a day is emitted once it is closed."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness)
