@@ -120,8 +120,8 @@ def last_rows(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 
 def _scores(scaled: DataFrame, kind: str, combos: Sequence[dict], share: float, parallel: int, spec: PanelSpec) -> list[float]:
-    """Hold-out RMSE of each combination, fitted on a hashed share of the series; several fits run at a time over one kept frame."""
-    draw = F.pmod(F.xxhash64(*spec.keys, F.lit(26)), F.lit(1 << 20)) / float(1 << 20)
+    """Hold-out RMSE of each combination, fitted on a hashed share of the rows; several fits run at a time over one kept frame."""
+    draw = F.pmod(F.xxhash64(*spec.keys, spec.ds, F.lit(26)), F.lit(1 << 20)) / float(1 << 20)
     train, test = scaled.filter(draw < share), scaled.filter("part = 'test'")
 
     def one(options: dict) -> float:
@@ -153,7 +153,7 @@ def halving_search(
 ) -> DataFrame:
     """Successive halving over trials that a hash draws from the suggested grid.
 
-    Each rung fits what is left on twice as many series as the one before, the last one on all of them, and keeps the better half.
+    Each rung fits what is left on twice as many training rows as the one before, the last one on all of them, and keeps the better half.
     Rows: (model, params, rung, share, rmse, kept), the winner is kept in the last rung.
     """
     grid = grid or SUGGESTED_GRIDS[kind]
