@@ -18,9 +18,9 @@ from .common import stored
 #: At most about so many labelled documents are learnt from, drawn by a hash of the id.
 TRAIN_ROWS = 20_000
 #: Most words and heads of words that the models weigh, the most frequent ones first.
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 17
 #: Lengths of the heads.
-HEADS = (5, 6, 7)
+HEADS = (5, 7)
 LEAST_DOCS = 5
 FOLDS = 3
 SEED = 10
