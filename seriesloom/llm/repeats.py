@@ -1,13 +1,13 @@
 """Passages that stand elsewhere before: seed and extend.
 
 Seeds are winnowed anchors: of every `window` words the least hash of `SEED` words in a row, so that equal windows choose
-the same seed at the same place, and a document gives about one seed for nine words. An occurrence stands for the span of
+the same seed at the same place, and a document gives about one seed for seven words. An occurrence stands for the span of
 windows that chose it. Seeds that occur once go at once. Occurrences whose whole spans are equal collapse in one aggregation: all
-but the first are repeats.
-What is left, a few occurrences at the edges of repeated passages, is extended word by word to both sides against the first
-occurrence of its seed. Windows inside the match are repeats. Windows that reach beyond it can only be repeats of an
-occurrence that parts from the first at the same word, and go on in a group of their own, until no group has two members.
-Matches of neighbouring seeds overlap and make up the maximal repeats of at least `window` words.
+but the first are repeats. What is left, the first occurrences of different spans of one seed, found at the edges of repeated
+passages, is extended word by word to both sides against the first occurrence of its seed. Windows inside the match are
+repeats. Windows that reach beyond it can only be repeats of an occurrence that parts from the first at the same word, and go
+on in a group of their own, until no group has two members. Matches of neighbouring seeds overlap and make up the maximal
+repeats of at least `window` words.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from .lattice import texts_of
 from .shingles import Joined, chained, mix
 
 WINDOW = 20
-SEED = 4
+#: Words of a seed: enough that few stand twice by chance.
+SEED = 8
 #: Most bits (as a power of two) of the filters of what is extended; what they let through in error ends alone in its group.
 FILTER_BITS = 28
 ROW = ("doc_id", "part")
@@ -214,11 +215,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = SEED) -
     several = spans.groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
     firsts = first_keys(having(spans.select("seed", "first.part", "first.place"), context.broadcast(key_filter(stored(several, "keys")))))
     firsts = context.broadcast(key_filter(stored(firsts, "keys")))
-    given = contexts(rows, firsts, window, width)
-    one = F.struct("doc_id", "part", "place", "back", "ahead", "before", "after")
-    # of occurrences with equal spans only the first is extended
-    given = given.groupBy("group_id", F.md5(F.concat("before", F.lit("|").cast("binary"), "after")).alias("span"), "back").agg(F.min_by(one, order()).alias("x"))
-    open_ = stored(given.select("group_id", "x.*"), "open")
+    open_ = stored(contexts(rows, firsts, window, width), "open")
     while not open_.isEmpty():
         step = stored(extend(open_, window, width), "extended")
         out.append(step.where("start IS NOT NULL").select(*ROW, "start", "end"))
