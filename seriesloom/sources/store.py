@@ -65,7 +65,9 @@ def load_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame
     line = list_snapshots(spark, root).where(F.col("snapshot_id") == snapshot_id).first()
     if line is None:
         raise ValueError(f"no snapshot {snapshot_id}")
-    return spark.read.schema(T.StructType.fromJson(json.loads(line["schema"]))).parquet(f"{root}/data/snapshot_id={snapshot_id}")
+    schema = T.StructType.fromJson(json.loads(line["schema"]))
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("snapshot_id", T.StringType())])).parquet(f"{root}/data")
+    return every.filter(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")  # the other snapshots' files are not opened
 
 
 def restore_snapshot(spark: SparkSession, root: str, snapshot_id: str, active: str) -> DataFrame:
