@@ -54,14 +54,27 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("part"), text.cast("binary").alias("text"))
 
 
-def anchors(rows: DataFrame, window: int, width: int) -> DataFrame:
-    """(seed, span, doc_id, part, place, back, ahead): seeds with a hash of all words of the windows that chose them."""
+def seed_keys(rows: DataFrame, window: int, width: int) -> DataFrame:
+    """The seeds of all occurrences, as `key`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield [seeds(Joined(texts_of(part, "text")), window, width)[0].view(np.int64)]
+
+    return in_arrow(rows, run, "key long", [pa.int64()])
+
+
+def anchors(rows: DataFrame, chosen: Broadcast, window: int, width: int) -> DataFrame:
+    """(seed, span, doc_id, part, place, back, ahead): seeds that pass the filter, with a hash of all words of the windows that chose them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Joined(texts_of(part, "text"))
-                seed, place, start, end = seeds(words, window, width)
+                found = seeds(words, window, width)
+                hit = passes(chosen.value, found[0])
+                seed, place, start, end = (x[hit] for x in found)
                 left, right = (chained(words.hashes, at, window) for at in (start, end))
                 span = mix(left ^ mix(right + (place - start).astype(np.uint64) * _TURN) + (end - start).astype(np.uint64))
                 of = pa.array(words.owner[start])
@@ -106,12 +119,12 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def having(rows: DataFrame, bits: Broadcast) -> DataFrame:
-    """The rows whose seed passes a filter."""
+def having(rows: DataFrame, column: str, bits: Broadcast) -> DataFrame:
+    """The rows whose key in a column of hashes passes a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(bits.value, batch.column("seed").to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(passes(bits.value, batch.column(column).to_numpy().view(np.uint64))))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -205,15 +218,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = SEED) -
     apart and ordered by their texts' hash, null ids come last, and rows of equal id and text are one document.
     """
     rows = with_row(docs)
-    found = stored(anchors(rows, window, width).dropDuplicates([*ROW, "place"]) if has_doubles(rows) else anchors(rows, window, width), "anchors")
     context = docs.sparkSession.sparkContext
-    twice = found.groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = having(found, context.broadcast(key_filter(stored(twice, "keys"))))
+    twice = seed_keys(rows, window, width).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = anchors(rows, context.broadcast(key_filter(stored(twice, "keys"))), window, width)
+    shared = stored(shared.dropDuplicates([*ROW, "place"]) if has_doubles(rows) else shared, "anchors")
     spans = stored(shared.groupBy("seed", "span").agg(F.min(order()).alias("first"), F.count("*").alias("n")), "spans")
     later = shared.join(spans.where("n > 1").select("seed", "span", "first"), ["seed", "span"]).where(order() != F.col("first"))
     out = [later.select(*ROW, (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))]
     several = spans.groupBy(F.col("seed").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
-    firsts = first_keys(having(spans.select("seed", "first.part", "first.place"), context.broadcast(key_filter(stored(several, "keys")))))
+    firsts = first_keys(having(spans.select("seed", "first.part", "first.place"), "seed", context.broadcast(key_filter(stored(several, "keys")))))
     firsts = context.broadcast(key_filter(stored(firsts, "keys")))
     open_ = stored(contexts(rows, firsts, window, width), "open")
     while not open_.isEmpty():
@@ -231,16 +244,6 @@ def has_doubles(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def per_document(docs: DataFrame, window: int, width: int) -> DataFrame:
-    """(doc_id, text, spans): every row with its repeated windows, sorted; null for none."""
-    windows = repeated_windows(docs, window, width)
-    lists = windows.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # bounded by the text's own length
-    lists = lists.withColumnsRenamed({"doc_id": "_id", "part": "_part"})
-    rows = with_row(docs)
-    same = rows["doc_id"].eqNullSafe(lists["_id"]) & (rows["part"] == lists["_part"])
-    return rows.join(lists, same, "left").select("doc_id", "text", "spans")
-
-
 def covered(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
     """Which of n words lie in a window that starts inside one of the spans."""
     steps = np.zeros(n + 1, np.int64)
@@ -259,23 +262,41 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, width: int = SEED, keep_t
     of the other. Very long texts are worked on whole. An empty table gives no rows; other columns are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    rows, context = with_row(docs), docs.sparkSession.sparkContext
+    lists = repeated_windows(docs, window, width).groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # bounded by the text's own length
+    lists = stored(lists.withColumnsRenamed({"doc_id": "_id", "part": "_part"}), "lists")
+    # texts without repeats, and that is all the filter holds back, are not shuffled
+    bits = context.broadcast(key_filter(lists.select(F.col("_part").alias("key"))))
+
+    def cut(texts: list[bytes], spans: list) -> list[list]:
+        out = []
+        for text, own in zip(texts, spans, strict=True):
+            words = Joined([text])
+            gone = covered(len(words.starts), own, window)
+            kept = b" ".join([text[a:b] for a, b in zip(words.starts[~gone].tolist(), words.ends[~gone].tolist(), strict=True)])
+            row = [len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest()]
+            if keep_text:
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+                row += [kept.decode("utf-8", "replace"), [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]]
+            out.append(row)
+        return out
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~passes(bits.value, batch.column("part").to_numpy().view(np.uint64))))
+            for part in slices(batch, "text"):
+                yield [part.column("doc_id"), *zip(*cut(texts_of(part, "text"), [None] * part.num_rows), strict=True)]
+
+    def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts, out = texts_of(part, "text"), []
-                for text, spans in zip(texts, part.column("spans").to_pylist(), strict=True):
-                    words = Joined([text])
-                    gone = covered(len(words.starts), spans, window)
-                    kept = b" ".join([text[a:b] for a, b in zip(words.starts[~gone].tolist(), words.ends[~gone].tolist(), strict=True)])
-                    row = [len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest()]
-                    if keep_text:
-                        edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                        row += [kept.decode("utf-8", "replace"), [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]]
-                    out.append(row)
-                yield [part.column("doc_id"), *zip(*out, strict=True)]
+                yield [part.column("doc_id"), *zip(*cut(texts_of(part, "text"), part.column("spans").to_pylist()), strict=True)]
 
     schema, types = "doc_id long, n_words long, n_removed long, kept_sha256 string", [pa.int64(), pa.int64(), pa.int64(), pa.string()]
     if keep_text:
         schema += ", text string, repeats array<struct<start:int,end:int>>"
         types += [pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-    return in_arrow(per_document(docs, window, width), run, schema, types)
+    some = having(rows, "part", bits)
+    same = some["doc_id"].eqNullSafe(lists["_id"]) & (some["part"] == lists["_part"])
+    joined = some.join(lists, same, "left").select("doc_id", "text", "spans")
+    return in_arrow(rows, alone, schema, types).unionByName(in_arrow(joined, with_spans, schema, types))
