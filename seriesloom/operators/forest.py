@@ -54,7 +54,8 @@ def fit(df: DataFrame, features: Sequence[str], key: str, n: int, trees: int = 1
     """
     cols = list(features)
     rows = df.select(F.col(key), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    draw = lambda *parts: F.pmod(F.xxhash64(F.col(key), *parts), F.lit(1 << 40)) / float(1 << 40)
+    # a key may stand for several rows: they are drawn and ordered by their features too
+    draw = lambda *parts: F.pmod(F.xxhash64(F.col(key), *cols, *parts), F.lit(1 << 40)) / float(1 << 40)
     share = 1.2 * SAMPLE / max(n, 1)
     # one draw for all trees first, so that most rows of a large table are hashed once
     gate = min(1.0, 8 * trees * share)
@@ -64,7 +65,7 @@ def fit(df: DataFrame, features: Sequence[str], key: str, n: int, trees: int = 1
 
     def build(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed * 1_000_003 + int(k[0]))
-        x = pdf.sort_values(key)[cols].to_numpy(float)
+        x = pdf.sort_values([key, *cols])[cols].to_numpy(float)
         if len(x) > SAMPLE:
             x = x[np.sort(rng.choice(len(x), SAMPLE, replace=False))]
         nodes = _grow(x, rng, int(np.ceil(np.log2(max(len(x), 2)))))
