@@ -32,8 +32,8 @@ def test_indicators_are_broadcast_and_scans_are_pruned(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    text = plan(spark, "asof_indicator")
-    assert "EqualTo(l_returnflag,R)" in text
+    text = plan(spark, "asof_by_key")
+    assert "EqualTo(event_type,purchase)" in text and "EqualTo(event_type,view)" in text
 
 
 def test_top_per_source_is_cut_before_the_shuffle(spark):
