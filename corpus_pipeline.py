@@ -29,9 +29,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Like every stage, it keeps all columns as they are whatever their names, reads texts of any length whole, treats repeated
     rows alike and gives no rows for an empty table.
     """
-    rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+    read = ("doc_id", "text", "lang")
+    others = [docs[c] for c in docs.columns if c not in read]
+    rows = docs.select(*read, F.struct(*(others or [F.lit(0)])).alias("row"))  # the texts go to the workers once
     found = identify(rows, tokenizer_path("piece_bpe_32k.model"))
-    return found.where((found["lang_pred"] != UNKNOWN) & (found["lang_score"] >= LEAST_SHARE)).select("row.*")
+    kept = found.where((found["lang_pred"] != UNKNOWN) & (found["lang_score"] >= LEAST_SHARE))
+    return kept.select(*[F.col(c) if c in read else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
