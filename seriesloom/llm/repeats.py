@@ -30,6 +30,8 @@ WINDOW = 20
 SEED = 8
 #: Most bits (as a power of two) of the filters of what is extended; what they let through in error ends alone in its group.
 FILTER_BITS = 28
+#: Bytes of text that a task works on at a time.
+SLICE_BYTES = 1 << 20
 ROW = ("doc_id", "part")
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,7 +61,7 @@ def seed_keys(rows: DataFrame, window: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 yield [seeds(Joined(texts_of(part, "text")), window, width)[0].view(np.int64)]
 
     return in_arrow(rows, run, "key long", [pa.int64()])
@@ -70,7 +72,7 @@ def anchors(rows: DataFrame, chosen: Broadcast, window: int, width: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 words = Joined(texts_of(part, "text"))
                 found = seeds(words, window, width)
                 hit = passes(chosen.value, found[0])
@@ -145,7 +147,7 @@ def contexts(rows: DataFrame, chosen: Broadcast, window: int, width: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 words = Joined(texts_of(part, "text"))
                 seed, place, start, end = seeds(words, window, width)
                 first = np.r_[0, np.cumsum(words.counts)][words.owner[start]]
@@ -284,12 +286,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, width: int = SEED, keep_t
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             batch = batch.filter(pa.array(~passes(bits.value, batch.column("part").to_numpy().view(np.uint64))))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 yield [part.column("doc_id"), *zip(*cut(texts_of(part, "text"), [None] * part.num_rows), strict=True)]
 
     def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 yield [part.column("doc_id"), *zip(*cut(texts_of(part, "text"), part.column("spans").to_pylist()), strict=True)]
 
     schema, types = "doc_id long, n_words long, n_removed long, kept_sha256 string", [pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -299,4 +301,4 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, width: int = SEED, keep_t
     some = having(rows, "part", bits)
     same = some["doc_id"].eqNullSafe(lists["_id"]) & (some["part"] == lists["_part"])
     joined = some.join(lists, same, "left").select("doc_id", "text", "spans")
-    return in_arrow(rows, alone, schema, types).unionByName(in_arrow(joined, with_spans, schema, types))
+    return stored(in_arrow(rows, alone, schema, types).unionByName(in_arrow(joined, with_spans, schema, types)), "cut")
