@@ -193,26 +193,28 @@ class Words:
 
 
 class WordScores:
-    """Log probabilities of words under fixed piece probabilities; the first words seen are kept between batches."""
+    """Log probabilities of words under fixed piece probabilities; the first words seen are kept between batches, as arrays in the order of their hashes."""
 
     MOST = 300_000
 
     def __init__(self, pieces: list[str], logs: np.ndarray, fold: bool = False) -> None:
         """With `fold`, words are lower-cased by Unicode's rules first."""
-        self.lattice, self.logs, self.kept, self.fold = Lattice(pieces), logs, {}, fold
+        self.lattice, self.logs, self.fold = Lattice(pieces), logs, fold
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, logs.shape[1]))
 
     def of(self, words: Words) -> np.ndarray:
         out = np.zeros((len(words.hashes), self.logs.shape[1]))
-        keys = words.hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.kept]
-        old = [i for i, h in enumerate(keys) if h in self.kept] if len(new) < len(keys) else []
-        if old:
-            out[old] = np.array([self.kept[keys[i]] for i in old]).reshape(len(old), -1)
-        if new:
-            named = [words.word(i).decode("utf-8", "replace") for i in new]
+        place = np.searchsorted(self.hashes, words.hashes)
+        old = np.append(self.hashes, np.uint64(0))[place] == words.hashes
+        old &= place < len(self.hashes)
+        out[old] = self.values[place[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            named = [words.word(i).decode("utf-8", "replace") for i in new.tolist()]
             out[new] = self.lattice.forward([w.lower() for w in named] if self.fold else named, self.logs)
-            for i in new[: max(0, self.MOST - len(self.kept))]:
-                self.kept[keys[i]] = tuple(out[i].tolist())
+            kept = new[: max(0, self.MOST - len(self.hashes))]
+            self.hashes = np.insert(self.hashes, place[kept], words.hashes[kept])
+            self.values = np.insert(self.values, place[kept], out[kept], axis=0)
         return out
 
 

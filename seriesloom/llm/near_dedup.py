@@ -321,7 +321,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     if not open_.isEmpty():
         lacking = open_.select("uid").distinct().join(sets, "uid", "left_anti")
         more_sets = stored(full_sets(docs, classes, lacking, width), "sets", SET_ROWS)
-        more = residual_links(open_, sets.union(more_sets), percent)
+        # written first: contracting them in the same stage would need a second Python worker for every task
+        more = stored(residual_links(open_, sets.union(more_sets), percent), "more-links")
         # links of the second step join components of the first
         merged = star_links(more).select(F.col("node").alias("root"), F.col("root").alias("final"))
         named = named.join(merged, "root", "left").withColumn("root", F.coalesce("final", "root"))

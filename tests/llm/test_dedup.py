@@ -129,6 +129,19 @@ def test_near_groups_of_varied_copies(make_docs, monkeypatch, block):
     assert Counter((r[0], r[1], r[2], bool(r[3])) for r in got) == plain_near(rows, 2)
 
 
+def test_confirmed_links_are_written_before_they_are_contracted(make_docs, monkeypatch):
+    """Two Python steps in one stage take two workers for every task."""
+    plans = []
+    star_links = nd.star_links
+    monkeypatch.setattr(nd, "star_links", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or star_links(links))
+    monkeypatch.setattr(nd, "best_heads", lambda pairs, classes: pairs.where("false"))  # leaves all links to the second step
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} x{i}") for i in range(6)]
+    got = nd.near_groups(make_docs(rows), 2).collect()
+    assert Counter((r[0], r[1], r[2], bool(r[3])) for r in got) == plain_near(rows, 2)
+    assert len(plans) == 2 and not any("InPandas" in p or "InArrow" in p for p in plans)
+
+
 def test_near_groups_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = nd.near_groups(docs, 2).collect()

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.llm import lm_scoring
-from seriesloom.llm.lattice import LONG, START, Lattice, load_pieces
+from seriesloom.llm.lattice import LONG, START, Lattice, Words, WordScores, load_pieces
 from seriesloom.llm.language_id import UNKNOWN, identify
 from seriesloom.llm.lm_scoring import score_documents
 
@@ -94,6 +95,25 @@ def check_base(docs):
     return got
 
 
+def test_kept_words_are_small_and_change_nothing(vocabulary, monkeypatch):
+    pieces, logs, _ = vocabulary
+    logs = np.stack([logs, logs[::-1], logs * 2, logs - 1], 1)
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randint(0, 20_000)}" for _ in range(4000)).encode() for _ in range(6)]
+    scores, plain = WordScores(pieces, logs), WordScores(pieces, logs)
+    monkeypatch.setattr(plain, "MOST", 0)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for i in range(0, 6, 2):
+        scores.of(Words(texts[i : i + 2]))
+    grown = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert grown < 100 * len(Words(texts).hashes)
+    monkeypatch.setattr(scores, "MOST", 5000)
+    for words in (Words(texts), Words(texts[:1]), Words([]), Words([b"new words here w1"])):
+        assert np.array_equal(scores.of(words), plain.of(words))
+
+
 @pytest.mark.parametrize("frequent", [1 << 19, 3])
 def test_word_scores_of_odd_rows(odd_docs, none_docs, monkeypatch, frequent):
     monkeypatch.setattr(lm_scoring.frequent_words, "__defaults__", (frequent,))
