@@ -23,6 +23,8 @@ VOCABULARY = 1 << 15
 HEADS = (5, 7)
 LEAST_DOCS = 5
 FOLDS = 3
+#: Tasks that read the training rows, a bounded number: the driver keeps a record of each task of the hundreds of jobs of the fits.
+PARTS = 8
 SEED = 10
 
 
@@ -105,19 +107,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     drawn = named.where(draw < share)  # about `most` rows of a few numbers
     texts = docs.where("text IS NOT NULL").select(key.alias("doc_id"), "text")
     train = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", words_of(F.col("text")).alias("_tokens"), *categories)
-    train = stored(train.repartition(4, "doc_id"), "toxicity-train")
+    train = stored(train.repartition(4, "doc_id"), "toxicity-train").coalesce(PARTS)
     least = float(min(LEAST_DOCS, max(1, train.count() // 100)))
     names = list(categories)
     if not train.select(F.explode("_tokens")).take(1):
         return Chain(None, [Step(n, None, 0.0) for n in names])
     vectors = CountVectorizer(inputCol="_tokens", outputCol="_words", vocabSize=VOCABULARY, minDF=least, binary=True).fit(train)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS))
-    rows = stored(vectors.transform(train).drop("_tokens").withColumn("_fold", fold), "toxicity-vectors")
+    rows = stored(vectors.transform(train).drop("_tokens").withColumn("_fold", fold), "toxicity-vectors").coalesce(PARTS)
     steps: list[Step] = []
     for i, name in enumerate(names):
         parts = [fit_step(rows.where(F.col("_fold") != k), name, names[:i]).apply(rows.where(F.col("_fold") == k), names[:i]) for k in range(FOLDS)]
         step = fit_step(rows, name, names[:i])
-        rows = stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "toxicity-vectors")
+        rows = stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "toxicity-vectors").coalesce(PARTS)
         step.threshold = best_threshold(rows, name)
         steps.append(step)
     return Chain(vectors, steps)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from importlib import import_module
 
 import pytest
 from hypothesis import given, settings
@@ -134,6 +135,23 @@ def test_later_models_read_earlier_probabilities(spark, make_docs):
     assert second == first + 1
 
 
+def test_fits_read_few_partitions(spark, make_docs, monkeypatch):
+    """Also where a table comes back from storage in many: every pass of a fit is a task for each of them."""
+    chain, seen = import_module("seriesloom.llm.toxicity"), []
+    fit_step = chain.fit_step
+    monkeypatch.setattr(chain, "fit_step", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or fit_step(rows, *a))
+    small = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1k"}
+    docs, labels = labelled(spark, make_docs)
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        chain.fit_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert len(seen) == 8 and max(seen) <= 8
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train, rest = labels.where("doc_id % 3 > 0"), {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 3 = 0").collect()}
