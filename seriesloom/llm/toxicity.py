@@ -18,13 +18,13 @@ from .common import stored
 #: At most about so many labelled documents are learnt from, drawn by a hash of the id.
 TRAIN_ROWS = 20_000
 #: Most words and heads of words that the models weigh, the most frequent ones first.
-VOCABULARY = 1 << 15
+VOCABULARY = 50_000
 #: Lengths of the heads.
 HEADS = (5, 7)
 LEAST_DOCS = 5
 FOLDS = 3
 #: Tasks that read the training rows, a bounded number: the driver keeps a record of each task of the hundreds of jobs of the fits.
-PARTS = 8
+PARTS = 4
 SEED = 10
 
 
@@ -38,30 +38,37 @@ def heads_of(words: Column, n: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.char_length(w) > n), lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
 
 
+def joined(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """`columns` as one vector `_in` of `size` numbers. Of what Spark ML notes about a vector only the length is kept: a name for every word
+    would be parsed, copied and sent along with each plan, file and task."""
+    if "_in" in columns:
+        rows, columns = rows.withColumnRenamed("_in", "_before"), ["_before" if c == "_in" else c for c in columns]
+    rows = VectorAssembler(inputCols=columns, outputCol="_in", handleInvalid="keep").transform(rows)
+    return rows.withMetadata("_in", {"ml_attr": {"num_attrs": size}}).drop("_before")
+
+
 class Step:
     """One category of the chain: a fitted model, or one probability if training rows have a single class."""
 
     def __init__(self, name: str, model: LogisticRegressionModel | None, constant: float, threshold: float = 0.5) -> None:
         self.name, self.model, self.constant, self.threshold = name, model, constant, threshold
 
-    def apply(self, rows: DataFrame, earlier: list[str]) -> DataFrame:
+    def apply(self, rows: DataFrame) -> DataFrame:
         if self.model is None:
             return rows.withColumn(f"p_{self.name}", F.lit(self.constant))
-        given = VectorAssembler(inputCols=["_words", *[f"p_{c}" for c in earlier]], outputCol="_in", handleInvalid="keep").transform(rows)
-        scored = self.model.transform(given)
-        return scored.withColumn(f"p_{self.name}", vector_to_array("_out")[1]).drop("_in", "_raw", "_out", "_pred")
+        return self.model.transform(rows).withColumn(f"p_{self.name}", vector_to_array("_out")[1]).drop("_raw", "_out", "_pred")
 
 
-def fit_step(rows: DataFrame, name: str, earlier: list[str]) -> Step:
-    classes = {r[name]: r["count"] for r in rows.where(F.col(name).isNotNull()).groupBy(name).count().collect()}
+def fit_step(rows: DataFrame, name: str) -> Step:
+    known = rows.where(F.col(name).isNotNull())
+    classes = {r[name]: r["count"] for r in known.groupBy(name).count().collect()}
     if len(classes) < 2:
         return Step(name, None, float(next(iter(classes), 0.0)))
-    given = VectorAssembler(inputCols=["_words", *[f"p_{c}" for c in earlier]], outputCol="_in", handleInvalid="keep").transform(rows.where(F.col(name).isNotNull()))
     learner = LogisticRegression(
         featuresCol="_in", labelCol=name, rawPredictionCol="_raw", probabilityCol="_out", predictionCol="_pred", regParam=5e-4, elasticNetParam=1.0,
         standardization=False, maxIter=25,
     )
-    return Step(name, learner.fit(given), 0.0)
+    return Step(name, learner.fit(known), 0.0)
 
 
 def best_threshold(rows: DataFrame, name: str) -> float:
@@ -85,10 +92,12 @@ class Chain:
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, p_<category>..., is_<category>...) of every row; a text without known words gets the models' bare intercepts."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("_tokens"))
-        rows = self.vectors.transform(rows) if self.vectors else rows
+        size = len(self.vectors.vocabulary) if self.vectors else 0
+        rows = joined(self.vectors.transform(rows), ["_words"], size).drop("_words") if self.vectors else rows
         done: list[str] = []
         for step in self.steps:
-            rows = step.apply(rows, done)
+            rows = joined(rows, ["_in", f"p_{done[-1]}"], size + len(done)) if self.vectors and done else rows
+            rows = step.apply(rows)
             done.append(step.name)
         flags = [(F.col(f"p_{s.name}") >= s.threshold).alias(f"is_{s.name}") for s in self.steps]
         return rows.select("doc_id", *[f"p_{c}" for c in done], *flags)
@@ -113,13 +122,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     if not train.select(F.explode("_tokens")).take(1):
         return Chain(None, [Step(n, None, 0.0) for n in names])
     vectors = CountVectorizer(inputCol="_tokens", outputCol="_words", vocabSize=VOCABULARY, minDF=least, binary=True).fit(train)
+    size = len(vectors.vocabulary)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS))
-    rows = stored(vectors.transform(train).drop("_tokens").withColumn("_fold", fold), "toxicity-vectors").coalesce(PARTS)
+    rows = joined(vectors.transform(train), ["_words"], size).drop("_tokens", "_words").withColumn("_fold", fold)
+    rows = stored(rows, "toxicity-vectors").coalesce(PARTS)
     steps: list[Step] = []
     for i, name in enumerate(names):
-        parts = [fit_step(rows.where(F.col("_fold") != k), name, names[:i]).apply(rows.where(F.col("_fold") == k), names[:i]) for k in range(FOLDS)]
-        step = fit_step(rows, name, names[:i])
-        rows = stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "toxicity-vectors").coalesce(PARTS)
+        parts = [fit_step(rows.where(F.col("_fold") != k), name).apply(rows.where(F.col("_fold") == k)) for k in range(FOLDS)]
+        step = fit_step(rows, name)
+        rows = joined(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["_in", f"p_{name}"], size + i + 1)
+        rows = stored(rows, "toxicity-vectors").coalesce(PARTS)
         step.threshold = best_threshold(rows, name)
         steps.append(step)
     return Chain(vectors, steps)

@@ -152,6 +152,17 @@ def test_fits_read_few_partitions(spark, make_docs, monkeypatch):
     assert len(seen) == 8 and max(seen) <= 8
 
 
+def test_fits_carry_no_names_of_words(spark, make_docs, monkeypatch):
+    """A name for every number of a vector would go with each plan, file and task of the fits."""
+    learner, seen = import_module("seriesloom.llm.toxicity").LogisticRegression, []
+    fit = learner.fit
+    monkeypatch.setattr(learner, "fit", lambda self, rows: seen.append(rows.schema["_in"].metadata["ml_attr"]) or fit(self, rows))
+    docs, labels = labelled(spark, make_docs)
+    chain = fit_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    size = len(chain.vectors.vocabulary)
+    assert seen == [{"num_attrs": size}] * 4 + [{"num_attrs": size + 1}] * 4
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train, rest = labels.where("doc_id % 3 > 0"), {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 3 = 0").collect()}
